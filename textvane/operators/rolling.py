@@ -1,0 +1,257 @@
+"""Per-event metrics over sliding windows of each key's log.
+
+Sample windows are differences of running sums, so their cost does not grow with the window.
+A hot key is cut into slices (see ``scale.sliced``): each slice starts with the rows its
+windows look back to, which are dropped afterwards.
+"""
+
+from __future__ import annotations
+
+import bisect
+import math
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from textvane.config import ROWS_PER_SLICE, MonitorPolicy, RecoveryPolicy
+from textvane.functions.records import micros
+from textvane.operators.monitor import error_rate_expr, kl_terms
+from textvane.scale import carry_sums, last_n, running_sums, slice_window, sliced, split_hot, with_rank
+from textvane.sources.events import is_error, is_prediction, is_request
+
+POLICY = MonitorPolicy()
+RECOVERY = RecoveryPolicy()
+ORDER = ("ts", "event_id")
+KEYS = ("key",)
+
+
+def _last_n_sum(value: Column, n: int, window: Window) -> Column:
+    """Sum over the last ``n`` rows from a running sum: constant work per row."""
+    running = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    return running - F.coalesce(F.lag(running, n).over(window), F.lit(0))
+
+
+def _with_last_n(df: DataFrame, name: str, value: Column, n: int, window: Window) -> DataFrame:
+    running = df.withColumn("_run", F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    gone = F.coalesce(F.lag("_run", n).over(window), F.lit(0))
+    return running.withColumn(name, F.col("_run") - gone).drop("_run")
+
+
+def rolling_percentiles(
+    events: DataFrame,
+    keys: Sequence[str] = KEYS,
+    policy: MonitorPolicy = POLICY,
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Nearest-rank p50/p95/p99, min, max, mean of the last N latencies after each request.
+
+    A sliding sort has no built-in form (a framed collect would re-sort N values per row), so
+    each slice streams through one ordered sample list per key.
+    """
+    n = policy.latency_samples
+    requests = events.where(is_request()).select(*keys, *ORDER, "latency_ms")
+    cut = sliced(requests, keys, ORDER, n - 1, limit)
+    placed = cut.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice", *ORDER)
+    marked = placed.select(
+        *keys, *ORDER, "latency_ms", F.xxhash64(*keys, "_slice").alias("_group"), "_slice", "_warmup"
+    )
+    fields = [f for f in requests.schema.fields if f.name != "latency_ms"]
+    names = ("p50", "p95", "p99", "min", "max", "mean")
+    out = T.StructType([*fields, *[T.StructField(m, T.DoubleType()) for m in names]])
+    passed = [*keys, *ORDER]
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, recent, ordered, total = None, [], [], 0.0
+        for frame in frames:
+            idents = list(zip(*[frame[k] for k in keys], frame["_slice"]))
+            rows = []
+            for ident, x in zip(idents, frame["latency_ms"]):
+                if ident != group:
+                    group, recent, ordered, head, total = ident, [], [], 0, 0.0
+                if len(ordered) == n:
+                    old = recent[head]
+                    del ordered[bisect.bisect_left(ordered, old)]
+                    recent[head] = x
+                    head = (head + 1) % n
+                    total = math.fsum(recent) if head == 0 else total + x - old
+                else:
+                    recent.append(x)
+                    head = len(recent) % n
+                    total += x
+                bisect.insort(ordered, x)
+                m = len(ordered)
+                at = [ordered[min(int(m * p / 100.0), m - 1)] for p in (50, 95, 99)]
+                rows.append((*at, ordered[0], ordered[-1], total / m))
+            result = frame[passed].copy()
+            for i, name in enumerate(names):
+                result[name] = [r[i] for r in rows]
+            yield result[~frame["_warmup"].astype(bool)]
+
+    return marked.drop("_group").mapInPandas(walk, out)
+
+
+def rolling_drift(
+    events: DataFrame,
+    baseline: dict[str, float],
+    keys: Sequence[str] = KEYS,
+    policy: MonitorPolicy = POLICY,
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Divergence of the last N predictions after each prediction, once there are enough."""
+    n = policy.drift_samples
+    chosen = events.where(is_prediction()).select(*keys, *ORDER, "label")
+    cut = sliced(chosen, keys, ORDER, n - 1, limit)
+    window = slice_window(keys, ORDER)
+    out = _with_last_n(cut, "n_predictions", F.lit(1), n, window)
+    shares = {}
+    for i, label in enumerate(baseline):
+        out = _with_last_n(out, f"_n_{i}", F.when(F.col("label") == label, 1).otherwise(0), n, window)
+        shares[label] = F.col(f"_n_{i}") / F.col("n_predictions")
+    # the last row of a hot key's warm-up holds enough history only with the full window behind it
+    enough = (F.col("n_predictions") >= policy.drift_min_samples) & F.lit(bool(baseline))
+    kl = F.when(enough, kl_terms(shares, baseline, policy)).otherwise(F.lit(0.0))
+    return out.where(~F.col("_warmup")).select(
+        *keys, *ORDER, "n_predictions", kl.alias("kl"), (kl > policy.drift_threshold).alias("drift_detected")
+    )
+
+
+def rolling_throughput(
+    events: DataFrame,
+    keys: Sequence[str] = KEYS,
+    policy: MonitorPolicy = POLICY,
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Requests per second over the trailing window at each request.
+
+    Every request sends out a probe at (its time - window).  In one time order of requests
+    and probes, the running count at the probe tells how many requests fell out of the window,
+    and the next request after it is the oldest one inside: no frame is ever re-scanned.
+    """
+    requests = events.where(is_request()).select(*keys, "event_id", "ts", micros(F.col("ts")).alias("_at"))
+    ranked = _ranked(requests, keys, ("_at", "event_id"), limit)
+    moments = F.array(
+        F.struct(F.col("_at").alias("_when"), F.lit(1).alias("_is_event")),
+        F.struct((F.col("_at") - policy.window_sec * 1_000_000).alias("_when"), F.lit(0).alias("_is_event")),
+    )
+    timeline = ranked.select("*", F.explode(moments).alias("_m")).select(*ranked.columns, "_m._when", "_m._is_event")
+    order = ("_when", "_is_event", "event_id")
+    cut = sliced(timeline, keys, order, 0, limit)
+    counted = carry_sums(cut, [*timeline.columns, "_slice"], keys, order, {"_gone": F.col("_is_event").cast("long")})
+    backwards = Window.partitionBy(*keys, "_slice").orderBy(*[F.col(c).desc() for c in order])
+    event_time = F.when(F.col("_is_event") == 1, F.col("_when"))
+    local = counted.withColumn(
+        "_next", F.min(event_time).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    # the oldest request may lie in a later slice: the first request of each later slice is known
+    firsts = cut.where("_slice > 0").groupBy(*keys, "_slice").agg(F.min(event_time).alias("_first"))
+    if firsts.isEmpty():
+        located = local.withColumn("_oldest", F.col("_next"))
+    else:
+        later = Window.partitionBy(*keys).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        carried = firsts.select(*keys, (F.col("_slice") - 1).alias("_slice"), F.min("_first").over(later).alias("_ahead"))
+        joined = local.join(carried, [*keys, "_slice"], "left")
+        located = joined.withColumn("_oldest", F.coalesce("_next", "_ahead"))
+    n = F.col("_rank") + 1 - F.col("_gone")
+    span = (F.col("_at") - F.col("_oldest")) / 1e6
+    return located.where("_is_event = 0").select(
+        *keys,
+        "ts",
+        "event_id",
+        n.alias("n_in_window"),
+        F.when(span > 0, n / span).otherwise(F.lit(0.0)).alias("throughput_req_sec"),
+    )
+
+
+def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """Zero-based rank per key; hot keys are ranked without gathering them."""
+    cold, hot = split_hot(df, keys, limit)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    simple = cold.withColumn("_rank", (F.row_number().over(window) - 1).cast("long"))
+    return simple if hot is None else simple.unionByName(with_rank(hot, keys, order))
+
+
+def running_error_rate(
+    events: DataFrame, keys: Sequence[str] = KEYS, limit: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Counters and error rate since the start of the log, after each event."""
+    slim = events.select(*keys, *ORDER, is_request().alias("_r"), is_error().alias("_e"))
+    sums = {"request_count": F.col("_r").cast("long"), "error_count": F.col("_e").cast("long")}
+    counted = running_sums(slim, keys, ORDER, sums, limit)
+    rate = error_rate_expr(F.col("error_count"), F.col("request_count"))
+    return counted.select(*keys, *ORDER, "request_count", "error_count", rate.alias("error_rate"))
+
+
+def quality_degradation(
+    events: DataFrame,
+    keys: Sequence[str] = KEYS,
+    policy: RecoveryPolicy = RECOVERY,
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Alert rows: the mean confidence of the last few predictions fell too far below the baseline."""
+    n = policy.quality_samples
+    slim = events.where(is_prediction()).select(*keys, *ORDER, "confidence")
+    cut = sliced(slim, keys, ORDER, n - 1, limit)
+    frame = slice_window(keys, ORDER).rowsBetween(-(n - 1), 0)
+    measured = cut.select(
+        "*", F.avg("confidence").over(frame).alias("recent_confidence"), F.count("confidence").over(frame).alias("_n")
+    )
+    base = F.lit(policy.quality_baseline)
+    drop = (base - F.col("recent_confidence")) / base
+    return (
+        measured.where(~F.col("_warmup") & (F.col("_n") == n))
+        .withColumn("degradation", drop)
+        .where(F.col("degradation") > policy.quality_threshold)
+        .select(*keys, *ORDER, "recent_confidence", "degradation")
+    )
+
+
+def error_spikes(
+    events: DataFrame,
+    keys: Sequence[str] = KEYS,
+    policy: RecoveryPolicy = RECOVERY,
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Alert rows: too many errors among the last N events (a full window is required)."""
+    n = policy.error_rate_samples
+    slim = events.select(*keys, *ORDER, is_error().cast("long").alias("_e"))
+    cut = sliced(slim, keys, ORDER, n - 1, limit)
+    window = slice_window(keys, ORDER)
+    counted = _with_last_n(_with_last_n(cut, "_n", F.lit(1), n, window), "_errors", F.col("_e"), n, window)
+    rate = F.col("_errors") / F.lit(n)
+    full = ~F.col("_warmup") & (F.col("_n") == n)
+    return counted.where(full & (rate > policy.error_rate_threshold)).select(
+        *keys, *ORDER, rate.alias("window_error_rate")
+    )
+
+
+def keep_last(df: DataFrame, n: int, keys: Sequence[str] = (), order: Sequence[str] = ORDER) -> DataFrame:
+    """Sliding retention: the newest ``n`` rows of each key."""
+    return last_n(df, keys, order, n)
+
+
+def alerts(
+    events: DataFrame,
+    baseline: dict[str, float] | None = None,
+    keys: Sequence[str] = KEYS,
+    policy: MonitorPolicy = POLICY,
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """(key, ts, event_id, alert_type, value): slow requests, high error rate, drift."""
+    columns = [*keys, *ORDER]
+    slow = events.where(is_request() & (F.col("latency_ms") > policy.latency_alert_ms)).select(
+        *columns, F.lit("latency_spike").alias("alert_type"), F.col("latency_ms").alias("value")
+    )
+    # checked when a request ends, as the requests are what is being watched
+    asked = events.where(is_request()).select(*columns)
+    running = running_error_rate(events, keys, limit).where(F.col("error_rate") > policy.error_rate_alert)
+    failing = running.join(asked, columns, "left_semi").select(
+        *columns, F.lit("error_spike").alias("alert_type"), F.col("error_rate").alias("value")
+    )
+    rows = slow.unionByName(failing)
+    if baseline:
+        drifting = rolling_drift(events, baseline, keys, policy, limit).where("drift_detected").select(
+            *columns, F.lit("drift").alias("alert_type"), F.col("kl").alias("value")
+        )
+        rows = rows.unionByName(drifting)
+    return rows
