@@ -21,6 +21,8 @@ EVENTS = T.StructType(
 DEFAULTS = {"kind": "request", "label": "unknown", "confidence": 0.0, "error": False}
 PREDICTION_CONFIDENCE = 1.0
 
+MICRO_BATCH_BYTES = 1 << 30
+
 
 def with_defaults(df: DataFrame) -> DataFrame:
     """Fill optional fields; columns that are absent altogether are added."""
@@ -61,4 +63,6 @@ def stream_events(
     spark: SparkSession, path: str, schema: T.StructType = EVENTS, format: str = "parquet", **options: str
 ) -> DataFrame:
     """The same log as a stream of files."""
-    return with_defaults(spark.readStream.schema(schema).format(format).options(**options).load(path))
+    # a micro-batch is bounded, so that a hot key of a keyed state stays bounded as well
+    limits = {"maxBytesPerTrigger": str(MICRO_BATCH_BYTES), **options}
+    return with_defaults(spark.readStream.schema(schema).format(format).options(**limits).load(path))
