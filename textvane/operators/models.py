@@ -22,6 +22,7 @@ from textvane.sources.sinks import results_table
 LOGREG_C, LOGREG_ITERATIONS = 1.0, 1000
 FOREST_TREES, FOREST_SEED, FOREST_DEPTH = 200, 42, 30
 SVM_C, SVM_ITERATIONS = 1.0, 2000
+TOLERANCE = 1e-4
 
 
 def tfidf_stages(text: str = "text", max_terms: int = MAX_VOCABULARY) -> list:
@@ -58,14 +59,14 @@ def classifier(name: str, n_train: int):
     if name == "logreg":
         return LogisticRegression(
             **common, regParam=1.0 / (LOGREG_C * n_train), standardization=False,
-            maxIter=LOGREG_ITERATIONS, family="multinomial",
+            maxIter=LOGREG_ITERATIONS, tol=TOLERANCE, family="multinomial",
         )
     if name == "forest":
         return RandomForestClassifier(
             **common, numTrees=FOREST_TREES, seed=FOREST_SEED, maxDepth=FOREST_DEPTH, featureSubsetStrategy="sqrt",
         )
     if name == "svm":
-        svm = LinearSVC(regParam=1.0 / (SVM_C * n_train), standardization=False, maxIter=SVM_ITERATIONS)
+        svm = LinearSVC(regParam=1.0 / (SVM_C * n_train), standardization=False, maxIter=SVM_ITERATIONS, tol=TOLERANCE)
         return OneVsRest(classifier=svm, **common)
     raise ValueError(f"unknown baseline: {name}")
 

@@ -18,9 +18,10 @@ from textvane.session import checkpointed
 POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on every key column."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def spread_out(df: DataFrame) -> DataFrame:
+    """Use all cores for a costly projection when the scan has fewer partitions than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def small_or_none(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame | None:
