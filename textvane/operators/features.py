@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textvane.config import MAX_DOCUMENT_SHARE, MAX_SEQUENCE_LENGTH, MAX_VOCABULARY, MIN_DOCUMENT_FREQUENCY
-from textvane.scale import lookup_side
+from textvane.scale import lookup_side, spread_out
 
 TERM = r"(?U)\b\w\w+\b"  # at least two word characters
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
@@ -22,11 +22,17 @@ def _pairs(words: Column) -> Column:
     return F.transform(both, lambda w: F.concat_ws(" ", w["x"], w["y"]))
 
 
+def with_terms(df: DataFrame, text: str = "text", bigrams: bool = True, name: str = "terms") -> DataFrame:
+    """Add the words, and the pairs of adjacent words, of each text."""
+    worded = spread_out(df).withColumn("_w", words_of(F.col(text)))
+    terms = F.concat("_w", _pairs(F.col("_w"))) if bigrams else F.col("_w")
+    return worded.withColumn(name, terms).drop("_w")
+
+
 def document_terms(df: DataFrame, order: str = "doc_id", text: str = "text", bigrams: bool = True) -> DataFrame:
-    """(id, term, tf).  Documents are hash-partitioned by id once; later steps per id reuse it."""
-    words = df.select(order, words_of(F.col(text)).alias("w")).repartition(order)
-    terms = F.concat("w", _pairs(F.col("w"))) if bigrams else F.col("w")
-    return words.select(order, F.explode(terms).alias("term")).groupBy(order, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf)."""
+    exploded = with_terms(df.select(order, text), text, bigrams).select(order, F.explode("terms").alias("term"))
+    return exploded.groupBy(order, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(
@@ -50,9 +56,11 @@ def idf(df: Column, n: Column) -> Column:
 def tfidf_weights(df: DataFrame, order: str = "doc_id", text: str = "text", max_terms: int = MAX_VOCABULARY) -> DataFrame:
     """(id, term, weight) with unit length per document.  The vocabulary has ``max_terms`` rows at most."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    terms = document_terms(df, order, text)
-    terms_known = lookup_side(vocabulary(terms, total, max_terms), max_terms)
-    weighted = terms.join(terms_known, "term").select(
+    terms_known = lookup_side(vocabulary(document_terms(df, order, text), total, max_terms), max_terms)
+    # unknown terms are dropped before the counting, so only vocabulary terms are shuffled
+    exploded = with_terms(df.select(order, text), text).select(order, F.explode("terms").alias("term"))
+    known = exploded.join(terms_known, "term").groupBy(order, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = known.select(
         order, "term", (F.col("tf") * idf(F.col("df"), total)).alias("_w")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(order)))

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import time
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import (
-    CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
-)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from textvane.config import LABEL_IDS, MAX_DOCUMENT_SHARE, MAX_VOCABULARY, MIN_DOCUMENT_FREQUENCY
+from textvane.config import LABEL_IDS, MAX_VOCABULARY
 from textvane.functions.scores import decode_label, encode_label
 from textvane.operators.evaluation import confusion_matrix, overall_metrics, per_class_metrics
+from textvane.operators.features import document_terms, idf, vocabulary, with_terms
 from textvane.sources.sinks import results_table
 
 # fixed values: settings of the three baselines
@@ -24,33 +24,29 @@ FOREST_TREES, FOREST_SEED, FOREST_DEPTH = 200, 42, 30
 SVM_C, SVM_ITERATIONS = 1.0, 2000
 TOLERANCE = 1e-4
 
+ROWS_PER_FIT_TASK = 2_000
 
-def tfidf_stages(text: str = "text", max_terms: int = MAX_VOCABULARY) -> list:
-    """Words of two or more characters, 1- and 2-grams, tf * (ln((n+1)/(df+1)) + 1), unit length.
 
-    The fitted idf lacks the +1; see SmoothedTfIdf.
-    """
-    words = RegexTokenizer(inputCol=text, outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True)
-    bigrams = NGram(n=2, inputCol="words", outputCol="bigrams")
-    both = SQLTransformer(statement="SELECT *, concat(words, bigrams) AS terms FROM __THIS__")
-    counts = CountVectorizer(
-        inputCol="terms", outputCol="tf", vocabSize=max_terms, minDF=MIN_DOCUMENT_FREQUENCY, maxDF=MAX_DOCUMENT_SHARE
-    )
-    return [words, bigrams, both, counts, IDF(inputCol="tf", outputCol="idf")]
+class TfIdfModel:
+    """Unit-length tf * (ln((n+1)/(df+1)) + 1) vectors over a fitted vocabulary."""
 
+    def __init__(self, terms: list[str], weights: list[float], text: str):
+        self.text = text
+        counts = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="tf")
+        scale = ElementwiseProduct(scalingVec=weights, inputCol="tf", outputCol="tfidf")
+        unit = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
+        self.stages = PipelineModel(stages=[counts, scale, unit])
 
-class SmoothedTfIdf:
-    """Fit and apply the feature stages; the +1 of the idf is folded into one scaling vector."""
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.stages.transform(with_terms(df, self.text)).drop("terms", "tf", "tfidf")
 
-    def __init__(self, text: str = "text", max_terms: int = MAX_VOCABULARY):
-        self.text, self.max_terms = text, max_terms
 
-    def fit(self, df: DataFrame) -> PipelineModel:
-        fitted = Pipeline(stages=tfidf_stages(self.text, self.max_terms)).fit(df)
-        weights = fitted.stages[-1].idf.toArray() + 1.0  # one weight per vocabulary term
-        scale = ElementwiseProduct(scalingVec=list(map(float, weights)), inputCol="tf", outputCol="tfidf")
-        unit = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
-        return PipelineModel(stages=[*fitted.stages[:-1], scale, unit])
+def fit_tfidf(df: DataFrame, text: str = "text", max_terms: int = MAX_VOCABULARY) -> TfIdfModel:
+    """Vocabulary and idf weights from one aggregation; ``max_terms`` rows come to the driver."""
+    n = df.count()
+    terms = vocabulary(document_terms(df, text=text), F.lit(n), max_terms)
+    rows = terms.select("term", idf(F.col("df"), F.lit(float(n))).alias("w"), "cf").orderBy(F.col("cf").desc(), "term").collect()
+    return TfIdfModel([r.term for r in rows], [r.w for r in rows], text)
 
 
 def classifier(name: str, n_train: int):
@@ -85,14 +81,16 @@ def embedding_features(df: DataFrame, column: str = "embedding") -> DataFrame:
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame) -> DataFrame:
     """(id columns, label_id, pred_id) of the test rows; both frames carry ``features``."""
-    model = classifier(name, max(train.count(), 1)).fit(train)
-    return model.transform(test)
+    rows = max(train.count(), 1)
+    # an iterative fit starts a job per pass, so a small training set goes into few tasks
+    packed = train.coalesce(math.ceil(rows / ROWS_PER_FIT_TASK))
+    return classifier(name, rows).fit(packed).transform(test)
 
 
 def text_features(split: DataFrame, text: str = "text") -> DataFrame:
     """Features of a split corpus, fitted on its training part; kept for all models."""
-    corpus = with_label_ids(split)
-    model = SmoothedTfIdf(text).fit(corpus.where("split = 'train'"))
+    corpus = with_label_ids(split).persist()
+    model = fit_tfidf(corpus.where("split = 'train'"), text)
     return model.transform(corpus).select("doc_id", "label", "label_id", "split", "features").persist()
 
 

@@ -83,6 +83,7 @@ class SliceTrace:
         self.machine = machine
         self.parent = list(range(len(machine.table)))
         self.live = {code: code for code in range(len(machine.table))}
+        self.waits = any(WAITING in row for row in machine.table)
         self.waiting: list[tuple[int, int]] = []
         self.first_waiting = 0
         self.moments: list[int] = []
@@ -103,7 +104,7 @@ class SliceTrace:
 
     def feed(self, ts: int, flag: int) -> None:
         m = self.machine
-        if m.wait_us and (self.first is None or (ts > self.last and self.last < self.first + m.wait_us)):
+        if self.waits and (self.first is None or (ts > self.last and self.last < self.first + m.wait_us)):
             node = len(self.parent)
             self.parent.append(node)
             self.moments.append(ts)

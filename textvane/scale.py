@@ -116,11 +116,11 @@ def sliced(
     cold = cold.withColumn("_slice", F.lit(0).cast("long")).withColumn("_warmup", F.lit(False))
     if hot is None:
         return cold
-    ranked = with_rank(hot, keys, order)
-    own = F.floor(F.col("_rank") / limit)
+    ranked = with_rank(hot, keys, order, "_nth")
+    own = F.floor(F.col("_nth") / limit)
     copies = F.array(F.struct(own.alias("_slice"), F.lit(False).alias("_warmup")))
     if lookback:
-        tail = F.col("_rank") % limit >= limit - lookback
+        tail = F.col("_nth") % limit >= limit - lookback
         repeated = F.array(F.struct((own + 1).alias("_slice"), F.lit(True).alias("_warmup")))
         copies = F.when(tail, F.concat(copies, repeated)).otherwise(copies)
     parts = ranked.withColumn("_copy", F.explode(copies)).select(*df.columns, "_copy._slice", "_copy._warmup")

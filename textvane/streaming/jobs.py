@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -202,12 +203,17 @@ def quality_stream(events: DataFrame, policy: RecoveryPolicy = RECOVERY, key: st
     def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
         batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        joined = pd.Series([*recent, *batch["confidence"]], dtype="float64")
-        mean = joined.rolling(n).mean().to_numpy()[len(recent):]
-        state.update(([float(x) for x in joined.tail(n - 1)],))
-        result = batch[[key, "ts", "event_id"]].copy()
-        result["recent_confidence"] = mean
-        result["degradation"] = (base - mean) / base
+        joined = np.array([*recent, *batch["confidence"]], dtype="float64")
+        state.update(([float(x) for x in joined[-(n - 1):]],))
+        full = len(joined) - n + 1  # rows that end a complete window
+        if full <= 0:
+            return
+        total = np.zeros(full)
+        for k in range(n):  # oldest first, as the batch window adds them
+            total = total + joined[k : k + full]
+        result = batch[[key, "ts", "event_id"]].tail(full).copy()
+        result["recent_confidence"] = total / n
+        result["degradation"] = (base - total / n) / base
         yield result[result["degradation"] > threshold]
 
     return source.groupBy(key).applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.NoTimeout)
