@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textvane.catalog.tables import (
     CLS, CORPUS, LINES, PREDICTIONS, Catalog, classes, clean_sql, corpus, documents, greedy_sql, lines, pii_types_sql,
-    predictions, r6, redact_steps_sql, table,
+    predictions, r6, redact_steps_sql, spread_documents,
 )
 from textvane.catalog import tables
 from textvane.functions.pii import with_redaction
@@ -41,7 +41,7 @@ def cached_corpus(spark, folder):
     f"WITH {redact_steps_sql('documents')} SELECT doc_id, md5(r5) AS redacted_md5, {pii_types_sql()} AS pii_types FROM red5"
 )
 def pii_redact(spark, folder):
-    redacted = with_redaction(documents(spark, folder).select("doc_id", "text"))
+    redacted = with_redaction(spread_documents(spark, folder).select("doc_id", "text"))
     return redacted.select(
         "doc_id", F.md5("redacted_text").alias("redacted_md5"), F.array_join("pii_detected", ",").alias("pii_types")
     )
@@ -53,14 +53,14 @@ def pii_redact(spark, folder):
   WHERE pii_type <> '' GROUP BY lang, pii_type"""
 )
 def pii_type_counts(spark, folder):
-    return guardrails.pii_type_counts(documents(spark, folder), ["lang"])
+    return guardrails.pii_type_counts(spread_documents(spark, folder), ["lang"])
 
 
 @CATALOG.add(
     f"WITH c AS (SELECT doc_id, {clean_sql('text')} AS t FROM documents) SELECT doc_id, md5(t) AS clean_md5, length(t) AS n_chars, octet_length(encode(t)) AS n_bytes FROM c"
 )
 def clean_text(spark, folder):
-    cleaned = documents(spark, folder).select("doc_id", clean_expr(F.col("text")).alias("t"))
+    cleaned = spread_documents(spark, folder).select("doc_id", clean_expr(F.col("text")).alias("t"))
     return cleaned.select(
         "doc_id", F.md5("t").alias("clean_md5"), n_chars(F.col("t")).alias("n_chars"), n_bytes(F.col("t")).alias("n_bytes")
     )
@@ -219,7 +219,7 @@ FORM = rf"lower(regexp_replace(text, '^{tables.SPACE}+|{tables.SPACE}+$', '', 'g
 
 @CATALOG.add(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {FORM}")
 def exact_dedup(spark, folder):
-    return dedup.drop_exact_copies(documents(spark, folder).select("doc_id", "text")).select("doc_id")
+    return dedup.drop_exact_copies(spread_documents(spark, folder).select("doc_id", "text")).select("doc_id")
 
 
 @CATALOG.add(f"WITH RECURSIVE {GREEDY} SELECT leader_id, member_id, round(similarity, 6) AS similarity FROM dup")

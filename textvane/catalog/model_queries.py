@@ -170,7 +170,7 @@ TERMS = f"""wd AS (SELECT doc_id, {WORDS} AS w FROM documents),
 def tfidf_vocabulary(spark, folder):
     texts = documents(spark, folder)
     total = texts.agg(F.count(F.lit(1))).scalar()
-    return features.vocabulary(features.document_terms(texts), total)
+    return features.vocabulary(texts, total)
 
 
 @CATALOG.add(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from textvane.scale import spread_out
 from textvane.session import use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents on all cores, for expressions that cost more than moving the text."""
+    return spread_out(documents(spark, folder))
+
+
 def classes(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
     return table(spark, folder, "labels").select("doc_id", label.alias("label"))
@@ -57,7 +63,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """A prediction per document: label and confidence follow from its id and length."""
     names = F.array(*[F.lit(x) for x in ("negative", "neutral", "positive", "other")])
-    return documents(spark, folder).select(
+    return spread_documents(spark, folder).select(
         "doc_id",
         "text",
         F.get(names, (F.col("n_chars") % 4).cast("int")).alias("label"),

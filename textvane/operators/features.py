@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from textvane.config import MAX_DOCUMENT_SHARE, MAX_SEQUENCE_LENGTH, MAX_VOCABULARY, MIN_DOCUMENT_FREQUENCY
 from textvane.scale import lookup_side, spread_out
 
-TERM = r"(?U)\b\w\w+\b"  # at least two word characters
+TERM = r"(?U)\w\w+"  # a run of at least two word characters
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
@@ -30,21 +30,39 @@ def with_terms(df: DataFrame, text: str = "text", bigrams: bool = True, name: st
 
 
 def document_terms(df: DataFrame, order: str = "doc_id", text: str = "text", bigrams: bool = True) -> DataFrame:
-    """(id, term, tf)."""
-    exploded = with_terms(df.select(order, text), text, bigrams).select(order, F.explode("terms").alias("term"))
-    return exploded.groupBy(order, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term) for every occurrence of a term."""
+    return with_terms(df.select(order, text), text, bigrams).select(order, F.explode("terms").alias("term"))
+
+
+def term_counts(df: DataFrame, text: str = "text", bigrams: bool = True) -> DataFrame:
+    """(term, df, cf): documents that have the term, and its occurrences.
+
+    Both come from one aggregation on the term, combined before the shuffle; no row per
+    (document, term) is ever shuffled.
+    """
+    terms = with_terms(df.select(text), text, bigrams).select("terms")
+    # two explodes of one narrow row: every occurrence, and every distinct term of the document
+    marked = terms.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("terms").alias("t"), F.lit(0).cast("long").alias("d")),
+                F.struct(F.array_distinct("terms").alias("t"), F.lit(1).cast("long").alias("d")),
+            )
+        ).alias("x")
+    ).select(F.explode("x.t").alias("term"), F.col("x.d").alias("d"))
+    return marked.groupBy("term").agg(F.sum("d").alias("df"), F.sum(F.lit(1).cast("long") - F.col("d")).alias("cf"))
 
 
 def vocabulary(
-    terms: DataFrame,
+    df: DataFrame,
     n_documents: Column,
     max_terms: int = MAX_VOCABULARY,
     min_df: int = MIN_DOCUMENT_FREQUENCY,
     max_share: float = MAX_DOCUMENT_SHARE,
+    text: str = "text",
 ) -> DataFrame:
     """The most frequent terms (term, df, cf), rare and near-universal ones left out."""
-    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    usable = counts.where((F.col("df") >= min_df) & (F.col("df") <= n_documents * max_share))
+    usable = term_counts(df, text).where((F.col("df") >= min_df) & (F.col("df") <= n_documents * max_share))
     return usable.orderBy(F.col("cf").desc(), "term").limit(max_terms)
 
 
@@ -56,20 +74,17 @@ def idf(df: Column, n: Column) -> Column:
 def tfidf_weights(df: DataFrame, order: str = "doc_id", text: str = "text", max_terms: int = MAX_VOCABULARY) -> DataFrame:
     """(id, term, weight) with unit length per document.  The vocabulary has ``max_terms`` rows at most."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    terms_known = lookup_side(vocabulary(document_terms(df, order, text), total, max_terms), max_terms)
+    terms_known = lookup_side(vocabulary(df, total, max_terms, text=text), max_terms)
     # unknown terms are dropped before the counting, so only vocabulary terms are shuffled
-    exploded = with_terms(df.select(order, text), text).select(order, F.explode("terms").alias("term"))
-    known = exploded.join(terms_known, "term").groupBy(order, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = known.select(
-        order, "term", (F.col("tf") * idf(F.col("df"), total)).alias("_w")
-    )
+    known = document_terms(df, order, text).join(terms_known, "term").groupBy(order, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = known.select(order, "term", (F.col("tf") * idf(F.col("df"), total)).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(order)))
     return weighted.select(order, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def word_ids(df: DataFrame, text: str = "text", max_terms: int = MAX_VOCABULARY) -> DataFrame:
     """(term, term_id) of the most frequent words, numbered from FIRST_ID by frequency."""
-    words = df.select(F.explode(words_of(F.col(text))).alias("term"))
+    words = spread_out(df.select(text)).select(F.explode(words_of(F.col(text))).alias("term"))
     top = words.groupBy("term").agg(F.count(F.lit(1)).alias("cf")).orderBy(F.col("cf").desc(), "term").limit(max_terms)
     rank = F.row_number().over(Window.orderBy(F.col("cf").desc(), "term"))  # max_terms rows at most
     return top.select("term", (rank + (FIRST_ID - 1)).cast("int").alias("term_id"))
@@ -90,7 +105,7 @@ def token_sequences(
     """
     known = lookup_side(word_ids(df, text, max_terms) if ids is None else ids, max_terms)
     kept = [order, *([label] if label else [])]
-    first = df.select(*kept, F.slice(words_of(F.col(text)), 1, max_length).alias("w")).repartition(order)
+    first = spread_out(df.select(*kept, text)).select(*kept, F.slice(words_of(F.col(text)), 1, max_length).alias("w"))
     placed = first.select(*kept, F.posexplode_outer("w").alias("at", "term"))
     found = placed.join(known, "term", "left").withColumn(
         "term_id", F.when(F.col("term").isNotNull(), F.coalesce("term_id", F.lit(UNKNOWN_ID)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from textvane.config import LABEL_IDS, MAX_VOCABULARY
 from textvane.functions.scores import decode_label, encode_label
 from textvane.operators.evaluation import confusion_matrix, overall_metrics, per_class_metrics
-from textvane.operators.features import document_terms, idf, vocabulary, with_terms
+from textvane.operators.features import idf, vocabulary, with_terms
 from textvane.sources.sinks import results_table
 
 # fixed values: settings of the three baselines
@@ -44,7 +44,7 @@ class TfIdfModel:
 def fit_tfidf(df: DataFrame, text: str = "text", max_terms: int = MAX_VOCABULARY) -> TfIdfModel:
     """Vocabulary and idf weights from one aggregation; ``max_terms`` rows come to the driver."""
     n = df.count()
-    terms = vocabulary(document_terms(df, text=text), F.lit(n), max_terms)
+    terms = vocabulary(df, F.lit(n), max_terms, text=text)
     rows = terms.select("term", idf(F.col("df"), F.lit(float(n))).alias("w"), "cf").orderBy(F.col("cf").desc(), "term").collect()
     return TfIdfModel([r.term for r in rows], [r.w for r in rows], text)
 
