@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from textvane.catalog.tables import (
     CLS, CORPUS, LINES, PREDICTIONS, Catalog, classes, clean_sql, corpus, documents, greedy_sql, lines, pii_types_sql,
-    predictions, r6, redact_steps_sql, spread_documents,
+    predictions, r6, redact_steps_sql, spread_documents, table,
 )
 from textvane.catalog import tables
 from textvane.functions.pii import with_redaction
 from textvane.functions.scores import encode_label
-from textvane.functions.text import clean_text as clean_expr, n_bytes, n_chars
+from textvane.functions.text import clean_basic, clean_text as clean_expr, is_blank, n_bytes, n_chars
 from textvane.operators import batching, dedup, guardrails, quality, sampling, validation
 from textvane.operators.similarity import Jaccard, MatcherRatio
-from textvane.plans.preprocess import clean_corpus, preprocess, stage_stats
+from textvane.plans.preprocess import preprocess, run_stats as step_counts, stage_stats
+from textvane.scale import spread_out
 from textvane.session import scratch_path
 from textvane.sources.corpus import cache_to_disk, load_corpus
 
@@ -350,6 +351,36 @@ def batch_size_budget(spark, folder):
     return sized.withColumn("mean_bytes", F.round("mean_bytes", 6))
 
 
+@CATALOG.add(
+    rf"""WITH {LINES}, c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g'), '{tables.SPACE}+', ' ', 'g')) AS t FROM lines)
+  SELECT doc_id, md5(t) AS clean_md5 FROM c"""
+)
+def clean_lines(spark, folder):
+    """The plain cleaning variant on every document line."""
+    return spread_out(lines(spark, folder)).select("doc_id", F.md5(clean_basic(F.col("text"))).alias("clean_md5"))
+
+
+@CATALOG.add(
+    f"""SELECT (SELECT count(*) FROM documents) AS records_processed,
+  (SELECT count(*) FROM documents) - (SELECT count(DISTINCT {FORM}) FROM documents) AS records_filtered"""
+)
+def run_stats(spark, folder):
+    texts = documents(spark, folder)
+    return step_counts(texts, dedup.drop_exact_copies(texts))
+
+
+@CATALOG.add(
+    """WITH p AS (SELECT page_id, unnest(string_split(html, chr(10))) AS text FROM pages)
+  SELECT page_id, count(*) FILTER ("""
+    + BLANK
+    + """) AS n_blank, count(*) AS n_lines FROM p GROUP BY page_id"""
+)
+def blank_page_lines(spark, folder):
+    """Blank lines of the raw pages (the documents have none)."""
+    split = table(spark, folder, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("text"))
+    return split.groupBy("page_id").agg(F.count_if(is_blank(F.col("text"))).alias("n_blank"), F.count(F.lit(1)).alias("n_lines"))
+
+
 @CATALOG.add("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100")
 def first_rows(spark, folder):
     return documents(spark, folder).select("doc_id", "n_chars").orderBy("doc_id").limit(100)

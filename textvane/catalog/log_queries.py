@@ -496,6 +496,14 @@ def stream_quality(spark, folder):
     return plain_ts(out).select("key", "event_id", "ts", r6("recent_confidence"), r6("degradation"))
 
 
+@CATALOG.add(f"WITH {ev()}, {tail_sql('ev')} SELECT key, {TAIL} FROM tail")
+def stream_latency(spark, folder):
+    """The newest row of each key that the stream wrote."""
+    rows = jobs.run_to_table(jobs.latency_stream(event_stream(spark, folder)))
+    newest = rows.groupBy("key").agg(F.max_by(F.struct("p50", "p95", "p99", "min", "max", "mean"), F.struct("ts", "event_id")).alias("m"))
+    return newest.select("key", "m.*").withColumn("mean", steady("mean"))
+
+
 @CATALOG.add(
     f"""WITH {ev()}, {baseline_sql()}, d AS (SELECT *, date_trunc('day', ts) AS day FROM ev),
   tot AS (SELECT day, count(*) AS n FROM d GROUP BY day),

@@ -44,5 +44,7 @@ def apply_guardrails(
 
 def pii_type_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows per type of personal data (and per grouping column)."""
-    found = with_redaction(df.select("text", *by)).select(*by, F.explode("pii_detected").alias("pii_type"))
+    # the outer form: a plain explode would have the whole redaction repeated as a filter of the scan
+    every = with_redaction(df.select("text", *by)).select(*by, F.explode_outer("pii_detected").alias("pii_type"))
+    found = every.where(F.col("pii_type").isNotNull())
     return found.groupBy(*by, "pii_type").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -26,16 +26,14 @@ ORDER = ("ts", "event_id")
 KEYS = ("key",)
 
 
-def _last_n_sum(value: Column, n: int, window: Window) -> Column:
-    """Sum over the last ``n`` rows from a running sum: constant work per row."""
-    running = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    return running - F.coalesce(F.lag(running, n).over(window), F.lit(0))
-
-
-def _with_last_n(df: DataFrame, name: str, value: Column, n: int, window: Window) -> DataFrame:
-    running = df.withColumn("_run", F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    gone = F.coalesce(F.lag("_run", n).over(window), F.lit(0))
-    return running.withColumn(name, F.col("_run") - gone).drop("_run")
+def _with_last_n(df: DataFrame, values: dict[str, Column], n: int, window: Window) -> DataFrame:
+    """Sums over the last ``n`` rows as differences of running sums: constant work per row."""
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    running = df.select("*", *[F.sum(value).over(upto).alias(f"_run_{name}") for name, value in values.items()])
+    gone = running.select("*", *[F.lag(f"_run_{name}", n).over(window).alias(f"_gone_{name}") for name in values])
+    return gone.select(
+        *df.columns, *[(F.col(f"_run_{name}") - F.coalesce(f"_gone_{name}", F.lit(0))).alias(name) for name in values]
+    )
 
 
 def rolling_percentiles(
@@ -103,12 +101,9 @@ def rolling_drift(
     chosen = events.where(is_prediction()).select(*keys, *ORDER, "label")
     cut = sliced(chosen, keys, ORDER, n - 1, limit)
     window = slice_window(keys, ORDER)
-    out = _with_last_n(cut, "n_predictions", F.lit(1), n, window)
-    shares = {}
-    for i, label in enumerate(baseline):
-        out = _with_last_n(out, f"_n_{i}", F.when(F.col("label") == label, 1).otherwise(0), n, window)
-        shares[label] = F.col(f"_n_{i}") / F.col("n_predictions")
-    # the last row of a hot key's warm-up holds enough history only with the full window behind it
+    counts = {f"_n_{i}": F.when(F.col("label") == label, 1).otherwise(0) for i, label in enumerate(baseline)}
+    out = _with_last_n(cut, {"n_predictions": F.lit(1), **counts}, n, window)
+    shares = {label: F.col(f"_n_{i}") / F.col("n_predictions") for i, label in enumerate(baseline)}
     enough = (F.col("n_predictions") >= policy.drift_min_samples) & F.lit(bool(baseline))
     kl = F.when(enough, kl_terms(shares, baseline, policy)).otherwise(F.lit(0.0))
     return out.where(~F.col("_warmup")).select(
@@ -217,7 +212,7 @@ def error_spikes(
     slim = events.select(*keys, *ORDER, is_error().cast("long").alias("_e"))
     cut = sliced(slim, keys, ORDER, n - 1, limit)
     window = slice_window(keys, ORDER)
-    counted = _with_last_n(_with_last_n(cut, "_n", F.lit(1), n, window), "_errors", F.col("_e"), n, window)
+    counted = _with_last_n(cut, {"_n": F.lit(1), "_errors": F.col("_e")}, n, window)
     rate = F.col("_errors") / F.lit(n)
     full = ~F.col("_warmup") & (F.col("_n") == n)
     return counted.where(full & (rate > policy.error_rate_threshold)).select(

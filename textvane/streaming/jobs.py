@@ -18,6 +18,7 @@ from textvane.operators.guardrails import apply_guardrails
 from textvane.operators.monitor import error_rate_expr, health_score, kl_terms
 from textvane.operators.recovery import breaker_machine
 from textvane.operators.replay import Machine
+from textvane.scale import lookup_side
 from textvane.session import scratch_path
 from textvane.sources.events import is_error, is_prediction, is_request
 
@@ -114,7 +115,7 @@ def drift_windows(
     Labels outside the baseline still count towards the total.  Turn the counts into a
     divergence with ``window_drift``.
     """
-    known = F.broadcast(baseline.limit(10_000))  # one row per class
+    known = lookup_side(baseline)  # one row per class
     counted = events.where(is_prediction()).withWatermark("ts", watermark)
     joined = counted.join(known, "label", "left")
     return (
@@ -219,6 +220,33 @@ def quality_stream(events: DataFrame, policy: RecoveryPolicy = RECOVERY, key: st
     return source.groupBy(key).applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.NoTimeout)
 
 
+def latency_stream(events: DataFrame, policy: MonitorPolicy = MONITOR, key: str = "key") -> DataFrame:
+    """Percentiles of the last N latencies of each key, one row per key and micro-batch.
+
+    State per key is at most N latencies.
+    """
+    n = policy.latency_samples
+    source = events.where(is_request()).select(key, "ts", "event_id", "latency_ms")
+    names = ("p50", "p95", "p99", "min", "max", "mean")
+    kept = [source.schema[c] for c in (key, "ts", "event_id")]
+    out = T.StructType([*kept, *[T.StructField(m, T.DoubleType()) for m in names]])
+    state_type = T.StructType([T.StructField("recent", T.ArrayType(T.DoubleType()))])
+
+    def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        batch = pd.concat([f.nlargest(n, ["ts", "event_id"]) for f in frames]).sort_values(["ts", "event_id"])
+        recent = [float(x) for x in [*held, *batch["latency_ms"]][-n:]]
+        state.update((recent,))
+        ordered = sorted(recent)
+        at = [ordered[min(int(len(ordered) * p / 100.0), len(ordered) - 1)] for p in (50, 95, 99)]
+        row = batch[[key, "ts", "event_id"]].tail(1).copy()
+        for name, value in zip(names, (*at, ordered[0], ordered[-1], sum(recent) / len(recent))):
+            row[name] = value
+        yield row
+
+    return source.groupBy(key).applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.NoTimeout)
+
+
 def on_alerts(alerts: DataFrame, handler: Callable[[DataFrame, int], None], progress: str | None = None):
     """Hand each micro-batch of alert rows to a user function (a hook)."""
     spark: SparkSession = alerts.sparkSession
