@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textvane.config import SAMPLE_FRACTION, SPLIT_SEED, TEST_SIZE
-from textvane.scale import keep_up_to, rank_cutoffs
+from textvane.scale import rank_cutoffs, within_cutoff
 
 
 def _sizes(df: DataFrame, label: str) -> DataFrame:
@@ -18,7 +18,8 @@ def _sizes(df: DataFrame, label: str) -> DataFrame:
 
 
 def _head(df: DataFrame, label: str, order: list[str], quotas: DataFrame) -> DataFrame:
-    return keep_up_to(df, label, order, rank_cutoffs(df, label, order, quotas))
+    marked = within_cutoff(df, label, order, rank_cutoffs(df, label, order, quotas), "_kept")
+    return marked.where("_kept").drop("_kept")
 
 
 def stratified_fraction(
@@ -69,9 +70,8 @@ def train_test_split(
     """Add ``split``: per label the quota of rows with the smallest shuffle key is the test set."""
     keyed = df.withColumn("_key", shuffle_key(seed, order) if key is None else key)
     cutoffs = rank_cutoffs(keyed, label, ["_key", order], split_quotas(df, label, test_size))
-    test = keep_up_to(keyed, label, ["_key", order], cutoffs).withColumn("split", F.lit("test"))
-    train = keep_up_to(keyed, label, ["_key", order], cutoffs, after=True).withColumn("split", F.lit("train"))
-    return test.unionByName(train).drop("_key")
+    marked = within_cutoff(keyed, label, ["_key", order], cutoffs, "_test")
+    return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_key", "_test")
 
 
 def ratio_comparison(original: DataFrame, sampled: DataFrame, label: str = "label") -> DataFrame:

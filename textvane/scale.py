@@ -18,10 +18,18 @@ from textvane.session import checkpointed
 POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
+SPLIT_BYTES = 128 << 20  # what one scan task reads by default
+
+
 def spread_out(df: DataFrame) -> DataFrame:
-    """Use all cores for a costly projection when the scan has fewer partitions than that."""
+    """Use all cores for a costly projection of a small input.
+
+    An input estimated at less than one split per core is moved once; a larger one is already
+    scanned by enough tasks and is left alone.  Nothing is run to find out.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * SPLIT_BYTES else df
 
 
 def small_or_none(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame | None:
@@ -211,11 +219,11 @@ def rank_cutoffs(
     )
 
 
-def keep_up_to(df: DataFrame, key: str, order: Sequence[str], cutoffs: DataFrame, after: bool = False) -> DataFrame:
-    """Rows at or before their key's cutoff (or after it); the wide rows are only filtered."""
+def within_cutoff(df: DataFrame, key: str, order: Sequence[str], cutoffs: DataFrame, name: str) -> DataFrame:
+    """Mark the rows at or before their key's cutoff; the wide rows are neither moved nor sorted."""
     side = lookup_side(cutoffs)
-    joined = df.alias("d").join(side.alias("c"), _alias_key("d", "c", [key]), "left" if after else "inner")
+    joined = df.alias("d").join(side.alias("c"), _alias_key("d", "c", [key]), "left")
     mine = F.struct(*[F.col(f"d.{c}") for c in order])
-    last = F.struct(*[F.col(f"c._last_{c}") for c in order])
-    inside = F.coalesce(mine <= last, F.lit(False)) & F.col(f"c._last_{order[0]}").isNotNull()
-    return joined.where(~inside if after else inside).select("d.*")
+    last = F.struct(*[F.col(f"c._last_{c}").alias(c) for c in order])
+    inside = F.col(f"c._last_{order[0]}").isNotNull() & (mine <= last)
+    return joined.select("d.*", F.coalesce(inside, F.lit(False)).alias(name))
