@@ -6,11 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textvane.catalog.tables import Catalog, table
-from textvane.llm import exact_dedup, language, packing, secret_scan, simhash
+from textvane.llm import bpe, chat, exact_dedup, language, neighbours, packing, secret_scan, simhash
 
 CATALOG = Catalog()
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@CATALOG.add()
+def op2_permutation_index_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
 
 
 @CATALOG.add()
@@ -28,6 +34,31 @@ def op5_extendible_hash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+PROBE = -7, "\\### Assistant: </turn> ok"
+
+_ESCAPED = r"""CASE WHEN contains({x}, '### ') OR contains({x}, '</turn>') THEN length({x}) + length({x}) - length(replace({x}, '\', ''))
+  + (length({x}) - length(replace({x}, '### ', ''))) // 4 + (length({x}) - length(replace({x}, '</turn>', ''))) // 7
+  ELSE length({x}) END"""
+
+
+@CATALOG.add(rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT {PROBE[0]}, 0, 'user', '{PROBE[1]}' UNION ALL SELECT {PROBE[0]}, 1, 'assistant', '{PROBE[1]}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(role) + length(role) - length(replace(replace(role, '', ''), ':', ''))
+    + {_ESCAPED.format(x="text")}) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id
+""")
+def op6_grammar_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    conv, text = PROBE
+    probe = spark.createDataFrame([(conv, 0, "user", text), (conv, 1, "assistant", text)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(probe)))
+
+
 @CATALOG.add()
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
@@ -56,3 +87,15 @@ def op9_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame
     return language.predicted(docs.select("doc_id", "text"), prototypes).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
     )
+
+
+@CATALOG.add()
+def op10_prefix_table_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    pattern = public_tokenizers.PATTERN
+    ids = bpe.encoded(table(spark, folder, "documents"), BYTE_RANKS, pattern)
+    return bpe.decoded(ids, BYTE_RANKS, pattern).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
