@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textvane.catalog.tables import Catalog, table
-from textvane.llm import bpe, chat, exact_dedup, language, neighbours, packing, secret_scan, simhash
+from textvane.llm import bpe, chat, exact_dedup, language, neighbours, packing, secret_scan, simhash, suffix_dedup
 
 CATALOG = Catalog()
 
@@ -14,6 +14,11 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+@CATALOG.add()
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.drop_repeated_passages(table(spark, folder, "documents"))
+
+
 @CATALOG.add()
 def op2_permutation_index_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
