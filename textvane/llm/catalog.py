@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textvane.catalog.tables import Catalog, table
-from textvane.llm import bpe, chat, exact_dedup, language, neighbours, packing, secret_scan, simhash, suffix_dedup
+from textvane.llm import bpe, chat, exact_dedup, kneser_ney, language, neighbours, packing, secret_scan, simhash, suffix_dedup
 
 CATALOG = Catalog()
 
@@ -29,6 +29,15 @@ def op3_grouping_genetic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), WORD_VOCABULARY)
 
 
+SCORE_FOLDS, SCORE_HELD_OUT = 7, 2
+
+
+@CATALOG.add()
+def op4_kneser_ney_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = language.in_fold("id", SCORE_FOLDS, SCORE_HELD_OUT)
+    return kneser_ney.held_out_scores(table(spark, folder, "documents"), held_out)
+
+
 @CATALOG.add(r"""
 WITH norm AS (SELECT doc_id, length(coalesce(text, '')) AS n,
     regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
