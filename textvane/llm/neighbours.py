@@ -6,9 +6,10 @@ query adds up, over the inverted files of its own pivots, how well the places ag
 all vectors of the block by Spearman's footrule with places beyond the prefix counted as
 ``PREFIX``.  The best ``SHARE`` of a block is ranked again by the true inner product.
 
-Pivots are at most ``PIVOTS`` distinct vectors among ``PIVOT_ROWS`` rows of least id hash; all
-other figures cover all rows.  For the order of pivots, vectors get one more component that makes
-their lengths equal (the query's is 0), so that nearest means largest inner product.
+Pivots are at most ``PIVOTS`` distinct vectors among ``PIVOT_ROWS`` rows of least id hash, brought
+to unit length; all other figures cover all rows.  Pivot orders tell directions only, and the inner
+product also grows with length: among vectors of different lengths the agreement, plus a quarter
+of the largest, is weighed by the length.  Equal lengths leave the footrule's order as it is.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
 another length than the most frequent one.  Rows that repeat an id are found each; a query never
@@ -53,18 +54,13 @@ def choose_pivots(vectors: DataFrame, most: int = PIVOTS) -> np.ndarray:
     """Distinct vectors of least id hash."""
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select("vector").collect()
     distinct = list(dict.fromkeys(tuple(r.vector) for r in rows))[:most]
-    return np.array(distinct)
+    points = np.array(distinct)
+    return points / np.linalg.norm(points, axis=1, keepdims=True) if distinct else points
 
 
-def prefixes(vectors: np.ndarray, pivots: np.ndarray, length: float, query: bool, prefix: int) -> np.ndarray:
-    """Numbers of the nearest pivots in order, one row per vector."""
-    def lifted(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(length**2 - (x * x).sum(axis=1), 0.0))
-
-    closeness = vectors @ pivots.T
-    if not query:
-        closeness = closeness + np.outer(lifted(vectors), lifted(pivots))
-    return np.argsort(-closeness, axis=1, kind="stable")[:, :prefix]
+def prefixes(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """Numbers of the pivots nearest in direction, in order, one row per vector."""
+    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :prefix]
 
 
 class InvertedFiles:
@@ -88,19 +84,23 @@ class InvertedFiles:
 
 
 def search_block(
-    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, length: float,
+    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray,
     k: int, share: float, prefix: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of the ``k`` best of a block for each query."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
-    files = InvertedFiles(prefixes(vectors, pivots, length, False, prefix), len(pivots))
+    files = InvertedFiles(prefixes(vectors, pivots, prefix), len(pivots))
+    lengths = np.linalg.norm(vectors, axis=1)
+    best = prefix * (prefix + 1) / 2  # agreement of equal orders
+    unit = (1 << 30) / (1.25 * best * max(lengths.max(initial=0.0), 1e-300))
     tried = min(ids.size, max(LEAST_CANDIDATES, math.ceil(share * ids.size)))
     found: list[tuple] = []
-    orders = prefixes(queries, pivots, length, True, prefix)
+    orders = prefixes(queries, pivots, prefix)
     rank = np.arange(ids.size)
     for query, vector, nearest in zip(query_ids.tolist(), queries, orders):
-        worth = files.agreement(nearest) * ids.size - rank  # distinct; ties to the smaller id
+        worth = (files.agreement(nearest) + best / 4) * lengths * unit
+        worth = worth.astype(np.int64) * ids.size - rank  # distinct; ties to the smaller id
         chosen = np.sort(np.argpartition(-worth, tried - 1)[:tried])
         chosen = chosen[ids[chosen] != query]
         scores = vectors[chosen] @ vector
@@ -125,11 +125,9 @@ def nearest(
     size, and what leaves a meeting is ``k`` rows per query.  ``share=1.0`` is exact.
     """
     own = stored(usable_vectors(vectors, id_col, vector_col), "vectors")
-    whole = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
     asked = own.where(is_query)
     points = choose_pivots(own, pivots)
-    length = math.sqrt(whole.m or 0.0)
-    blocks = max(1, -(-whole.n // BLOCK))
+    blocks = max(1, -(-own.count() // BLOCK))
     chunks = max(1, -(-asked.count() // CHUNK))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
@@ -141,7 +139,7 @@ def nearest(
         if mine.num_rows and theirs.num_rows:
             arrays = search_block(
                 mine.column("id").to_numpy(), _matrix(mine.column("vector")), theirs.column("id").to_numpy(),
-                _matrix(theirs.column("vector")), points, length, k, share, min(prefix, len(points)),
+                _matrix(theirs.column("vector")), points, k, share, min(prefix, len(points)),
             )
         return pa.Table.from_arrays([pa.array(x) for x in arrays], ["query_id", "vec_id", "score"])
 
