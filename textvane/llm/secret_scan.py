@@ -177,10 +177,12 @@ def redact_secrets(
     applies = F.col("_spans").isNotNull() & (F.sha2(text.cast("binary"), 256) == F.col("_blob"))
     redacted = F.when(applies, F.aggregate("_spans", start, step, rest)).otherwise(text)
     columns = [redacted.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    changed = joined.select(*columns, applies.alias("_changed"))
     if length_col in docs.columns:
-        new = F.when(applies, F.length(redacted).cast(docs.schema[length_col].dataType))
-        columns = [F.coalesce(new, F.col(f"`{c}`")).alias(c) if c == length_col else x for c, x in zip(docs.columns, columns)]
-    return joined.select(*columns)
+        kind = docs.schema[length_col].dataType
+        new = F.when(F.col("_changed"), F.length(text).cast(kind)).otherwise(F.col(f"`{length_col}`"))
+        changed = changed.withColumn(length_col, new)
+    return changed.drop("_changed")
 
 
 def span_text(spans, kinds: tuple[str, ...] | None = None):
