@@ -41,7 +41,7 @@ from textvane.session import scratch_path
 LENGTH = 50
 ANCHOR = 24
 BLOCK_BYTES = 4 << 20
-HOT_BLOCKS = 64
+HOT_BLOCKS = 2048
 BATCH_KEYS = 1 << 17
 STRIP = 1 << 16
 LAST_ID = np.iinfo(np.int64).max
@@ -293,8 +293,10 @@ class Segments:
         self.place: list[tuple[int, int, int, int]] = []
         if not marks:
             return
-        keys = np.concatenate([unpack_sorted(m["keys"]) for m in marks])
-        hot = np.concatenate([np.unpackbits(np.frombuffer(m["hot"], np.uint8))[: unpack_sorted(m["keys"]).size] for m in marks])
+        parts = [unpack_sorted(m["keys"]) for m in marks]
+        flags = [np.unpackbits(np.frombuffer(m["hot"], np.uint8)) for m in marks]
+        keys = np.concatenate(parts)
+        hot = np.concatenate([f[: k.size] for f, k in zip(flags, parts)])
         order = np.argsort(keys)
         keys, hot = keys[order], hot[order].astype(bool)
         runs = Runs(self.data, self.sizes, length, anchor)
