@@ -10,7 +10,7 @@ from textvane.functions.records import micros
 from textvane.operators import monitor, recovery, rolling
 from textvane.session import scratch_path, use_utc
 from textvane.sources import sinks
-from textvane.sources.events import MICRO_BATCH_BYTES
+from textvane.sources.events import stream_files
 from textvane.streaming import jobs
 
 CATALOG = Catalog()
@@ -453,27 +453,23 @@ RAW_DOCUMENTS = T.StructType(
 
 
 def stream_of(spark, folder: str, name: str, schema: T.StructType):
-    reader = use_utc(spark).readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.option("maxBytesPerTrigger", MICRO_BATCH_BYTES).parquet(folder)
+    return stream_files(use_utc(spark), f"{folder}/{name}.parquet", schema)
 
 
 def event_stream(spark, folder, key: str = "user_id"):
     return as_events(stream_of(spark, folder, "events", RAW_EVENTS), key)
 
 
-# windows still open when the log ends are not emitted
-CLOSED = "epoch_us(hour) + 3600000000 <= (SELECT max(us) FROM ev) - 600000000"
-
-
 @CATALOG.add(
     f"""WITH {ev(TENANT)}, g AS (SELECT key, date_trunc('hour', ts) AS hour, count(*) AS request_count,
     count(*) FILTER (error) AS error_count, min(latency_ms) AS latency_min, max(latency_ms) AS latency_max,
     avg(latency_ms) AS m FROM ev GROUP BY ALL)
   SELECT key, hour AS window_start, request_count, error_count, round(error_count::DOUBLE / request_count, 6) AS error_rate,
-    round(request_count / 3600.0::DOUBLE, 9) AS throughput_req_sec, latency_min, latency_max, round(m + 1e-9, 6) AS latency_mean FROM g WHERE {CLOSED}"""
+    round(request_count / 3600.0::DOUBLE, 9) AS throughput_req_sec, latency_min, latency_max, round(m + 1e-9, 6) AS latency_mean FROM g"""
 )
 def stream_metrics(spark, folder):
-    windows = jobs.run_to_table(jobs.metric_windows(event_stream(spark, folder, TENANT), BASELINE))
+    windows = jobs.metric_windows(event_stream(spark, folder, TENANT), BASELINE, watermark=None)
+    windows = jobs.run_to_latest(windows, ["key", "window_start"])
     return plain_ts(windows, "window_start").select(
         "key", "window_start", "request_count", "error_count", r6("error_rate"),
         F.round("throughput_req_sec", 9).alias("throughput_req_sec"), "latency_min", "latency_max", steady("latency_mean"),
@@ -500,7 +496,7 @@ def stream_quality(spark, folder):
 def stream_latency(spark, folder):
     """The newest row of each key that the stream wrote."""
     rows = jobs.run_to_table(jobs.latency_stream(event_stream(spark, folder)))
-    newest = rows.groupBy("key").agg(F.max_by(F.struct("p50", "p95", "p99", "min", "max", "mean"), F.struct("ts", "event_id")).alias("m"))
+    newest = rows.groupBy("key").agg(F.max_by(F.struct("p50", "p95", "p99", "min", "max", "mean"), "n_seen").alias("m"))
     return newest.select("key", "m.*").withColumn("mean", steady("mean"))
 
 
@@ -509,14 +505,15 @@ def stream_latency(spark, folder):
   tot AS (SELECT day, count(*) AS n FROM d GROUP BY day),
   q AS (SELECT t.day, t.n, b.p, greatest((SELECT count(*) FROM d r WHERE r.day = t.day AND r.label = b.label)::DOUBLE / t.n, 1e-6::DOUBLE) AS q FROM tot t, bl b)
   SELECT day AS window_start, n AS n_predictions, round(CASE WHEN n >= 100 THEN sum(p * ln(p / q)) ELSE 0.0 END, 6) AS kl FROM q
-  WHERE epoch_us(day) + 86400000000 <= (SELECT max(us) FROM ev) - 600000000 GROUP BY day, n"""
+  GROUP BY day, n"""
 )
 def stream_drift(spark, folder):
     """Daily drift against a baseline table that was written beforehand."""
     path = scratch_path(spark, "baseline")
     spark.createDataFrame(list(BASELINE.items()), "label string, p double").write.parquet(path)
     baseline = spark.read.parquet(path)
-    counts = jobs.run_to_table(jobs.drift_windows(event_stream(spark, folder), baseline, "1 day"))
+    counts = jobs.drift_windows(event_stream(spark, folder), baseline, "1 day", watermark=None)
+    counts = jobs.run_to_latest(counts, ["window_start", "label"])
     drift = jobs.window_drift(counts, baseline)
     return plain_ts(drift, "window_start").select("window_start", "n_predictions", r6("kl"))
 

@@ -54,10 +54,13 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return texts.join(classes(spark, folder), "doc_id")
 
 
+LINES_PER_DOCUMENT = 1 << 32  # an array holds fewer
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document as a row of its own."""
     split = documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return split.select((F.col("doc_id") * 100000 + F.col("line")).alias("doc_id"), "text")
+    return split.select((F.col("doc_id") * LINES_PER_DOCUMENT + F.col("line")).alias("doc_id"), "text")
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +129,7 @@ SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 CLS = """cls AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive'
   ELSE 'neutral' END AS label FROM labels)"""
 CORPUS = CLS + """, corpus AS (SELECT d.doc_id, d.text, c.label FROM documents d JOIN cls c USING (doc_id))"""
-LINES = """lines AS (SELECT doc_id * 100000 + (unnest(generate_series(1, len(string_split(text, chr(10))))) - 1) AS doc_id,
+LINES = """lines AS (SELECT doc_id * 4294967296 + (unnest(generate_series(1, len(string_split(text, chr(10))))) - 1) AS doc_id,
   unnest(string_split(text, chr(10))) AS text FROM documents)"""
 PREDICTIONS = """pred AS (SELECT doc_id, text, CASE n_chars % 4 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral'
   WHEN 2 THEN 'positive' ELSE 'other' END AS label, ((n_chars * 7 + doc_id) % 101)::DOUBLE / 100.0::DOUBLE AS confidence

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textvane.functions.scores import argmax_index, encode_label
+from textvane.scale import join_on
+
+UNKNOWN = "unknown"
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -20,18 +23,22 @@ def class_labels(df: DataFrame, label: str = "true_label") -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, true: str = "true_label", pred: str = "pred_label") -> DataFrame:
-    """(true_label, pred_label, n) for every pair of known labels, zeros included."""
-    counts = df.groupBy(F.col(true).alias("true_label"), F.col(pred).alias("pred_label")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # the label set is as small as the model's output
-    labels = counts.select(F.explode(F.array("true_label", "pred_label")).alias("l")).agg(
-        F.array_sort(F.collect_set("l")).alias("ls")
-    )
-    grid = labels.select(F.explode("ls").alias("true_label"), "ls").select(
-        "true_label", F.explode("ls").alias("pred_label")
+    """(true_label, pred_label, n) for every pair of labels, zeros included.
+
+    A missing text label is the label ``unknown``; a missing label of another type stays null and
+    has a row and column of its own.
+    """
+    named = df.select(F.col(true).alias("true_label"), F.col(pred).alias("pred_label"))
+    named = named.select(
+        *[F.coalesce(c, F.lit(UNKNOWN)).alias(c) if kind == "string" else F.col(c) for c, kind in named.dtypes]
     )
-    return grid.join(counts, ["true_label", "pred_label"], "left").select(
+    counts = named.groupBy("true_label", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+    # the label set is as small as the model's output; structs keep a null
+    label = F.explode(F.array(F.struct(F.col("true_label").alias("l")), F.struct(F.col("pred_label").alias("l"))))
+    labels = counts.select(label.alias("x")).agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    grid = labels.select(F.explode("xs").alias("t"), "xs").select("t", F.explode("xs").alias("p"))
+    grid = grid.select(F.col("t.l").alias("true_label"), F.col("p.l").alias("pred_label"))
+    return join_on(grid, counts, ["true_label", "pred_label"], "left").select(
         "true_label", "pred_label", F.coalesce("n", F.lit(0)).alias("n")
     )
 

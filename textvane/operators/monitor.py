@@ -9,10 +9,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textvane.config import LATENCY_PROBE_ROWS, MonitorPolicy
+from textvane.config import LATENCY_PROBE_ROWS, ROWS_PER_SLICE, MonitorPolicy
 from textvane.functions.records import micros
 from textvane.functions.scores import clamp, nearest_rank
-from textvane.scale import ROWS_PER_SLICE, last_n, lookup_side, with_rank
+from textvane.scale import join_on, last_n, lookup_side, running_sums
 from textvane.sources.events import is_error, is_prediction, is_request
 
 POLICY = MonitorPolicy()
@@ -27,7 +27,8 @@ def latency_percentiles(
     events: DataFrame, keys: Sequence[str] = (), policy: MonitorPolicy = POLICY
 ) -> DataFrame:
     """Nearest-rank p50/p95/p99, min, max, mean of the last N request latencies."""
-    requests = events.where(is_request()).select(*keys, *RECENT, "latency_ms")
+    timed = is_request() & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms")
+    requests = events.where(timed).select(*keys, *RECENT, "latency_ms")
     recent = last_n(requests, keys, RECENT, policy.latency_samples)
     # at most latency_samples values per key
     samples = _grouped(recent, keys).agg(F.array_sort(F.collect_list("latency_ms")).alias("_s"))
@@ -49,34 +50,33 @@ def linear_percentiles(
     value: str = "latency_ms",
     keys: Sequence[str] = (),
     percents: Sequence[float] = (50, 95, 99),
-    order: str = "event_id",
-    max_distinct: int = ROWS_PER_SLICE,
+    limit: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Mean and exact interpolated percentiles.
+    """Mean and exact interpolated percentiles; nulls are ignored, a key without values has nulls.
 
-    The aggregate keeps one entry per distinct value of a key, so it is used only while
-    that number is bounded; beyond it the needed ranks are read off a range-sorted copy.
+    Equal values are counted first.  A running count over each key's distinct values, cut into
+    slices where there are very many, tells which values hold the wanted ranks.
     """
-    spread = _grouped(df, keys).agg(F.approx_count_distinct(value).alias("d")).agg(F.max("d")).first()[0] or 0
-    if spread <= max_distinct:
-        shares = F.array(*[F.lit(p / 100.0) for p in percents])
-        both = _grouped(df, keys).agg(F.avg(value).alias("mean"), F.percentile(value, shares).alias("_q"))
-        return both.select(*keys, "mean", *[F.col("_q")[i].alias(f"p{p:g}") for i, p in enumerate(percents)])
-    ranked = with_rank(df.where(F.col(value).isNotNull()).select(*keys, value, order), keys, [value, order])
-    sizes = _grouped(ranked, keys).agg((F.max("_rank") + 1).alias("_n"))
-    wanted = sizes.select(
-        *keys, F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("_p"), "_n"
-    ).withColumn("_at", (F.col("_n") - 1) * F.col("_p") / 100.0)
-    ends = wanted.select(
-        *keys, "_p", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank")
-    )
-    hits = ranked.join(lookup_side(ends), [*keys, "_rank"])
-    low, high = F.min(value), F.max(value)
-    points = hits.groupBy(*keys, "_p", "_at").agg((low + (high - low) * (F.col("_at") - F.floor("_at"))).alias("v"))
-    wide = _grouped(points, keys).pivot("_p", [float(p) for p in percents]).agg(F.first("v"))
-    means = _grouped(df, keys).agg(F.avg(value).alias("mean"))
-    named = wide.select(*keys, *[F.col(f"`{float(p)}`").alias(f"p{p:g}") for p in percents])
-    return means.join(named, list(keys)) if keys else named.select(means.scalar().alias("mean"), "*")
+    if not keys:
+        alone = linear_percentiles(df.select(F.lit(0).alias("_all"), value), value, ["_all"], percents, limit)
+        empty = df.sparkSession.range(1).select(F.lit(0).alias("_all"))  # one row even without input
+        return join_on(empty, alone, ["_all"], "left").drop("_all")
+    means = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("_total"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    running = running_sums(counts, keys, [value], {"_upto": F.col("_n")}, limit)
+    ranked = join_on(running, lookup_side(means.select(*keys, "_total")), keys)
+    names, ends = [f"p{p:g}" for p in percents], []
+    for name, percent in zip(names, percents):
+        at = (F.col("_total") - 1) * percent / 100.0
+        for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            ends.append(F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(f"_{end}_{name}"))
+    joined = join_on(means, ranked.groupBy(*keys).agg(*ends), keys, "left")
+    parts = []
+    for name, percent in zip(names, percents):
+        at = (F.col("_total") - 1) * percent / 100.0
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        parts.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    return joined.select(*keys, "mean", *parts)
 
 
 def probe_latency(df: DataFrame, value: str = "latency_ms", order: str = "event_id", rows: int = LATENCY_PROBE_ROWS) -> DataFrame:
@@ -134,7 +134,7 @@ def label_shares(events: DataFrame, keys: Sequence[str] = (), policy: MonitorPol
     recent = recent_predictions(events, keys, policy)
     counts = recent.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
     totals = _grouped(counts, keys).agg(F.sum("n").alias("total"))
-    joined = counts.join(totals, list(keys)) if keys else counts.withColumn("total", totals.scalar())
+    joined = join_on(counts, totals, keys) if keys else counts.withColumn("total", totals.scalar())
     return joined.select(*keys, "label", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
@@ -227,7 +227,7 @@ def health_snapshot(
     nested = tail.select(*keys, F.struct("p50", "p95", "p99", "min", "max", "mean").alias("latency"))
     drift = kl_drift(events, baseline, keys, policy).drop("n_predictions")
     if keys:
-        joined = counts.join(flow, list(keys)).join(nested, list(keys), "left").join(drift, list(keys), "left")
+        joined = join_on(join_on(join_on(counts, flow, keys), nested, keys, "left"), drift, keys, "left")
     else:
         joined = counts.select(
             "*",

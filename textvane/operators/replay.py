@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textvane.config import ROWS_PER_SLICE
-from textvane.scale import lookup_side, sliced
+from textvane.scale import join_on, keys_as_text, keys_as_were, lookup_side, sliced
 
 WAITING = -1  # state code of the timed wait
 
@@ -188,7 +188,7 @@ def _entries(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
         for frame in frames:
             rows = []
             for row in frame.to_dict("records"):
-                if key != [row[k] for k in keys]:
+                if key != [row[k] for k in keys]:  # keys are text here, so null equals null
                     key, code, until = [row[k] for k in keys], 0, 0
                 rows.append((*[row[c] for c in names], code, until))
                 if code != WAITING:
@@ -217,20 +217,20 @@ def replay(
     base = events.select(
         *keys, "ts", "event_id", F.unix_micros("ts").alias("_us"), F.coalesce(flag, F.lit(False)).cast("int").alias("_flag")
     )
-    cut = sliced(base, keys, ("_us", "event_id"), 0, limit).drop("_warmup")
+    cut = keys_as_text(sliced(base, keys, ("_us", "event_id"), 0, limit).drop("_warmup"), keys)
     hot_slices = cut.where("_slice > 0").select(*keys).distinct()
     hot_keys = lookup_side(hot_slices)
     names = [*keys, "_slice"]
     if hot_keys.isEmpty():
         rows = cut.withColumn("_code", F.lit(0)).withColumn("_until", F.lit(0).cast("long"))
     else:
-        hot = cut.join(hot_keys, list(keys), "left_semi")
+        hot = join_on(cut, hot_keys, keys, "left_semi")
         entries = _entries(_summaries(hot, keys, machine), keys)
-        joined = cut.join(lookup_side(entries), names, "left")
+        joined = join_on(cut, lookup_side(entries), names, "left")
         rows = joined.withColumn("_code", F.coalesce("_code", F.lit(0))).withColumn(
             "_until", F.coalesce("_until", F.lit(0).cast("long"))
         )
-    return _walk(rows, keys, machine)
+    return keys_as_were(_walk(rows, keys, machine), keys, base)
 
 
 def _walk(rows: DataFrame, keys: Sequence[str], machine: Machine) -> DataFrame:

@@ -8,7 +8,6 @@ windows look back to, which are dropped afterwards.
 from __future__ import annotations
 
 import bisect
-import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -17,13 +16,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from textvane.config import ROWS_PER_SLICE, MonitorPolicy, RecoveryPolicy
 from textvane.functions.records import micros
 from textvane.operators.monitor import error_rate_expr, kl_terms
-from textvane.scale import carry_sums, last_n, running_sums, slice_window, sliced, split_hot, with_rank
+from textvane.scale import carry_sums, join_on, keys_as_text, keys_as_were, last_n, running_sums, slice_window, sliced, split_hot, with_rank
 from textvane.sources.events import is_error, is_prediction, is_request
 
 POLICY = MonitorPolicy()
 RECOVERY = RecoveryPolicy()
 ORDER = ("ts", "event_id")
 KEYS = ("key",)
+STEPS = 1 << 64  # of exact sums of floating-point numbers
 
 
 def _with_last_n(df: DataFrame, values: dict[str, Column], n: int, window: Window) -> DataFrame:
@@ -44,49 +44,51 @@ def rolling_percentiles(
 ) -> DataFrame:
     """Nearest-rank p50/p95/p99, min, max, mean of the last N latencies after each request.
 
+    Requests without a latency have no row and no place in a window.  Means come from sums of
+    integers (steps of 2**-64), so they do not depend on where a slice starts.
+
     A sliding sort has no built-in form (a framed collect would re-sort N values per row), so
     each slice streams through one ordered sample list per key.
     """
     n = policy.latency_samples
-    requests = events.where(is_request()).select(*keys, *ORDER, "latency_ms")
-    cut = sliced(requests, keys, ORDER, n - 1, limit)
+    timed = is_request() & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms")
+    requests = events.where(timed).select(*keys, *ORDER, F.col("latency_ms").cast("double").alias("latency_ms"))
+    cut = keys_as_text(sliced(requests, keys, ORDER, n - 1, limit), keys)
     placed = cut.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice", *ORDER)
-    marked = placed.select(
-        *keys, *ORDER, "latency_ms", F.xxhash64(*keys, "_slice").alias("_group"), "_slice", "_warmup"
-    )
-    fields = [f for f in requests.schema.fields if f.name != "latency_ms"]
+    fields = [f for f in keys_as_text(requests, keys).schema.fields if f.name != "latency_ms"]
     names = ("p50", "p95", "p99", "min", "max", "mean")
     out = T.StructType([*fields, *[T.StructField(m, T.DoubleType()) for m in names]])
     passed = [*keys, *ORDER]
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, recent, ordered, total = None, [], [], 0.0
+        group, recent, ordered, total = None, [], [], 0
         for frame in frames:
             idents = list(zip(*[frame[k] for k in keys], frame["_slice"]))
             rows = []
             for ident, x in zip(idents, frame["latency_ms"]):
                 if ident != group:
-                    group, recent, ordered, head, total = ident, [], [], 0, 0.0
+                    group, recent, ordered, head, total = ident, [], [], 0, 0
                 if len(ordered) == n:
                     old = recent[head]
                     del ordered[bisect.bisect_left(ordered, old)]
                     recent[head] = x
                     head = (head + 1) % n
-                    total = math.fsum(recent) if head == 0 else total + x - old
+                    total += int(x * STEPS) - int(old * STEPS)
                 else:
                     recent.append(x)
                     head = len(recent) % n
-                    total += x
+                    total += int(x * STEPS)
                 bisect.insort(ordered, x)
                 m = len(ordered)
                 at = [ordered[min(int(m * p / 100.0), m - 1)] for p in (50, 95, 99)]
-                rows.append((*at, ordered[0], ordered[-1], total / m))
+                rows.append((*at, ordered[0], ordered[-1], total / (m * STEPS)))
             result = frame[passed].copy()
             for i, name in enumerate(names):
                 result[name] = [r[i] for r in rows]
             yield result[~frame["_warmup"].astype(bool)]
 
-    return marked.drop("_group").mapInPandas(walk, out)
+    walked = placed.select(*keys, *ORDER, "latency_ms", "_slice", "_warmup").mapInPandas(walk, out)
+    return keys_as_were(walked, keys, requests)
 
 
 def rolling_drift(
@@ -145,7 +147,7 @@ def rolling_throughput(
     else:
         later = Window.partitionBy(*keys).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, 0)
         carried = firsts.select(*keys, (F.col("_slice") - 1).alias("_slice"), F.min("_first").over(later).alias("_ahead"))
-        joined = local.join(carried, [*keys, "_slice"], "left")
+        joined = join_on(local, carried, [*keys, "_slice"], "left")
         located = joined.withColumn("_oldest", F.coalesce("_next", "_ahead"))
     n = F.col("_rank") + 1 - F.col("_gone")
     span = (F.col("_at") - F.col("_oldest")) / 1e6
@@ -170,11 +172,16 @@ def running_error_rate(
     events: DataFrame, keys: Sequence[str] = KEYS, limit: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Counters and error rate since the start of the log, after each event."""
+    return _running_rate(events, keys, limit).drop("_r")
+
+
+def _running_rate(events: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """The same with ``_r``: whether the row is a request."""
     slim = events.select(*keys, *ORDER, is_request().alias("_r"), is_error().alias("_e"))
     sums = {"request_count": F.col("_r").cast("long"), "error_count": F.col("_e").cast("long")}
     counted = running_sums(slim, keys, ORDER, sums, limit)
     rate = error_rate_expr(F.col("error_count"), F.col("request_count"))
-    return counted.select(*keys, *ORDER, "request_count", "error_count", rate.alias("error_rate"))
+    return counted.select(*keys, *ORDER, "request_count", "error_count", rate.alias("error_rate"), "_r")
 
 
 def quality_degradation(
@@ -238,11 +245,8 @@ def alerts(
         *columns, F.lit("latency_spike").alias("alert_type"), F.col("latency_ms").alias("value")
     )
     # checked when a request ends, as the requests are what is being watched
-    asked = events.where(is_request()).select(*columns)
-    running = running_error_rate(events, keys, limit).where(F.col("error_rate") > policy.error_rate_alert)
-    failing = running.join(asked, columns, "left_semi").select(
-        *columns, F.lit("error_spike").alias("alert_type"), F.col("error_rate").alias("value")
-    )
+    running = _running_rate(events, keys, limit).where(F.col("_r") & (F.col("error_rate") > policy.error_rate_alert))
+    failing = running.select(*columns, F.lit("error_spike").alias("alert_type"), F.col("error_rate").alias("value"))
     rows = slow.unionByName(failing)
     if baseline:
         drifting = rolling_drift(events, baseline, keys, policy, limit).where("drift_detected").select(

@@ -93,6 +93,24 @@ def _alias_key(left: str, right: str, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the right side adds its other columns."""
+    if how in ("left_semi", "left_anti"):
+        return left.alias("p").join(right.alias("q"), _alias_key("p", "q", keys), how)
+    added = [F.col(f"q.{c}") for c in right.columns if c not in keys]
+    joined = left.alias("p").join(right.alias("q"), _alias_key("p", "q", keys), how)
+    return joined.select(*[F.col(f"p.{c}") for c in left.columns], *added)
+
+
+def keys_as_text(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys as strings: in pandas a null integer would turn its column into floats that equal nothing."""
+    return df.select(*[F.col(c).cast("string").alias(c) if c in keys else F.col(c) for c in df.columns])
+
+
+def keys_as_were(df: DataFrame, keys: Sequence[str], before: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast(before.schema[c].dataType).alias(c) if c in keys else F.col(c) for c in df.columns])
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int = ROWS_PER_SLICE
 ) -> tuple[DataFrame, DataFrame | None]:

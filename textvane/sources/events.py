@@ -59,10 +59,22 @@ def load_events(spark: SparkSession, path: str, format: str = "parquet", schema:
     return with_defaults((reader.schema(schema) if schema else reader).load(path))
 
 
+def stream_files(
+    spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet", live: bool = False, **options: str
+) -> DataFrame:
+    """A table's files as a stream; ``path`` is a file or a folder of files.
+
+    A live log is read in micro-batches of bounded size.  A finished log is one micro-batch: its
+    files may come in any order, and rows of a key that arrive in later batches than younger ones
+    could not be put in order any more.
+    """
+    limits = {"maxBytesPerTrigger": str(MICRO_BATCH_BYTES), **options} if live else options
+    name = path.rstrip("/")  # as a pattern that matches itself it may be a file, too
+    return spark.readStream.schema(schema).format(format).options(**limits).load(f"{name[:-1]}[{name[-1]}]")
+
+
 def stream_events(
-    spark: SparkSession, path: str, schema: T.StructType = EVENTS, format: str = "parquet", **options: str
+    spark: SparkSession, path: str, schema: T.StructType = EVENTS, format: str = "parquet", live: bool = False, **options: str
 ) -> DataFrame:
     """The same log as a stream of files."""
-    # a micro-batch is bounded, so that a hot key of a keyed state stays bounded as well
-    limits = {"maxBytesPerTrigger": str(MICRO_BATCH_BYTES), **options}
-    return with_defaults(spark.readStream.schema(schema).format(format).options(**limits).load(path))
+    return with_defaults(stream_files(spark, path, schema, format, live, **options))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-AUDIT_ID = ("key", "ts", "action_type")
+AUDIT_ID = ("key", "ts", "event_id", "action_type")
 
 
 def write_metrics_json(metrics: DataFrame, path: str) -> str:
@@ -86,7 +86,7 @@ def write_report(report: DataFrame, model: str, path: str) -> str:
 
 def append_actions(actions: DataFrame, path: str) -> str:
     """Append recovery actions; replays of the same action carry the same id."""
-    ident = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in AUDIT_ID]), 256)
+    ident = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in AUDIT_ID])), 256)  # a null is left out
     actions.withColumn("action_id", ident).write.mode("append").parquet(path)
     return path
 

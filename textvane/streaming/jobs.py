@@ -6,6 +6,7 @@ progress in the shared checkpoint folder unless it is told where.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,7 +19,7 @@ from textvane.operators.guardrails import apply_guardrails
 from textvane.operators.monitor import error_rate_expr, health_score, kl_terms
 from textvane.operators.recovery import breaker_machine
 from textvane.operators.replay import Machine
-from textvane.scale import lookup_side
+from textvane.scale import keys_as_text, keys_as_were, lookup_side
 from textvane.session import scratch_path
 from textvane.sources.events import is_error, is_prediction, is_request
 
@@ -45,6 +46,32 @@ def run_to_table(
     return spark.read.schema(stream.schema).parquet(target)
 
 
+def run_to_latest(stream: DataFrame, keys: Sequence[str], path: str | None = None, progress: str | None = None) -> DataFrame:
+    """Process a finished log and keep the last state of every group, open windows included.
+
+    Each micro-batch writes the groups it changed; without a watermark no row is late, so the
+    result does not depend on how the files fell into micro-batches.
+    """
+    spark = stream.sparkSession
+    target = path or scratch_path(spark, "stream-table")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/part={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", progress or scratch_path(spark, "stream-progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    versions = spark.read.schema(schema).parquet(f"{target}/part=*")
+    newest = F.max_by(F.struct(*stream.columns), "_batch").alias("_row")
+    return versions.groupBy(*keys).agg(newest).select("_row.*")
+
+
 def guardrail_stream(predictions: DataFrame, threshold: float = CONFIDENCE_THRESHOLD, stamp: bool = True) -> DataFrame:
     """Guardrails on a stream of predictions; stateless, so the batch expressions are reused."""
     return apply_guardrails(predictions, threshold, stamp=stamp)
@@ -56,7 +83,7 @@ def metric_windows(
     width: str = "1 hour",
     slide: str | None = None,
     keys: Sequence[str] = ("key",),
-    watermark: str = WATERMARK,
+    watermark: str | None = WATERMARK,
     policy: MonitorPolicy = MONITOR,
     accuracy: int = 10_000,
 ) -> DataFrame:
@@ -69,7 +96,8 @@ def metric_windows(
     latency = F.when(is_request(), F.col("latency_ms"))
     points = F.percentile_approx(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(accuracy))
     predicted = {label: F.count_if(is_prediction() & (F.col("label") == label)) for label in baseline}
-    grouped = events.withWatermark("ts", watermark).groupBy(span.alias("w"), *keys).agg(
+    timed = events.withWatermark("ts", watermark) if watermark else events  # None: a finished log
+    grouped = timed.groupBy(span.alias("w"), *keys).agg(
         F.count_if(is_request()).alias("request_count"),
         F.count_if(is_error()).alias("error_count"),
         F.count_if(is_prediction()).alias("n_predictions"),
@@ -108,7 +136,7 @@ def metric_windows(
 
 
 def drift_windows(
-    events: DataFrame, baseline: DataFrame, width: str = "1 hour", watermark: str = WATERMARK
+    events: DataFrame, baseline: DataFrame, width: str = "1 hour", watermark: str | None = WATERMARK
 ) -> DataFrame:
     """Label counts per window against a persisted baseline table (stream-static join).
 
@@ -116,7 +144,8 @@ def drift_windows(
     divergence with ``window_drift``.
     """
     known = lookup_side(baseline)  # one row per class
-    counted = events.where(is_prediction()).withWatermark("ts", watermark)
+    counted = events.where(is_prediction())
+    counted = counted.withWatermark("ts", watermark) if watermark else counted
     joined = counted.join(known, "label", "left")
     return (
         joined.groupBy(F.window("ts", width).alias("w"), "label", "p")
@@ -149,7 +178,8 @@ def replay_stream(
 ) -> DataFrame:
     """The batch state machine over a stream: state per key is two numbers.
 
-    Rows of a key are ordered by (ts, event_id) within each micro-batch.
+    Rows of a key are ordered by (ts, event_id) within each micro-batch: a finished log is read as
+    one (see ``stream_files``), a live one arrives in order.
     """
     source = events.select(
         key, "ts", "event_id", F.unix_micros("ts").alias("_us"), F.coalesce(flag, F.lit(False)).cast("int").alias("_flag")
@@ -223,28 +253,48 @@ def quality_stream(events: DataFrame, policy: RecoveryPolicy = RECOVERY, key: st
 def latency_stream(events: DataFrame, policy: MonitorPolicy = MONITOR, key: str = "key") -> DataFrame:
     """Percentiles of the last N latencies of each key, one row per key and micro-batch.
 
-    State per key is at most N latencies.
+    State per key is at most N latencies with their places in the log, so requests may arrive in
+    any order; of a key's rows the one with the largest ``n_seen`` is the last word.
     """
     n = policy.latency_samples
-    source = events.where(is_request()).select(key, "ts", "event_id", "latency_ms")
+    timed = is_request() & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms")
+    source = keys_as_text(events.where(timed).select(key, "ts", "event_id", "latency_ms"), [key])
+    source = source.withColumn("_us", F.unix_micros("ts"))
     names = ("p50", "p95", "p99", "min", "max", "mean")
     kept = [source.schema[c] for c in (key, "ts", "event_id")]
-    out = T.StructType([*kept, *[T.StructField(m, T.DoubleType()) for m in names]])
-    state_type = T.StructType([T.StructField("recent", T.ArrayType(T.DoubleType()))])
+    out = T.StructType([*kept, *[T.StructField(m, T.DoubleType()) for m in names], T.StructField("n_seen", T.LongType())])
+    state_type = T.StructType(
+        [
+            T.StructField("us", T.ArrayType(T.LongType())),
+            T.StructField("ids", T.ArrayType(T.LongType())),
+            T.StructField("values", T.ArrayType(T.DoubleType())),
+            T.StructField("seen", T.LongType()),
+        ]
+    )
 
     def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        batch = pd.concat([f.nlargest(n, ["ts", "event_id"]) for f in frames]).sort_values(["ts", "event_id"])
-        recent = [float(x) for x in [*held, *batch["latency_ms"]][-n:]]
-        state.update((recent,))
+        us, ids, values, seen = state.get if state.exists else ([], [], [], 0)
+        held = pd.DataFrame({"_us": us, "event_id": ids, "latency_ms": values})
+        last = None
+        for frame in frames:
+            seen += len(frame)
+            held = pd.concat([held, frame[["_us", "event_id", "latency_ms"]]]) if len(held) else frame[["_us", "event_id", "latency_ms"]]
+            held = held.sort_values(["_us", "event_id"]).tail(n)
+            last = frame.tail(1) if last is None else last
+        recent = [float(x) for x in held["latency_ms"]]
+        moments = [int(x) for x in held["_us"]]
+        state.update((moments, [int(x) for x in held["event_id"]], recent, seen))
         ordered = sorted(recent)
         at = [ordered[min(int(len(ordered) * p / 100.0), len(ordered) - 1)] for p in (50, 95, 99)]
-        row = batch[[key, "ts", "event_id"]].tail(1).copy()
-        for name, value in zip(names, (*at, ordered[0], ordered[-1], sum(recent) / len(recent))):
+        row = last[[key, "ts", "event_id"]].copy()
+        row["ts"], row["event_id"] = pd.to_datetime(moments[-1], unit="us"), int(held["event_id"].iloc[-1])
+        for name, value in zip(names, (*at, ordered[0], ordered[-1], math.fsum(recent) / len(recent))):
             row[name] = value
+        row["n_seen"] = seen
         yield row
 
-    return source.groupBy(key).applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.NoTimeout)
+    stepped = source.groupBy(key).applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.NoTimeout)
+    return keys_as_were(stepped, [key], events)
 
 
 def on_alerts(alerts: DataFrame, handler: Callable[[DataFrame, int], None], progress: str | None = None):
