@@ -215,6 +215,16 @@ def quality_report(spark, folder):
     )
 
 
+@CATALOG.add(
+    f"""WITH RECURSIVE {CORPUS}, {greedy_sql('corpus', NEAR)} SELECT leader_id, member_id FROM dup
+  WHERE leader_id IN (SELECT DISTINCT leader_id FROM dup ORDER BY 1 LIMIT 5)"""
+)
+def duplicate_sample_groups(spark, folder):
+    """All members of the report's first five duplicate groups."""
+    pairs = dedup.leader_pairs(corpus(spark, folder), Jaccard(NEAR))
+    return quality.first_group_members(dedup.duplicate_groups(pairs))
+
+
 FORM = rf"lower(regexp_replace(text, '^{tables.SPACE}+|{tables.SPACE}+$', '', 'g'))"
 
 

@@ -184,7 +184,7 @@ def tfidf_weights(spark, folder):
 @CATALOG.add(
     f"""WITH wd AS (SELECT doc_id, {WORDS} AS w FROM documents),
   ids AS (SELECT term, row_number() OVER (ORDER BY cf DESC, term) + 1 AS id FROM (SELECT term, count(*) AS cf
-    FROM (SELECT unnest(w) AS term FROM wd) GROUP BY term ORDER BY cf DESC, term LIMIT 10000)),
+    FROM (SELECT unnest(w) AS term FROM wd) GROUP BY term)),
   sq AS (SELECT doc_id, i, coalesce(id, 1) AS id FROM (SELECT doc_id, unnest(generate_series(1, least(len(w), 512))) AS i, w FROM wd)
     LEFT JOIN ids ON ids.term = w[i]),
   ag AS (SELECT doc_id, list(id ORDER BY i) AS s FROM sq GROUP BY doc_id),

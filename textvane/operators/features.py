@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+from collections.abc import Iterator
 
-from textvane.config import MAX_DOCUMENT_SHARE, MAX_SEQUENCE_LENGTH, MAX_VOCABULARY, MIN_DOCUMENT_FREQUENCY
-from textvane.scale import lookup_side, spread_out
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from textvane.config import MAX_DOCUMENT_SHARE, MAX_SEQUENCE_LENGTH, MAX_VOCABULARY, MIN_DOCUMENT_FREQUENCY, SMALL_TABLE_ROWS
+from textvane.scale import spread_out, with_rank
 
 TERM = r"(?U)\w\w+"  # a run of at least two word characters
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
@@ -71,23 +77,48 @@ def idf(df: Column, n: Column) -> Column:
     return F.log((n + 1.0) / (df + 1.0)) + 1.0
 
 
+def _row_terms(lists: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in ``known``) of every known term of a batch, in order."""
+    lengths = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    place = pc.index_in(lists.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(lengths.size), lengths)
+    hit = ~np.isnan(place) if place.dtype.kind == "f" else np.ones(place.size, bool)
+    return rows[hit], place[hit].astype(np.int64)
+
+
 def tfidf_weights(df: DataFrame, order: str = "doc_id", text: str = "text", max_terms: int = MAX_VOCABULARY) -> DataFrame:
-    """(id, term, weight) with unit length per document.  The vocabulary has ``max_terms`` rows at most."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    terms_known = lookup_side(vocabulary(df, total, max_terms, text=text), max_terms)
-    # unknown terms are dropped before the counting, so only vocabulary terms are shuffled
-    known = document_terms(df, order, text).join(terms_known, "term").groupBy(order, "term", "df").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = known.select(order, "term", (F.col("tf") * idf(F.col("df"), total)).alias("_w"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(order)))
-    return weighted.select(order, "term", (F.col("_w") / norm).alias("weight"))
-
-
-def word_ids(df: DataFrame, text: str = "text", max_terms: int = MAX_VOCABULARY) -> DataFrame:
-    """(term, term_id) of the most frequent words, numbered from FIRST_ID by frequency."""
+    """(id, term, weight) with unit length per document.
+
+    The vocabulary has ``max_terms`` rows at most and goes to every task; a document is counted
+    and weighed where it is read, so nothing is shuffled after the vocabulary.
+    """
+    n = df.count()
+    rows = vocabulary(df, F.lit(n), max_terms, text=text).select("term", "df").collect()
+    known = pa.array([r.term for r in rows], pa.string())
+    rarity = np.array([math.log((n + 1.0) / (r.df + 1.0)) + 1.0 for r in rows])
+    schema = T.StructType([df.schema[order], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place = _row_terms(batch.column(1), known)
+            cells, tf = np.unique(row * max(1, len(known)) + place, return_counts=True)
+            row, place = np.divmod(cells, max(1, len(known)))
+            weight = tf * rarity[place]
+            norm = np.sqrt(np.bincount(row, weight * weight, batch.num_rows))
+            columns = [batch.column(0).take(pa.array(row)), known.take(pa.array(place)), pa.array(weight / norm[row])]
+            yield pa.RecordBatch.from_arrays(columns, [order, "term", "weight"])
+
+    return with_terms(df.select(order, text), text).select(order, "terms").mapInArrow(weigh, schema)
+
+
+def word_ids(df: DataFrame, text: str = "text", max_terms: int | None = None) -> DataFrame:
+    """(term, term_id), numbered from FIRST_ID by frequency; all words, or the ``max_terms`` most frequent."""
     words = spread_out(df.select(text)).select(F.explode(words_of(F.col(text))).alias("term"))
-    top = words.groupBy("term").agg(F.count(F.lit(1)).alias("cf")).orderBy(F.col("cf").desc(), "term").limit(max_terms)
-    rank = F.row_number().over(Window.orderBy(F.col("cf").desc(), "term"))  # max_terms rows at most
-    return top.select("term", (rank + (FIRST_ID - 1)).cast("int").alias("term_id"))
+    counts = words.groupBy("term").agg((-F.count(F.lit(1))).alias("_less"))
+    if max_terms is not None:
+        counts = counts.orderBy("_less", "term").limit(max_terms)
+    ranked = with_rank(counts, [], ["_less", "term"])
+    return ranked.select("term", (F.col("_rank") + FIRST_ID).cast("int").alias("term_id"))
 
 
 def token_sequences(
@@ -97,17 +128,21 @@ def token_sequences(
     order: str = "doc_id",
     text: str = "text",
     label: str | None = None,
-    max_terms: int = MAX_VOCABULARY,
+    max_terms: int | None = None,
 ) -> DataFrame:
     """Word ids truncated and padded to ``max_length``, with the attention mask.
 
-    A sequence holds ``max_length`` ids at most, which bounds the regrouping by document.
+    A vocabulary of at most ``SMALL_TABLE_ROWS`` words goes to every task; a larger one is joined,
+    and a sequence's ``max_length`` ids at most are put together again.
     """
-    known = lookup_side(word_ids(df, text, max_terms) if ids is None else ids, max_terms)
+    table = word_ids(df, text, max_terms) if ids is None else ids
     kept = [order, *([label] if label else [])]
     first = spread_out(df.select(*kept, text)).select(*kept, F.slice(words_of(F.col(text)), 1, max_length).alias("w"))
+    rows = table.limit(SMALL_TABLE_ROWS + 1).collect()
+    if len(rows) <= SMALL_TABLE_ROWS:
+        return _looked_up(first, kept, rows, max_length)
     placed = first.select(*kept, F.posexplode_outer("w").alias("at", "term"))
-    found = placed.join(known, "term", "left").withColumn(
+    found = placed.join(table, "term", "left").withColumn(
         "term_id", F.when(F.col("term").isNotNull(), F.coalesce("term_id", F.lit(UNKNOWN_ID)))
     )
     present = F.when(F.col("term_id").isNotNull(), F.struct("at", "term_id"))
@@ -119,3 +154,30 @@ def token_sequences(
         F.concat(sequence, F.array_repeat(F.lit(PAD_ID), missing)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("s")), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),
     )
+
+
+def _looked_up(first: DataFrame, kept: list[str], rows: list, max_length: int) -> DataFrame:
+    known = pa.array([r.term for r in rows], pa.string())
+    numbers = np.array([r.term_id for r in rows] or [UNKNOWN_ID], np.int32)
+    integers = T.ArrayType(T.IntegerType())
+    fields = [first.schema[c] for c in kept]
+    schema = T.StructType([*fields, T.StructField("input_ids", integers), T.StructField("attention_mask", integers)])
+
+    def as_lists(values: np.ndarray) -> pa.Array:
+        ends = np.arange(values.shape[0] + 1, dtype=np.int32) * values.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(len(kept))
+            lengths = np.nan_to_num(pc.list_value_length(words).to_numpy(zero_copy_only=False)).astype(np.int64)
+            place = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            used = np.arange(max_length) < lengths[:, None]
+            ids = np.full(used.shape, PAD_ID, np.int32)
+            ids[used] = np.where(place >= 0, numbers[place], UNKNOWN_ID)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(kept)], as_lists(ids), as_lists(used.astype(np.int32))],
+                [*kept, "input_ids", "attention_mask"],
+            )
+
+    return first.mapInArrow(fill, schema)

@@ -91,15 +91,14 @@ def blank_section(df: DataFrame, text: str = "text", order: str = "doc_id", samp
     )
 
 
-def first_groups(groups: DataFrame, k: int = 5, members: int = 100) -> DataFrame:
-    """The ``k`` duplicate groups with the smallest leaders: size and first member ids."""
-    sizes = groups.groupBy("leader_id").agg(F.count(F.lit(1)).alias("n_members")).orderBy("leader_id").limit(k)
-    rows = groups.join(lookup_side(sizes, k), "leader_id")
-    newest = Window.partitionBy("leader_id").orderBy("member_id")
-    shown = rows.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= members)
-    return shown.groupBy("leader_id", "n_members").agg(
-        F.array_sort(F.collect_list("member_id")).alias("member_ids")
-    )
+def first_groups(groups: DataFrame, k: int = 5) -> DataFrame:
+    """(leader_id, n_members) of the ``k`` duplicate groups with the smallest leaders."""
+    return groups.groupBy("leader_id").agg(F.count(F.lit(1)).alias("n_members")).orderBy("leader_id").limit(k)
+
+
+def first_group_members(groups: DataFrame, k: int = 5) -> DataFrame:
+    """All (leader_id, member_id) rows of these groups; a group may have any number of members."""
+    return groups.join(lookup_side(first_groups(groups, k).select("leader_id"), k), "leader_id").select("leader_id", "member_id")
 
 
 def quality_report(df: DataFrame, groups: DataFrame, label: str | None = "label") -> DataFrame:
@@ -110,7 +109,7 @@ def quality_report(df: DataFrame, groups: DataFrame, label: str | None = "label"
     blank = blank_section(df)
     duplicates = groups.agg(F.count(F.lit(1)).alias("n"))
     sample = first_groups(groups).agg(
-        F.array_sort(F.collect_list(F.struct("leader_id", "n_members", "member_ids"))).alias("g")
+        F.array_sort(F.collect_list(F.struct("leader_id", "n_members"))).alias("g")
     )
     lengths = length_stats(df.select("text"))
     labels = label_distribution(df, label) if label else None
