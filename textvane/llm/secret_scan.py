@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textvane.llm.common import columns_as, stored, text_of
+from textvane.llm.common import columns_as, marked, stored, text_of
 
 
 @dataclass(frozen=True)
@@ -100,18 +100,25 @@ def scan_new_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tupl
     own = docs.select("id", text_of("text").alias("text"))
     blob = F.sha2(F.col("text").cast("binary"), 256)
     versions = stored(own.select("id", blob.alias("blob")), "blob-versions")
-    carriers = versions.groupBy("blob").agg(F.min("id").alias("id"))
-    wanted = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-    if ledger is not None:
-        known = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("known"))
-        carriers = carriers.join(known, "blob", "left").where(
-            F.size(F.array_except(wanted, F.coalesce("known", F.array().cast("array<string>")))) > 0
-        )
-    else:
-        carriers = carriers.withColumn("known", F.array().cast("array<string>"))
-    carriers = carriers.select(F.col("id").alias("carrier"), F.col("blob").alias("_blob"), "known")
-    meets = own["id"].eqNullSafe(carriers["carrier"]) & (blob == carriers["_blob"])
-    texts = own.join(carriers.hint("shuffle_hash"), meets).select("text", "known")
+    carriers = versions.groupBy("blob").agg(F.min("id").alias("carrier"))
+    named = own.withColumn("blob", blob)
+    mark = F.xxhash64("id", "blob")
+    if ledger is None:  # nearly every row carries its blob: only the possible others are moved
+        others = versions.join(carriers, "blob").where(~F.col("id").eqNullSafe(F.col("carrier"))).select("id", "blob").distinct()
+        others = stored(others.select(F.col("id").alias("_id"), F.col("blob").alias("_blob")), "blob-copies")
+        known = marked(named, mark, others.select(F.xxhash64("_id", "_blob").alias("h")))
+        copy = known["id"].eqNullSafe(others["_id"]) & (known["blob"] == others["_blob"])
+        texts = known.where("not _maybe").unionByName(known.where("_maybe").join(others, copy, "left_anti"))
+        texts = texts.select("text", F.array().cast("array<string>").alias("known"))
+    else:  # few rows carry a blob that lacks a rule
+        wanted = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+        scanned = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("known"))
+        lacking = carriers.join(scanned, "blob", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+        lacking = lacking.where(F.size(F.array_except(wanted, F.col("known"))) > 0)
+        lacking = stored(lacking.select(F.col("carrier").alias("_id"), F.col("blob").alias("_blob"), "known"), "blob-unseen")
+        possible = marked(named, mark, lacking.select(F.xxhash64("_id", "_blob").alias("h"))).where("_maybe")
+        meets = possible["id"].eqNullSafe(lacking["_id"]) & (possible["blob"] == lacking["_blob"])
+        texts = possible.join(lacking, meets).select("text", "known")
     fresh = texts.mapInArrow(_scanner(rules), LEDGER)
     if not versions.groupBy("id", "blob").count().where("count > 1").isEmpty():
         fresh = fresh.dropDuplicates(["blob", "kind", "version"])  # a carrier row that stands twice
@@ -154,7 +161,10 @@ def redact_secrets(
     """
     found = secret_spans(docs, id_col, text_col).where(F.size("spans") > 0)
     found = found.select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    found = found.dropDuplicates(["_id", "_blob"])
+    found = stored(found.dropDuplicates(["_id", "_blob"]), "secret-spans")
+    known = marked(docs, F.xxhash64(F.col(f"`{id_col}`")), found.select(F.xxhash64("_id").alias("h")))
+    clean = known.where("not _maybe").drop("_maybe")  # stays where it is read
+    docs = known.where("_maybe").drop("_maybe")
     text = F.col(f"`{text_col}`")
     same = docs[id_col].eqNullSafe(found["_id"])
     step = lambda state, s: F.when(
@@ -182,7 +192,7 @@ def redact_secrets(
         kind = docs.schema[length_col].dataType
         new = F.when(F.col("_changed"), F.length(text).cast(kind)).otherwise(F.col(f"`{length_col}`"))
         changed = changed.withColumn(length_col, new)
-    return changed.drop("_changed")
+    return clean.unionByName(changed.drop("_changed"))
 
 
 def span_text(spans, kinds: tuple[str, ...] | None = None):
