@@ -41,7 +41,7 @@ from textvane.session import scratch_path
 
 WORD_BITS = 56
 STRETCH = 1 << 20
-TOKENS_AT_ONCE = 6_000_000
+TOKENS_AT_ONCE = 3_000_000
 END = U64(1)
 START = U64(2)
 
@@ -104,10 +104,11 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes + 1
 
 
-def bigrams(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, second) of every token but START."""
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, number of the key before, number of the key) of every token but START."""
     real = np.flatnonzero(keys != START)
-    return keys[real - 1], keys[real]
+    words, number = np.unique(keys, return_inverse=True)
+    return words, number[real - 1], number[real]
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -179,11 +180,15 @@ def map_array(folder: str, name: str, dtype) -> np.ndarray:
 # --- counting ------------------------------------------------------------------------
 
 
-def _counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (first, second) in order, with counts."""
-    words, number = np.unique(np.concatenate([first, second]), return_inverse=True)
-    a, b = number[: first.size].astype(U64), number[first.size :].astype(U64)
-    pairs, counts = np.unique((a << U64(32)) | b, return_counts=True)
+    words, before, after = numbered(keys)
+    pairs = before.astype(U64)
+    del before
+    pairs <<= U64(32)
+    pairs |= after.astype(U64)
+    del after
+    pairs, counts = np.unique(pairs, return_counts=True)
     return words[(pairs >> U64(32)).astype(np.int64)], words[(pairs & U64(0xFFFFFFFF)).astype(np.int64)], counts
 
 
@@ -271,7 +276,7 @@ def train(docs: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys in _batched_tokens(batches):
-            first, second, counts = _counted(*bigrams(keys))
+            first, second, counts = _counted(keys)
             shard = shards.of_pair(first, second)
             order = np.argsort(shard.astype(np.uint16) if bits <= 16 else shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards.count + 1)).tolist()
@@ -391,9 +396,7 @@ class Mapped:
         """(tokens, known tokens, base score, score) per text."""
         model = self.model
         keys, sizes = tokens(texts)
-        first, second = bigrams(keys)
-        words, number = np.unique(np.concatenate([first, second]), return_inverse=True)
-        a, b = number[: first.size], number[first.size :]
+        words, a, b = numbered(keys)
         names = {"seen": np.int64, "before": np.uint32, "once": np.uint32, "twice": np.uint32, "more": np.uint32}
         word = self._look_up(self.shards.of_word(words), words, "words", names)
         pairs, which = np.unique((a.astype(U64) << U64(32)) | b.astype(U64), return_inverse=True)
@@ -429,7 +432,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapped = Mapped(model)
-        for ids, texts in text_batches(batches, rows=8192, size=8 << 20):
+        for ids, texts in text_batches(batches, rows=8192, size=4 << 20):
             n, known, base, score = mapped.score(texts)
             columns = [pa.array(ids, id_type), pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
