@@ -46,6 +46,12 @@ HEADLINE = [
     "token_sequences",
     "stream_metrics",
     "stream_breaker",
+    "baseline_logreg",
+    "baseline_forest",
+    "baseline_svm",
+    "fuzzy_dedup_ratio",
+    "preprocess_corpus",
+    "quality_report",
 ]
 
 

@@ -10,7 +10,7 @@ from textvane.functions.records import micros
 from textvane.operators import monitor, recovery, rolling
 from textvane.session import scratch_path, use_utc
 from textvane.sources import sinks
-from textvane.sources.events import stream_files
+from textvane.sources.events import EVENTS, is_prediction, load_events, stream_files
 from textvane.streaming import jobs
 
 CATALOG = Catalog()
@@ -82,6 +82,34 @@ def latency_probe(spark, folder):
     return probe.select(steady("mean_ms"), "median_ms", "min_ms", "max_ms", r6("std_ms"))
 
 
+KINDS = "CASE event_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'prediction' END"
+
+
+@CATALOG.add(
+    f"""WITH raw AS (SELECT user_id AS key, coalesce({KINDS}, 'request') AS kind, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE event_type END AS label,
+    event_id % 7 = 0 AS failed FROM events)
+  SELECT key, count(*) FILTER (kind = 'request') AS request_count,
+    count(*) FILTER (kind = 'error' OR (kind = 'request' AND failed)) AS error_count,
+    count(*) FILTER (kind = 'prediction' OR (kind = 'request' AND label <> 'unknown')) AS prediction_count FROM raw GROUP BY key"""
+)
+def mixed_event_kinds(spark, folder):
+    """A log of requests, errors and predictions whose records leave fields out, read back from JSON."""
+    raw = table(spark, folder, "events").select(
+        "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("user_id").cast("string").alias("key"),
+        F.expr(KINDS).alias("kind"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("label"),
+        F.when(F.col("event_id") % 7 == 0, True).alias("error"),
+    )
+    path = scratch_path(spark, "mixed-log")
+    raw.write.json(path)  # nulls are left out
+    log = load_events(spark, path, "json", EVENTS)
+    rates = monitor.error_rate(log, KEY).select(F.col("key").cast("long").alias("key"), "request_count", "error_count")
+    said = log.groupBy(F.col("key").cast("long").alias("key")).agg(F.count_if(is_prediction()).alias("prediction_count"))
+    return rates.join(said, "key")
+
+
 RATE_SQL = """count(*) AS request_count, count(*) FILTER (error) AS error_count,
   round(count(*) FILTER (error)::DOUBLE / count(*), 6) AS error_rate"""
 

@@ -114,22 +114,25 @@ def model_summary(spark, folder):
     return sinks.model_summary(results, ["accuracy", "macro_f1"]).select("model", r6("accuracy"))
 
 
-LOGITS = """lg AS (SELECT vec_id, label AS true_label, embedding[1:10] AS e FROM embeddings),
+LOGITS = """lg AS (SELECT vec_id, label AS true_label, embedding AS e FROM embeddings),
   am AS (SELECT vec_id, true_label, list_position(e, list_max(e)) - 1 AS pred_label, list_max(e) AS top FROM lg)"""
 
 
 def logits(spark, folder):
     vectors = table(spark, folder, "embeddings")
-    return vectors.select("vec_id", F.slice("embedding", 1, 10).alias("logits"), F.col("label").alias("label_id"))
+    return vectors.select("vec_id", F.col("embedding").alias("logits"), F.col("label").alias("label_id"))
 
 
-@CATALOG.add(f"WITH {LOGITS} SELECT vec_id, CAST(pred_label AS INTEGER) AS pred_label, round(top::DOUBLE, 6) AS score FROM am")
+@CATALOG.add(
+    f"""WITH {LOGITS} SELECT vec_id, CAST(pred_label AS INTEGER) AS pred_label, CAST(pred_label AS INTEGER) AS folded_label,
+  round(top::DOUBLE, 6) AS score FROM am"""
+)
 def argmax_label(spark, folder):
     """The best class twice: by position, and by folding (label, score) structs."""
     scored = logits(spark, folder)
     pairs = F.transform("logits", lambda x, i: F.struct(i.alias("label"), x.cast("double").alias("score")))
     best = scored.select("vec_id", argmax_index(F.col("logits")).alias("pred_label"), top_score(pairs).alias("t"))
-    return best.where("pred_label = t.label").select("vec_id", "pred_label", r6(F.col("t.score"), "score"))
+    return best.select("vec_id", "pred_label", F.col("t.label").alias("folded_label"), r6(F.col("t.score"), "score"))
 
 
 @CATALOG.add(
@@ -211,6 +214,13 @@ def baseline(name: str):
     return run
 
 
+@CATALOG.add()
+def baseline_results(spark, folder):
+    """All baselines on one split: metrics of each, with the time each fit took."""
+    split = train_test_split(corpus(spark, folder), key=arithmetic_key())
+    return models.run_baselines(split)
+
+
 for _name in models.BASELINES:
     CATALOG.add()(baseline(_name))
 
@@ -281,13 +291,19 @@ REQUEST_SQL = f"""{redact_steps_sql('documents')}, ok AS (SELECT red5.doc_id, r5
 
 
 @CATALOG.add(
-    f"""WITH {REQUEST_SQL} SELECT doc_id AS req_id, CASE WHEN failed THEN 'error' ELSE cls END AS label,
-  round(CASE WHEN failed THEN 0.0 ELSE top END, 4) AS confidence, NOT failed AND top >= t AS passed FROM ans"""
+    f"""WITH {REQUEST_SQL}, asked AS (SELECT doc_id, length(text) AS n, {THRESHOLD} AS t FROM documents),
+  bad AS (SELECT doc_id, [x FOR x IN [CASE WHEN n < 1 THEN 'text_too_short' END, CASE WHEN n > 2048 THEN 'text_too_long' END,
+    CASE WHEN t < 0 OR t > 1 THEN 'threshold_out_of_range' END] IF x IS NOT NULL] AS why FROM asked)
+  SELECT doc_id AS req_id, CASE WHEN failed THEN 'error' ELSE cls END AS label,
+    round(CASE WHEN failed THEN 0.0 ELSE top END, 4) AS confidence, NOT failed AND top >= t AS passed, '' AS reasons FROM ans
+  UNION ALL SELECT doc_id, NULL, NULL, NULL, array_to_string(why, ',') FROM bad WHERE len(why) > 0"""
 )
 def request_scoring(spark, folder):
-    """Validate, redact, score, judge."""
-    judged, _ = score_requests(requests(spark, folder), load_length_scorer)
-    return judged.select("req_id", "label", F.round("confidence", 4).alias("confidence"), "passed")
+    """Validate, redact, score, judge; rejected requests stay in the answer with their reasons."""
+    judged, rejected = score_requests(requests(spark, folder), load_length_scorer)
+    answers = judged.select("req_id", "label", F.round("confidence", 4).alias("confidence"), "passed", F.lit("").alias("reasons"))
+    refused = rejected.select("req_id", F.array_join("reasons", ",").alias("reasons"))
+    return answers.unionByName(refused, allowMissingColumns=True)
 
 
 @CATALOG.add(

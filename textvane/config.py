@@ -41,7 +41,7 @@ MIN_DOCUMENT_FREQUENCY = 2
 MAX_DOCUMENT_SHARE = 0.95
 MAX_SEQUENCE_LENGTH = 512
 
-# --- policies ----------------------------------------------------------------
+# --- policies (their defaults are fixed values as well) ----------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,6 @@ class RecoveryPolicy:
     quality_threshold: float = 0.15
     quality_baseline: float = 0.8
     quality_samples: int = 10
-    quality_history: int = 50
 
 
 # --- scale limits (performance only, never results) --------------------------

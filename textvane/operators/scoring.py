@@ -25,26 +25,26 @@ def score_rows(df: DataFrame, load_scorer: Callable[[], Scorer], text: str = "te
     """Add ``scores`` and ``score_error`` by running the model over Arrow batches.
 
     ``load_scorer`` is called once per task and returns a function from texts to score lists.
-    A batch that fails is retried row by row, so one bad row costs only itself.
+    A batch that fails is halved until the rows that fail stand alone, so one bad row costs
+    itself and some repeated halves.
     """
     added = [T.StructField("scores", SCORES), T.StructField("score_error", T.StringType())]
     out = T.StructType([*df.schema.fields, *added])
 
+    def attempt(scorer: Scorer, texts: list[str]) -> tuple[list, list[str | None]]:
+        try:
+            return list(scorer(texts)), [None] * len(texts)
+        except Exception as problem:
+            if len(texts) == 1:
+                return [None], [str(problem)]
+        half = len(texts) // 2
+        left, right = attempt(scorer, texts[:half]), attempt(scorer, texts[half:])
+        return left[0] + right[0], left[1] + right[1]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load_scorer()
         for frame in frames:
-            texts = list(frame[text])
-            errors: list[str | None] = [None] * len(texts)
-            try:
-                scores = scorer(texts)
-            except Exception:
-                scores = []
-                for i, one in enumerate(texts):
-                    try:
-                        scores.append(scorer([one])[0])
-                    except Exception as problem:
-                        scores.append(None)
-                        errors[i] = str(problem)
+            scores, errors = attempt(scorer, list(frame[text])) if len(frame) else ([], [])
             result = frame.copy()
             result["scores"] = scores
             result["score_error"] = errors

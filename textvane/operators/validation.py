@@ -13,14 +13,6 @@ def blank_rows(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(is_blank(F.col(text)))
 
 
-def blank_count(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.agg(F.count_if(is_blank(F.col(text))).alias("n_blank"))
-
-
-def valid_rows(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.where(~is_blank(F.col(text)))
-
-
 def validation_counts(df: DataFrame, text: str = "text") -> DataFrame:
     bad = is_blank(F.col(text))
     return df.agg(F.count_if(~bad).alias("n_valid"), F.count_if(bad).alias("n_failed"))
