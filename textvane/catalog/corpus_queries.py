@@ -14,7 +14,7 @@ from textvane.functions.scores import encode_label
 from textvane.functions.text import clean_basic, clean_text as clean_expr, is_blank, n_bytes, n_chars
 from textvane.operators import batching, dedup, guardrails, quality, sampling, validation
 from textvane.operators.similarity import Jaccard, MatcherRatio
-from textvane.plans.preprocess import preprocess, run_stats as step_counts, stage_stats
+from textvane.plans.preprocess import preprocess, run_stats as step_counts, stage_stats, timed_preprocess, validated_steps
 from textvane.scale import spread_out
 from textvane.session import scratch_path
 from textvane.sources.corpus import cache_to_disk, load_corpus
@@ -379,6 +379,27 @@ def run_stats(spark, folder):
     return step_counts(texts, dedup.drop_exact_copies(texts))
 
 
+@CATALOG.add(
+    f"""SELECT (SELECT count(*) FROM documents) AS records_processed,
+  (SELECT count(*) FROM documents) - (SELECT count(*) FROM documents) AS records_filtered, true AS timed"""
+)
+def timed_run_stats(spark, folder):
+    """Cleaning into a table drops no row; the stats say so and how long it took."""
+    stats = timed_preprocess(documents(spark, folder), scratch_path(spark, "prepared"), deduplicate=False)
+    return stats.select("records_processed", "records_filtered", (F.col("elapsed_seconds") > 0).alias("timed"))
+
+
+@CATALOG.add(
+    rf"""WITH v AS (SELECT doc_id, text FROM documents WHERE NOT {BLANK}), u AS (SELECT min(doc_id) AS doc_id FROM v GROUP BY {FORM}),
+  c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g'), '{tables.SPACE}+', ' ', 'g')) AS t FROM v)
+  SELECT doc_id, md5(t) AS clean_md5 FROM c JOIN u USING (doc_id)"""
+)
+def validated_rows(spark, folder):
+    """The rows of the strict chain: no blanks, no exact copies, cleaned."""
+    rows = validated_steps(documents(spark, folder))["sampled"]
+    return rows.select("doc_id", F.md5("text").alias("clean_md5"))
+
+
 @CATALOG.add(
     """WITH p AS (SELECT page_id, unnest(string_split(html, chr(10))) AS text FROM pages)
   SELECT page_id, count(*) FILTER ("""

@@ -8,12 +8,13 @@ from textvane.catalog.tables import (
     CLS, JUDGED, Catalog, classes, corpus, documents, events, ev, judged_labels, r6, redact_steps_sql, table,
 )
 from textvane.catalog.corpus_queries import arithmetic_key
+from textvane.catalog.log_queries import PATIENT, breaker_sql
 from textvane.config import LABEL_IDS
 from textvane.functions.scores import argmax_index, top_score
-from textvane.operators import evaluation, features, models, scoring
+from textvane.operators import evaluation, features, models, recovery, scoring
 from textvane.operators.monitor import linear_percentiles
 from textvane.operators.sampling import train_test_split
-from textvane.plans.serving import as_events, score_requests
+from textvane.plans.serving import CIRCUIT_OPEN, as_events, refusals_as_events, score_requests
 from textvane.session import scratch_path
 from textvane.sources import sinks, training_log
 
@@ -317,6 +318,29 @@ def scored_request_log(spark, folder):
     return error_rate(as_events(judged), ["key"]).select("key", "request_count", "error_count")
 
 
+# documents' sources as the keys of the log
+SOURCE_KEY = "concat('src', user_id % 20)"
+
+
+@CATALOG.add(
+    f"""WITH RECURSIVE {ev(SOURCE_KEY)}, {breaker_sql()}, shut AS (SELECT key FROM walk WHERE rn > 0 GROUP BY key HAVING arg_max(sa, rn) = 'open'),
+  asked AS (SELECT source AS key, source IN (SELECT key FROM shut) AS refused,
+    length(text) BETWEEN 1 AND 2048 AND {THRESHOLD} BETWEEN 0 AND 1 AS good FROM documents)
+  SELECT key, count(*) FILTER (NOT refused AND good) AS n_scored, count(*) FILTER (refused) AS n_refused,
+    count(*) FILTER (NOT refused AND NOT good) AS n_invalid FROM asked GROUP BY key"""
+)
+def gated_scoring(spark, folder):
+    """Requests against the breakers their key's log left behind: scored, refused, invalid."""
+    replayed = recovery.circuit_breaker(events(spark, folder, SOURCE_KEY), PATIENT)
+    states = recovery.circuit_states(replayed)
+    judged, rejected = score_requests(requests(spark, folder), load_length_scorer, breakers=states)
+    refused = refusals_as_events(rejected).select("key", F.lit("refused").alias("what"))
+    scored = judged.select("key", F.lit("scored").alias("what"))
+    invalid = rejected.where(~F.array_contains("reasons", CIRCUIT_OPEN)).select("key", F.lit("invalid").alias("what"))
+    every = scored.unionByName(refused).unionByName(invalid)
+    return every.groupBy("key").agg(*[F.count_if(F.col("what") == x).alias(f"n_{x}") for x in ("scored", "refused", "invalid")])
+
+
 @CATALOG.add(
     f"""WITH {CLS}, src AS (SELECT d.doc_id, d.text, c.label FROM documents d JOIN cls c USING (doc_id)), {scored_sql('src', 'text')},
   ev2 AS (SELECT label AS true_label, CASE WHEN l > {TOO_LONG} THEN 'error' ELSE cls END AS pred_label FROM best), {MATRIX.format('ev2')}

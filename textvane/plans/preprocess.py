@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+import time
+
+from pyspark.sql import DataFrame, functions as F
 
 from textvane.config import SAMPLE_FRACTION
 from textvane.functions.text import clean_basic, clean_text, is_blank
@@ -48,10 +50,12 @@ def run_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Count rows while they pass; read ``observation.get['rows']`` after the action."""
-    observation = Observation(name)
-    return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
+def timed_preprocess(df: DataFrame, path: str, **options) -> DataFrame:
+    """Run ``preprocess`` into a table; rows processed and filtered, and the seconds it took."""
+    start = time.perf_counter()
+    preprocess(df, **options).write.parquet(path)
+    spent = time.perf_counter() - start
+    return run_stats(df, df.sparkSession.read.parquet(path)).withColumn("elapsed_seconds", F.lit(spent))
 
 
 def validated_steps(df: DataFrame, sample_size: int | None = None, label: str = "label") -> dict[str, DataFrame]:
