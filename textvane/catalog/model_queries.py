@@ -81,7 +81,17 @@ def classification_report(spark, folder):
     return report.select("label", r6("precision"), r6("recall"), r6("f1"), "support")
 
 
-@CATALOG.add()
+@CATALOG.add(
+    f"""WITH {JUDGED_MATRIX}, rep AS (SELECT label, precision, recall, f1, support FROM pc
+    UNION ALL SELECT 'accuracy', accuracy, accuracy, accuracy, support FROM ov
+    UNION ALL SELECT 'macro avg', macro_precision, macro_recall, macro_f1, support FROM ov
+    UNION ALL SELECT 'weighted avg', weighted_precision, weighted_recall, weighted_f1, support FROM ov)
+  SELECT unnest(['Classification Report - judged', repeat('=', 60), '']) AS value UNION ALL
+  SELECT unnest(list_filter(['', CASE label WHEN 'macro avg' THEN 'Macro Average:' WHEN 'weighted avg' THEN 'Weighted Average:' ELSE 'Class: ' || label END,
+    printf('  Precision: %.4f', precision), printf('  Recall:    %.4f', recall), printf('  F1-Score:  %.4f', f1),
+    CASE WHEN label NOT IN ('macro avg', 'weighted avg') THEN printf('  Support:   %d', support) END], lambda x: x IS NOT NULL))
+  FROM rep WHERE label <> 'accuracy'"""
+)
 def report_lines(spark, folder):
     """The report as written to and read back from a text file."""
     report = evaluation.classification_report(matrix(spark, folder))

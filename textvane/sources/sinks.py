@@ -73,7 +73,7 @@ def report_lines(report: DataFrame, model: str) -> DataFrame:
     head = report.sparkSession.range(1).select(
         F.lit(-1).alias("section"),
         F.lit("").alias("label"),
-        F.posexplode(F.array(F.lit(f"Classification Report - {model}"), F.lit("=" * 60))).alias("i", "line"),
+        F.posexplode(F.array(F.lit(f"Classification Report - {model}"), F.lit("=" * 60), F.lit(""))).alias("i", "line"),
     )
     return head.unionByName(sections).orderBy("section", "label", "i").select("section", "label", "i", "line")
 
