@@ -172,12 +172,17 @@ BALANCE = """cnt AS (SELECT label, count(*) AS n, min(doc_id) AS first_id FROM {
 BALANCE_ROW = """count(*) AS n_labels, CAST(sum(n) AS BIGINT) AS n_rows, round(max(n)::DOUBLE / min(n), 6) AS imbalance_ratio,
   max(n)::DOUBLE / min(n) <= 10 AS is_balanced,
   (SELECT label FROM cnt ORDER BY n DESC, first_id LIMIT 1) AS max_class,
-  (SELECT label FROM cnt ORDER BY n, first_id LIMIT 1) AS min_class"""
+  (SELECT label FROM cnt ORDER BY n, first_id LIMIT 1) AS min_class, string_agg(label || '=' || n, ',' ORDER BY label) AS label_counts"""
+
+
+def counts_text(counts):
+    return F.array_join(F.transform(counts, lambda x: F.concat_ws("=", x["label"], x["n"].cast("string"))), ",").alias("label_counts")
 
 
 @CATALOG.add(f"WITH {CLS}, {BALANCE.format('cls')} SELECT {BALANCE_ROW} FROM cnt")
 def label_distribution(spark, folder):
-    return quality.label_distribution(classes(spark, folder)).withColumn("imbalance_ratio", F.round("imbalance_ratio", 6))
+    found = quality.label_distribution(classes(spark, folder))
+    return found.withColumns({"imbalance_ratio": F.round("imbalance_ratio", 6), "label_counts": counts_text("label_counts")})
 
 
 @CATALOG.add(f"WITH {CLS} SELECT DISTINCT label FROM cls")
@@ -212,6 +217,7 @@ def quality_report(spark, folder):
         *[label[c].alias(c) for c in ("n_labels", "n_rows")],
         r6(label["imbalance_ratio"], "imbalance_ratio"),
         *[label[c].alias(c) for c in ("is_balanced", "max_class", "min_class")],
+        counts_text(label["label_counts"]),
     )
 
 

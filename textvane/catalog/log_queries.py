@@ -224,16 +224,6 @@ def health_snapshot_overall(spark, folder):
     return snapshot_columns(monitor.health_snapshot(events(spark, folder), BASELINE))
 
 
-@CATALOG.add(
-    f"""WITH {ev()}, {SNAPSHOT} SELECT key, CASE WHEN key % 10 <> 0 AND score > 50 THEN 'healthy' ELSE 'degraded' END AS status,
-  least(100.0, greatest(0.0, (request_count * 2 - 60)::DOUBLE)) AS memory_percent FROM snap"""
-)
-def health_status(spark, folder):
-    snapshot = monitor.health_snapshot(events(spark, folder), BASELINE, KEY)
-    used = monitor.with_resources(snapshot, (F.col("request_count") * 2 - 60).cast("double"))
-    return monitor.health_status(used, F.col("key") % 10 != 0).select("key", "status", "memory_percent")
-
-
 @CATALOG.add(
     f"""WITH {ev()}, {SNAPSHOT} SELECT key, round(score, 2) AS health_score, request_count, round(r, 4) AS error_rate,
   round(p99, 2) AS p99, round(mean, 2) AS mean, kl > 0.15 AS detected, round(kl, 4) AS kl_divergence FROM snap"""
@@ -388,6 +378,19 @@ def circuit_breaker_sticky(spark, folder):
     return plain_ts(out).withColumn("log", F.array_join("log", "; "))
 
 
+@CATALOG.add(
+    f"""WITH RECURSIVE {ev()}, {SNAPSHOT}, {breaker_sql()}, st AS (SELECT key, arg_max(sa, rn) AS circuit_state FROM walk WHERE rn > 0 GROUP BY key)
+  SELECT key, CASE WHEN key % 10 <> 0 AND score > 50 THEN 'healthy' ELSE 'degraded' END AS status, request_count, round(r, 6) AS error_rate,
+  circuit_state, least(100.0, greatest(0.0, (request_count * 2 - 60)::DOUBLE)) AS memory_percent FROM snap JOIN st USING (key)"""
+)
+def health_status(spark, folder):
+    log = events(spark, folder)
+    used = monitor.with_resources(monitor.health_snapshot(log, BASELINE, KEY), (F.col("request_count") * 2 - 60).cast("double"))
+    states = recovery.circuit_states(recovery.circuit_breaker(log, PATIENT))
+    found = monitor.health_status(used, F.col("key") % 10 != 0, breakers=states)
+    return found.select("key", "status", "request_count", r6("error_rate"), "circuit_state", "memory_percent")
+
+
 SINCE = "TIMESTAMP '2024-01-16 00:00:00'"
 
 

@@ -257,10 +257,21 @@ def with_resources(snapshot: DataFrame, memory_percent: Column, gpu_memory_perce
     )
 
 
-def health_status(snapshot: DataFrame, model_loaded: Column | bool = True, policy: MonitorPolicy = POLICY) -> DataFrame:
+def health_status(
+    snapshot: DataFrame,
+    model_loaded: Column | bool = True,
+    policy: MonitorPolicy = POLICY,
+    breakers: DataFrame | None = None,
+    keys: Sequence[str] = ("key",),
+) -> DataFrame:
+    """The snapshot with its verdict, and with each key's ``circuit_state`` if ``breakers`` tell it."""
     loaded = model_loaded if isinstance(model_loaded, Column) else F.lit(model_loaded)
     good = loaded & (F.col("health_score") > policy.healthy_score)
-    return snapshot.withColumn("status", F.when(good, "healthy").otherwise("degraded"))
+    judged = snapshot.withColumn("status", F.when(good, "healthy").otherwise("degraded"))
+    if breakers is None:
+        return judged
+    joined = join_on(judged, breakers.select(*keys, "circuit_state"), keys, "left")
+    return joined.withColumn("circuit_state", F.coalesce("circuit_state", F.lit("closed")))
 
 
 def metrics_record(snapshot: DataFrame, clock: Column | None = None) -> Column:

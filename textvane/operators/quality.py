@@ -16,7 +16,7 @@ def label_counts(df: DataFrame, label: str = "label", order: str = "doc_id") ->
 def label_distribution(
     df: DataFrame, label: str = "label", order: str = "doc_id", threshold: float = IMBALANCE_THRESHOLD
 ) -> DataFrame:
-    """One row: number of labels, imbalance ratio, verdict, majority and minority label.
+    """One row: number of labels, imbalance ratio, verdict, majority and minority label, rows per label.
 
     Ties go to the label seen first.  An empty corpus is balanced with ratio 0.
     """
@@ -28,6 +28,7 @@ def label_distribution(
         F.min("n").alias("_least"),
         F.max_by(label, F.struct("n", -F.col("first_id"))).alias("max_class"),
         F.min_by(label, F.struct("n", "first_id")).alias("min_class"),
+        F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n"))).alias("label_counts"),  # one entry per label
     )
     ratio = F.coalesce(F.try_divide(F.col("_most"), F.col("_least")), F.lit(0.0))
     return summary.select(
@@ -37,6 +38,7 @@ def label_distribution(
         (ratio <= threshold).alias("is_balanced"),
         "max_class",
         "min_class",
+        "label_counts",
     )
 
 
