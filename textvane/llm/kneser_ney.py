@@ -120,6 +120,7 @@ class Shards:
 
     def __init__(self, bits: int, frequent: list[int]):
         self.bits, self.count = bits, 1 << bits
+        self.word_bits = max(2, bits - 3)  # words are far fewer; every shard sends to every word shard
         self.frequent = np.array(sorted(frequent), U64)
 
     def of_pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -130,7 +131,7 @@ class Shards:
         return (key >> U64(64 - self.bits)).astype(np.int64)
 
     def of_word(self, word: np.ndarray) -> np.ndarray:
-        return (mixed(word + U64(7)) >> U64(64 - self.bits)).astype(np.int64)
+        return (mixed(word + U64(7)) >> U64(64 - self.word_bits)).astype(np.int64)
 
 
 # --- files -------------------------------------------------------------------------
