@@ -49,3 +49,14 @@ def test_stage_keeps_columns_and_one_of_each(odd_docs, odd_rows):
     kept = exact_dedup.drop_exact_copies(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({r[1] for r in brute(odd_rows)}, key=repr)
+
+
+def test_stage_keeps_different_texts_under_one_id(spark):
+    """Null ids and repeated ids; copies under other ids; longer text, whole repeats and white space."""
+    rows = [(None, "A"), (None, "BB"), (7, "A"), (7, "BB"), (7, "CCC"), (7, "CCC"), (7, "C C C"), (None, "D"), (None, "D"), (8, "D "), (9, "only")]
+    docs = spark.createDataFrame([(text, doc) for doc, text in rows], "text string, doc_id long").repartition(3)
+    kept = exact_dedup.drop_exact_copies(docs)
+    want = [(7, "A"), (7, "BB"), (7, "C C C"), (8, "D "), (9, "only")]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == want
+    alone = exact_dedup.drop_exact_copies(docs.where("doc_id is null")).collect()
+    assert sorted((r.doc_id, r.text) for r in alone) == [(None, "A"), (None, "BB"), (None, "D")]

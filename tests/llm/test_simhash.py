@@ -104,3 +104,17 @@ def test_stage_keeps_one_of_each(odd_docs, odd_rows):
     kept = simhash.keep_one_per_group(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comps))
+
+
+def test_stage_keeps_unrelated_texts_under_one_id(spark):
+    from conftest import prose
+
+    a, b, c, d = (prose(70 + i) for i in range(4))
+    near = a.replace("\n", " ") + "  "  # other bytes, same words
+    rows = [(7, a), (7, b), (7, b), (8, near), (None, b), (None, c), (None, c), (None, d)]
+    docs = spark.createDataFrame([(text, doc) for doc, text in rows], "text string, doc_id long").repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_per_group(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(7, a), (7, b), (None, c), (None, d)], key=repr)
+    turned = docs.withColumn("doc_id", docs.doc_id * -1)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_per_group(turned).collect()]
+    assert sorted(kept, key=repr) == sorted([(-8, near), (-7, b), (None, c), (None, d)], key=repr)

@@ -64,16 +64,34 @@ def marked(df: DataFrame, key: Column, marks: DataFrame) -> DataFrame:
     return joined.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_place", "_bucket", "_bits")
 
 
-def drop_rows(docs: DataFrame, gone_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``gone_ids`` (one column, null-safe); columns as they were.
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a text as 32 bytes."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
-    Only rows that may have to go are moved; the others stay where they are read.
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str, digest: Column) -> DataFrame:
+    """Rows of ``docs`` decided for, columns as they were; several under one (id, digest) become one.
+
+    ``decisions`` has a row (id, digest, kept) for every row of ``docs``, alike for equal (id, digest);
+    ``digest`` makes it from a row of ``docs``.  Of rows under one kept (id, digest) the longest text
+    stays.  A null id is an id like any other.  Only rows that may have to go are moved.
     """
-    ids = stored(gone_ids.select(F.col(gone_ids.columns[0]).alias("_gone_id")).distinct(), "gone-ids")
-    known = marked(docs, F.xxhash64(F.col(f"`{id_col}`")), ids.select(F.xxhash64("_gone_id").alias("h")))
-    doubtful = known.where("_maybe")
-    rest = doubtful.join(ids, doubtful[id_col].eqNullSafe(ids["_gone_id"]), "left_anti")
-    return known.where("not _maybe").drop("_maybe").unionByName(rest.drop("_maybe"))
+    state = decisions.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    doubt = stored(state.where("not kept or n > 1").select("id", "digest", "kept"), "rows-in-doubt")
+    own = [F.col(f"`{id_col}`").alias("_id"), digest.alias("_digest")]
+    known = marked(docs.select("*", *own), F.xxhash64("_id", "_digest"), doubt.select(F.xxhash64("id", "digest").alias("h")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    moved = known.where("_maybe")
+    row = F.struct(*columns)
+    rank = F.struct(F.length(text_of(text_col)), F.xxhash64(text_of(text_col)))
+    moved = moved.select("_id", "_digest", row.alias("_row"), rank.alias("_rank"), F.lit(False).alias("_gone"))
+    gone = doubt.where("not kept").select(
+        F.col("id").alias("_id"), F.col("digest").alias("_digest"),
+        F.lit(None).cast(moved.schema["_row"].dataType).alias("_row"),
+        F.lit(None).cast(moved.schema["_rank"].dataType).alias("_rank"), F.lit(True).alias("_gone"),
+    )
+    met = moved.unionByName(gone).groupBy("_id", "_digest").agg(F.max_by("_row", "_rank").alias("_row"), F.max("_gone").alias("_gone"))
+    return known.where("not _maybe").select(*columns).unionByName(met.where("not _gone").select("_row.*"))
 
 
 # --- sorted 64-bit arrays as bytes ---------------------------------------------

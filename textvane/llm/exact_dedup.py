@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textvane.llm.common import bits_needed, columns_as, drop_rows, stored, text_of
+from textvane.llm.common import bits_needed, columns_as, digest_of, keep_rows, stored, text_of
 
 BUCKET_KEYS = 4096
 
@@ -137,13 +137,10 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the dropped rows; rows repeated whole under a kept id are reduced to one."""
-    decisions = stored(exact_groups(docs, id_col, text_col).select("doc_id", "kept"), "exact-kept")
-    state = decisions.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    left = drop_rows(docs, state.where(~F.col("kept")).select("doc_id"), id_col)
-    if state.where("kept and n > 1").isEmpty():
-        return left
-    best = F.struct(F.length(text_of(text_col)), F.xxhash64(text_of(text_col)))
-    chosen = left.groupBy(F.col(id_col).alias("_id")).agg(F.max(best).alias("_best"))
-    same = left[id_col].eqNullSafe(chosen["_id"]) & (best == chosen["_best"])
-    return left.join(chosen, same, "left_semi").dropDuplicates([id_col])
+    """``docs`` without the dropped rows: of equal texts one row stays.
+
+    Decided by (id, text without white space), so different texts under one id or a null id all stay.
+    """
+    found = exact_groups(docs, id_col, text_col)
+    decisions = found.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"), "kept")
+    return keep_rows(docs, stored(decisions, "exact-kept"), id_col, text_col, digest_of(normalised(text_of(text_col))))

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textvane.llm.common import columns_as, stored, tasks_for
+from textvane.llm.common import columns_as, digest_of, keep_rows, stored, tasks_for, text_of
 from textvane.llm.components import components
 
 BITS = 64
@@ -63,16 +63,18 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(id, text) -> (id, fp), fp a signed 64-bit integer."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """(id, text) -> (id, fp), fp a signed 64-bit integer; further columns follow as they are."""
+    more = [c for c in docs.columns if c not in ("id", "text")]
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("id", *more)}
+    schema = ", ".join([f"id {kinds['id']}", "fp long", *[f"{c} {kinds[c]}" for c in more]])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_py(), words) for x in batch.column(1)]
             values = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), values, *batch.columns[2:]], ["id", "fp", *more])
 
-    return docs.select("id", "text").mapInArrow(make, f"id {kind}, fp long")
+    return docs.select("id", "text", *more).mapInArrow(make, schema)
 
 
 # --- choosing the parts ----------------------------------------------------------
@@ -305,9 +307,7 @@ def near_groups(
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     rows = stored(fingerprints(columns_as(docs, id=id_col, text=text_col), words), "simhash-rows")
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = components(fingerprint_links(distinct, distance, parts))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left")
-    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(distinct, distance, parts)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(found, "fp").select(
@@ -315,13 +315,25 @@ def near_groups(
     )
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each component; repeated rows of it are reduced to one."""
-    from textvane.llm.common import drop_rows
+def _rooted(distinct: DataFrame, distance: int, parts: list[Part] | None = None) -> DataFrame:
+    """(fp, least) -> (fp, least, root), root the same for all fingerprints of a component."""
+    roots = components(fingerprint_links(distinct, distance, parts))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
-    found = stored(near_groups(docs, id_col, text_col).select("doc_id", "component_id"), "simhash-kept")
-    state = found.groupBy("doc_id").agg(
-        F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count(F.lit(1)).alias("n")
-    )
-    left = drop_rows(docs, state.where("not kept").select("doc_id"), id_col)
-    return left if state.where("kept and n > 1").isEmpty() else left.dropDuplicates([id_col])
+
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: of the smallest id there, its least (text digest, fingerprint).
+
+    Decided by component, id and text, so texts of different components all stay, also under one id
+    or a null id.
+    """
+    own = columns_as(docs, id=id_col, text=text_col).withColumn("digest", digest_of(text_of()))
+    rows = stored(fingerprints(own), "simhash-rows")
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "digest")
+    distinct = stored(rows.groupBy("fp").agg(F.min(first).alias("least")), "simhash-distinct")
+    chosen = _rooted(distinct, DISTANCE).groupBy("root").agg(F.min(F.struct("least", "fp")).alias("best"))
+    chosen = chosen.select("best.fp", "best.least.id", "best.least.digest", F.lit(True).alias("kept"))
+    same = rows["id"].eqNullSafe(chosen["id"]) & (rows["digest"] == chosen["digest"]) & (rows["fp"] == chosen["fp"])
+    decisions = rows.join(chosen, same, "left").select(rows["id"], rows["digest"], F.coalesce("kept", F.lit(False)).alias("kept"))
+    return keep_rows(docs, stored(decisions, "simhash-kept"), id_col, text_col, digest_of(text_of(text_col)))
