@@ -72,3 +72,13 @@ def test_redaction(spark, odd_docs):
         assert out[i].text.replace("[SECRET]", "") == left and out[i].n_chars == len(out[i].text)
         assert ("[SECRET]" in out[i].text) == any(cover)
     assert S.redact_secrets(odd_docs).count() == odd_docs.count()
+
+
+def test_versions_under_one_id_are_redacted_apart(spark):
+    texts = ["token=abcdefgh one", "two password: hunter22 and AKIA" + "Z" * 16, "clean", None]
+    rows = [(doc, t, len(t or ""), n) for n, (doc, t) in enumerate([*((7, t) for t in texts), *((None, t) for t in texts), (None, texts[0])])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, n int").repartition(3)
+    out = S.redact_secrets(docs).collect()
+    safe = {texts[0]: "[SECRET] one", texts[1]: "two [SECRET] and [SECRET]", "clean": "clean", None: None}
+    want = [(doc, safe[t], size if safe[t] == t else len(safe[t]), n) for doc, t, size, n in rows]
+    assert sorted(map(tuple, out), key=lambda r: r[3]) == want

@@ -157,16 +157,18 @@ def redact_secrets(
 ) -> DataFrame:
     """``docs`` with every found span replaced by ``[SECRET]``; overlapping spans are one.
 
+    A row meets the findings of its own id and blob: versions under one id or a null id stay apart.
     Rows without findings are untouched.  ``length_col``, if present, follows the new text.
     """
     found = secret_spans(docs, id_col, text_col).where(F.size("spans") > 0)
     found = found.select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     found = stored(found.dropDuplicates(["_id", "_blob"]), "secret-spans")
-    known = marked(docs, F.xxhash64(F.col(f"`{id_col}`")), found.select(F.xxhash64("_id").alias("h")))
-    clean = known.where("not _maybe").drop("_maybe")  # stays where it is read
-    docs = known.where("_maybe").drop("_maybe")
     text = F.col(f"`{text_col}`")
-    same = docs[id_col].eqNullSafe(found["_id"])
+    named = docs.withColumn("_own_blob", F.sha2(text_of(text_col).cast("binary"), 256))
+    known = marked(named, F.xxhash64(F.col(f"`{id_col}`"), "_own_blob"), found.select(F.xxhash64("_id", "_blob").alias("h")))
+    clean = known.where("not _maybe").drop("_maybe", "_own_blob")  # stays where it is read
+    doubtful = known.where("_maybe").drop("_maybe")
+    same = doubtful[id_col].eqNullSafe(found["_id"]) & (doubtful["_own_blob"] == found["_blob"])
     step = lambda state, s: F.when(
         s["end"] <= state["at"], state
     ).otherwise(
@@ -183,8 +185,8 @@ def redact_secrets(
     )
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    joined = docs.join(found, same, "left")
-    applies = F.col("_spans").isNotNull() & (F.sha2(text.cast("binary"), 256) == F.col("_blob"))
+    joined = doubtful.join(found, same, "left")
+    applies = F.col("_spans").isNotNull()
     redacted = F.when(applies, F.aggregate("_spans", start, step, rest)).otherwise(text)
     columns = [redacted.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     changed = joined.select(*columns, applies.alias("_changed"))
