@@ -16,7 +16,7 @@ from textvane.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without any letter go."""
+    """Documents with a letter; those in no language that was learnt stay too."""
     return language.keep_known_language(docs)
 
 

@@ -51,3 +51,23 @@ def test_stage_keeps_documents_with_letters(odd_docs, odd_rows):
     kept = language.keep_known_language(odd_docs)
     assert kept.columns == odd_docs.columns
     assert kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in odd_rows)
+
+
+def test_stage_never_decides_by_the_sign_of_noise(spark):
+    """Documents of a script that no labelled row has, and a table without labels."""
+    import random
+
+    rnd = random.Random(3)
+    word = lambda first, n: "".join(chr(first + rnd.randrange(n)) for _ in range(rnd.randint(2, 8)))
+    known = [(i, " ".join(word(97, 12) for _ in range(300)), "en") for i in range(20)]
+    foreign = [(100 + i, " ".join(word(0x430, 32) for _ in range(300)), None) for i in range(40)]
+    docs = spark.createDataFrame([*known, *foreign, (200, "12 34 !", None), (201, None, None)], "doc_id long, text string, lang string")
+    ids = lambda kept: sorted(r.doc_id for r in kept.collect())
+    letters = [r[0] for r in [*known, *foreign]]
+    assert ids(language.keep_known_language(docs)) == letters
+    assert ids(language.keep_known_language(docs.where("lang is null"))) == letters[20:]
+
+
+def test_stage_can_reject_what_is_not_above_noise(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat " * 20, "en"), *((i, "".join(chr(0x4E00 + 7 * i + j) for j in range(60)), None) for i in range(2, 30))], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in language.keep_known_language(docs, keep_unsure=False).collect()] == [1]

@@ -33,6 +33,8 @@ CACHED_GRAMS = 30_000
 BLOCK = 1024
 JOINED_CHARS = 1 << 19
 POINT_BITS = 21
+#: Four standard deviations of the cosine of unrelated texts; below it nothing is known of the language.
+LEAST_COSINE = 4 / DIMENSIONS**0.5
 
 
 @lru_cache(maxsize=1)
@@ -224,8 +226,28 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def keep_known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """``docs`` without the rows in no known language: ``und``, or a cosine not above ``least``."""
-    found = predicted(docs, learn(docs, lang_col, text_col), text_col)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") > least))
+def has_letters(text_col: str) -> Column:
+    """Whether the text has a letter, by the same rule as its n-grams."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(grams(x or "")[0].size) for x in texts], dtype=bool)
+
+    return found(F.col(f"`{text_col}`"))
+
+
+def keep_known_language(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_COSINE, keep_unsure: bool = True
+) -> DataFrame:
+    """``docs`` without the rows that have no letter.
+
+    A cosine below ``least`` cannot be told from that of a script or language which no labelled row
+    has, nor from that of a very short text.  Such rows stay, or all go if not ``keep_unsure``; the
+    sign of the cosine never decides.  Where nothing was learnt every row with a letter stays.
+    """
+    prototypes = learn(docs, lang_col, text_col)
+    if not any(v.any() for v in prototypes.values()):
+        return docs.where(has_letters(text_col))
+    found = predicted(docs, prototypes, text_col).where(F.col("lang_pred") != "und")
+    kept = found if keep_unsure else found.where(F.col("lang_score") >= least)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
