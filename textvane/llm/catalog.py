@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textvane.catalog.tables import Catalog, table
-from textvane.llm import bpe, chat, exact_dedup, kneser_ney, language, neighbours, packing, secret_scan, simhash, suffix_dedup
+from textvane.llm import (
+    bpe, chat, exact_dedup, hard_negatives, kneser_ney, language, neighbours, packing, periodic_runs, secret_scan, simhash, suffix_dedup, warc,
+)
 
 CATALOG = Catalog()
 
@@ -113,3 +115,78 @@ def op10_prefix_table_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+LEAST_REVISIT_BYTES = 0
+
+
+@CATALOG.add(rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+  g AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS top, strlen(t) >= {LEAST_REVISIT_BYTES} AS large FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+  list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (((instr('0123456789abcdef', substr(h, 1 + i * 5 // 4, 1)) - 1) * 16
+      + instr('0123456789abcdef', substr(h, 2 + i * 5 // 4, 1)) - 1) >> (3 - i * 5 % 4)) & 31 AS BIGINT), 1)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN large AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN large AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM g
+""")
+def op11_warc_gzip_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return warc.archived_pages(pages, LEAST_REVISIT_BYTES, payloads=False).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@CATALOG.add(r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.e, c.e), lambda x: x[1] * x[2])), 0) AS BIGINT) AS score
+    FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+  pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS INT) AS rank,
+  n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM pos p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+""")
+def op12_four_russians_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
+def with_planted_runs(text: Column, ident: Column) -> Column:
+    """Every tenth document (by crc32 of its id) repeats a stretch of its words to its end."""
+    h = F.crc32(ident.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    times = F.ceil((n - a) / p)
+    whole = lambda x: x.cast("int")
+    period = F.slice(words, whole(a + 1), whole(p))
+    tail = F.slice(F.flatten(F.array_repeat(period, whole(times))), F.lit(1), whole(n - a))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), whole(a)), tail), " ")
+    return F.when((h % 10 == 0) & (n > 0), planted).otherwise(text)
+
+
+@CATALOG.add()
+def op13_periodic_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    planted = docs.select("doc_id", with_planted_runs(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return periodic_runs.periodic_runs(planted).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start", "strongest.length", "strongest.period", "strongest.exponent_milli",
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )

@@ -94,6 +94,27 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str,
     return known.where("not _maybe").select(*columns).unionByName(met.where("not _gone").select("_row.*"))
 
 
+#: A key with more than one row in so many counts as hot; there are fewer hot keys than this.
+HOT_KEYS = 1024
+
+
+def joined_spread(rows: DataFrame, groups: DataFrame, key: str, count: str, place: Column) -> DataFrame:
+    """``rows`` inner-joined with ``groups``, which has one row per ``key`` and in ``count`` how many rows have it.
+
+    A hot key's group row is repeated and its rows are dealt over the repeats by ``place``, a hash that
+    tells rows of one key apart, so no task gets more than about one row in ``HOT_KEYS`` from one key.
+    The broadcast table has fewer than ``HOT_KEYS`` rows.  ``groups`` is read twice: pass a written table.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    parts = F.ceil(F.col(count) * F.lit(HOT_KEYS) / F.lit(max(total, 1))).cast("int")
+    hot = groups.where(F.col(count) * HOT_KEYS > F.lit(total)).select(F.col(key), parts.alias("_parts"))
+    salt = F.when(F.col("_parts").isNotNull(), F.pmod(place, F.col("_parts"))).otherwise(0).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts")
+    copies = F.when(F.col(count) * HOT_KEYS > F.lit(total), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    repeated = groups.withColumn("_salt", F.explode(copies))
+    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 # --- sorted 64-bit arrays as bytes ---------------------------------------------
 
 
