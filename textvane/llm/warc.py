@@ -243,7 +243,9 @@ def normalise(archives: DataFrame, source: str, target: str, repeats: DataFrame)
         made = normalise_archive(f"{source}/{name}", target, name, found)
         return pa.table([pa.array([x]) for x in made], ["archive", "sidecar", "records", "bytes"])
 
-    made = rows.groupBy("archive").applyInArrow(rewrite, "archive string, sidecar string, records long, bytes long")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, "archive")  # a few bytes a row, but much work: not for adaptive coalescing
+    made = dealt.groupBy("archive").applyInArrow(rewrite, "archive string, sidecar string, records long, bytes long")
     return stored(made, "archives")
 
 
