@@ -1,12 +1,13 @@
 """The slice summaries of the state machines, in plain Python."""
 
 import random
+from dataclasses import replace
 
 import pytest
 
 from textvane.config import RecoveryPolicy
 from textvane.operators.recovery import batch_sizes_after, breaker_machine, cooldown_machine, spike_machine
-from textvane.operators.replay import WAITING, SliceTrace
+from textvane.operators.replay import NEVER, RESET, WAITING, SliceTrace
 
 MACHINES = {
     "breaker": breaker_machine(RecoveryPolicy(failure_threshold=3, recovery_timeout_sec=7e-6)),
@@ -48,6 +49,38 @@ def test_summary_equals_replay_from_every_entry(name):
                 assert got == inherited
 
 
+@pytest.mark.parametrize("name", MACHINES)
+def test_summaries_with_resets_and_idle_times(name):
+    machine, rng = replace(MACHINES[name], idle_us=6), random.Random(4)
+
+    def walk(code, until, events):
+        last = NEVER
+        for ts, flag in events:
+            _, code, until = machine.advance(code, until, ts, flag, last)
+            last = ts
+        return (code, until if code == WAITING else 0)
+
+    for _ in range(80):
+        ts, events = 100, []
+        for _ in range(rng.randrange(1, 20)):
+            ts += rng.choice([0, 1, 1, 3, 7])
+            events.append((ts, rng.choice([0, 0, 1, 1, 1, RESET])))
+        trace = SliceTrace(machine)
+        for event in events:
+            trace.feed(*event)
+        s = trace.summary()
+        for code in range(len(machine.table)):
+            assert (s["exit_code"][code], s["exit_until"][code]) == walk(code, 0, events)
+        if any(WAITING in row for row in machine.table):
+            for until in range(80, events[0][0] + machine.wait_us + 1):
+                got = (WAITING, until)
+                for upto, code, end in zip(s["wake_upto"], s["wake_code"], s["wake_until"]):
+                    if until <= upto:
+                        got = (code, end)
+                        break
+                assert got == walk(WAITING, until, events)
+
+
 def test_half_open_rules():
     policy = RecoveryPolicy(failure_threshold=5, recovery_timeout_sec=1e-6)
     for strict, expected in ((False, "half_open"), (True, "open")):

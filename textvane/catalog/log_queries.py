@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from textvane.catalog.tables import TENANT, Catalog, as_events, ev, events, plain_ts, r6, steady, table
-from textvane.config import MonitorPolicy, RecoveryPolicy
+from textvane.config import DEFAULT_BATCH_SIZE, MonitorPolicy, RecoveryPolicy
 from textvane.functions.records import micros
 from textvane.operators import monitor, recovery, rolling
 from textvane.session import scratch_path, use_utc
 from textvane.sources import sinks
 from textvane.sources.events import EVENTS, is_prediction, load_events, stream_files
-from textvane.streaming import jobs
+from textvane.streaming import folds, jobs
 
 CATALOG = Catalog()
 KEY = ["key"]
@@ -19,6 +19,7 @@ KEY = ["key"]
 # what the registered queries expect of the label mix, and gaps of hours instead of seconds
 BASELINE = {"view": 0.5, "click": 0.25, "purchase": 0.15, "signup": 0.1}
 PATIENT = RecoveryPolicy(failure_threshold=2, recovery_timeout_sec=6 * 3600.0, batch_cooldown_sec=6 * 3600.0, error_rate_threshold=0.25)
+SENSITIVE = RecoveryPolicy(error_rate_threshold=0.05)
 SPIKE_BASELINE = 12.0
 
 
@@ -491,25 +492,34 @@ def event_stream(spark, folder, key: str = "user_id"):
     return as_events(stream_of(spark, folder, "events", RAW_EVENTS), key)
 
 
+WEEK_US = 7 * 24 * 3600 * 1_000_000
+STREAM_SCORE = SCORE.replace("r * 500", "error_rate * 500").replace("t < 1.0", "thr < 1.0").replace("::DOUBLE - t)", "::DOUBLE - thr)")
+
+
 @CATALOG.add(
-    f"""WITH {ev(TENANT)}, g AS (SELECT key, date_trunc('hour', ts) AS hour, count(*) AS request_count,
-    count(*) FILTER (error) AS error_count, min(latency_ms) AS latency_min, max(latency_ms) AS latency_max,
-    avg(latency_ms) AS m FROM ev GROUP BY ALL)
-  SELECT key, hour AS window_start, request_count, error_count, round(error_count::DOUBLE / request_count, 6) AS error_rate,
-    round(request_count / 3600.0::DOUBLE, 9) AS throughput_req_sec, latency_min, latency_max, round(m + 1e-9, 6) AS latency_mean FROM g"""
+    f"""WITH {ev(TENANT)}, {baseline_sql()}, g AS (SELECT key, us // {WEEK_US} AS w, count(*) AS n, count(*) FILTER (error) AS error_count,
+    list_sort(list(latency_ms)) AS s, list(label) AS labels, avg(latency_ms) AS m FROM ev GROUP BY key, w),
+  q AS (SELECT key, w, sum(p * ln(p / greatest(len(list_filter(labels, lambda x: x = label))::DOUBLE / n, 1e-6::DOUBLE))) AS kl FROM g, bl GROUP BY key, w),
+  f AS (SELECT key, w, n, error_count, error_count::DOUBLE / n AS error_rate, n / 604800.0::DOUBLE AS thr,
+    s[least(CAST(floor(n * 50.0::DOUBLE / 100) AS BIGINT) + 1, n)] AS p50, s[least(CAST(floor(n * 95.0::DOUBLE / 100) AS BIGINT) + 1, n)] AS p95,
+    s[least(CAST(floor(n * 99.0::DOUBLE / 100) AS BIGINT) + 1, n)] AS p99, s[1] AS latency_min, s[n] AS latency_max, m,
+    CASE WHEN n >= 100 THEN kl ELSE 0.0 END AS kl FROM g JOIN q USING (key, w))
+  SELECT key, make_timestamp(w * {WEEK_US}) AS window_start, n AS request_count, error_count, round(error_rate, 6) AS error_rate,
+    round(thr, 9) AS throughput_req_sec, p50, p95, p99, latency_min, latency_max, round(m + 1e-9, 6) AS latency_mean, round(kl, 6) AS kl,
+    kl > 0.15 AS drift_detected, round({STREAM_SCORE}, 6) AS health_score FROM f"""
 )
 def stream_metrics(spark, folder):
-    windows = jobs.metric_windows(event_stream(spark, folder, TENANT), BASELINE, watermark=None)
-    windows = jobs.run_to_latest(windows, ["key", "window_start"])
+    windows = jobs.exact_metric_windows(event_stream(spark, folder, TENANT), BASELINE, "7 days")
     return plain_ts(windows, "window_start").select(
         "key", "window_start", "request_count", "error_count", r6("error_rate"),
-        F.round("throughput_req_sec", 9).alias("throughput_req_sec"), "latency_min", "latency_max", steady("latency_mean"),
+        F.round("throughput_req_sec", 9).alias("throughput_req_sec"), "p50", "p95", "p99", "latency_min", "latency_max",
+        steady("latency_mean"), r6("kl"), "drift_detected", r6("health_score"),
     )
 
 
 @CATALOG.add(f"WITH RECURSIVE {ev()}, {breaker_sql()} SELECT {BREAKER_COLUMNS} FROM walk WHERE rn > 0")
 def stream_breaker(spark, folder):
-    return plain_ts(jobs.run_to_table(jobs.breaker_stream(event_stream(spark, folder), PATIENT)))
+    return plain_ts(recovery.gated(jobs.breaker_stream(event_stream(spark, folder), PATIENT).rows))
 
 
 @CATALOG.add(
@@ -519,10 +529,47 @@ def stream_breaker(spark, folder):
   FROM w WHERE n = 10 AND (0.8 - c) / 0.8 > 0.15"""
 )
 def stream_quality(spark, folder):
-    out = jobs.run_to_table(jobs.quality_stream(event_stream(spark, folder)))
+    out = jobs.quality_stream(event_stream(spark, folder)).rows
     return plain_ts(out).select("key", "event_id", "ts", r6("recent_confidence"), r6("degradation"))
 
 
+@CATALOG.add(
+    f"""WITH {ev(TENANT)}, w AS (SELECT key, event_id, ts, count(*) OVER x AS n, count(*) FILTER (error) OVER x AS e
+    FROM ev WINDOW x AS (PARTITION BY key {ORDERED} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+  SELECT key, event_id, ts, round(e / 100.0::DOUBLE, 6) AS window_error_rate FROM w WHERE n = 100 AND e / 100.0::DOUBLE > 0.05"""
+)
+def stream_error_spikes(spark, folder):
+    out = jobs.error_spike_stream(event_stream(spark, folder, TENANT), SENSITIVE).rows
+    return plain_ts(out).select("key", "event_id", "ts", r6("window_error_rate"))
+
+
+@CATALOG.add(f"WITH RECURSIVE {ev(TENANT)}, {SPIKE_SQL} SELECT key, event_id, ts, CAST(c AS INTEGER) AS spike_count, fired FROM spike WHERE rn > 0")
+def stream_spikes(spark, folder):
+    folded = jobs.spike_stream(event_stream(spark, folder, TENANT), F.col("latency_ms"), F.lit(SPIKE_BASELINE), PATIENT)
+    return plain_ts(recovery.counted_spikes(folded.rows, PATIENT))
+
+
+@CATALOG.add(f"WITH RECURSIVE {ev()}, {COOL_SQL} SELECT * FROM cut")
+def stream_cooldown(spark, folder):
+    folded = jobs.cooldown_stream(event_stream(spark, folder).where("error"), PATIENT)
+    return plain_ts(recovery.reduced(folded.rows, PATIENT))
+
+
+@CATALOG.add(HISTORY_SQL + " SELECT key::VARCHAR AS key, event_id, ts, action_type FROM act")
+def stream_audit(spark, folder):
+    """The audit log that the detectors' streams wrote."""
+    log = jobs.audit_stream(event_stream(spark, folder), SPIKE_BASELINE, scratch_path(spark, "audit-log"), PATIENT)
+    return plain_ts(log).select("key", "event_id", "ts", "action_type")
+
+
+@CATALOG.add(
+    """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents)
+  SELECT doc_id, k // 32 AS batch_id, k % 32 AS position FROM r"""
+)
+def stream_batches(spark, folder):
+    return folds.batched_stream(stream_of(spark, folder, "documents", RAW_DOCUMENTS), DEFAULT_BATCH_SIZE).rows
+
+
 @CATALOG.add(f"WITH {ev()}, {tail_sql('ev')} SELECT key, {TAIL} FROM tail")
 def stream_latency(spark, folder):
     """The newest row of each key that the stream wrote."""

@@ -79,6 +79,18 @@ def linear_percentiles(
     return joined.select(*keys, "mean", *parts)
 
 
+def nearest_ranks(
+    counts: DataFrame, value: str, keys: Sequence[str], n: str = "n", percents: Sequence[float] = (50, 95, 99),
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Exact nearest-rank percentiles of values that were counted already, one row per (keys, value)."""
+    totals = counts.groupBy(*keys).agg(F.sum(n).alias("_total"))
+    running = running_sums(counts, keys, [value], {"_upto": F.col(n)}, limit)
+    ranked = join_on(running, lookup_side(totals), keys)
+    at = lambda p: F.least(F.floor(F.col("_total") * p / 100.0), F.col("_total") - 1)
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{p:g}") for p in percents])
+
+
 def probe_latency(df: DataFrame, value: str = "latency_ms", order: str = "event_id", rows: int = LATENCY_PROBE_ROWS) -> DataFrame:
     """Mean, median, min, max and population deviation of the first ``rows`` samples."""
     first = df.orderBy(order).limit(rows)

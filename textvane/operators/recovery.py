@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -10,7 +11,7 @@ from textvane.config import ROWS_PER_SLICE, RecoveryPolicy
 from textvane.operators.replay import Machine, build_machine, replay
 from textvane.operators.rolling import quality_degradation
 from textvane.scale import last_n
-from textvane.sources.events import is_error, is_request
+from textvane.sources.events import is_error, is_request, is_reset
 
 POLICY = RecoveryPolicy()
 KEYS = ("key",)
@@ -47,6 +48,11 @@ def breaker_machine(policy: RecoveryPolicy = POLICY, variant: str = "standard",
     )
 
 
+def forgetting(machine: Machine, idle_sec: float | None) -> Machine:
+    """The machine, back at its start when its key returns after more than ``idle_sec``."""
+    return machine if idle_sec is None else replace(machine, idle_us=round(idle_sec * 1e6))
+
+
 # fixed values: what the optional transition log says
 TRANSITIONS = {
     ("closed", "open"): "Circuit opened due to failure threshold",
@@ -64,24 +70,34 @@ def circuit_breaker(
     strict: bool = False,
     log: bool = False,
     since: Column | None = None,
+    idle_sec: float | None = None,
     limit: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Gate every event by the breaker of its key: state before, allowed or not, state after."""
+    """Gate every event by the breaker of its key: state before, allowed or not, state after.
+
+    Events of the kind ``reset`` close their key's breaker at once.
+    """
     replayed = events if since is None else events.where(F.col("ts") >= since)
-    machine = breaker_machine(policy, variant, strict)
-    out = replay(replayed, machine, is_error(), keys, limit).select(
-        *keys, "ts", "event_id", "state_before", F.col("accepted").alias("allowed"), "state_after"
-    )
+    machine = forgetting(breaker_machine(policy, variant, strict), idle_sec)
+    replayed = replay(replayed, machine, is_error(), keys, limit, is_reset())
+    out = gated(replayed, keys)
     if not log:
         return out
-    woke = (F.col("state_before") == "open") & F.col("allowed")
+    out = replayed.select(*out.columns[:-2], F.col("accepted").alias("allowed"), "state_after", "reset")
+    woke = (F.col("state_before") == "open") & F.col("allowed") & ~F.col("reset")
     entered = F.when(woke, F.lit("half_open")).otherwise(F.col("state_before"))
     message = F.lit(None).cast("string")
     for (before, after), text in TRANSITIONS.items():
         if before != "open":
             message = F.when((entered == before) & (F.col("state_after") == after), F.lit(text)).otherwise(message)
     probe = F.when(woke, F.lit(TRANSITIONS[("open", "half_open")]))
-    return out.withColumn("log", F.array_compact(F.array(probe, message)))
+    said = F.when(F.col("reset"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(probe, message)))
+    return out.withColumn("log", said).drop("reset")
+
+
+def gated(replayed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Breaker rows of a replayed log."""
+    return replayed.select(*keys, "ts", "event_id", "state_before", F.col("accepted").alias("allowed"), "state_after")
 
 
 def circuit_states(replayed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -92,6 +108,11 @@ def circuit_states(replayed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     )
 
 
+def resets(samples: DataFrame) -> Column | None:
+    """Events of the kind ``reset``, in a log that tells kinds apart."""
+    return is_reset() if "kind" in samples.columns else None
+
+
 def spike_machine(samples: int) -> Machine:
     """Clamped counter: up on a spike, down otherwise, back to 0 when it fires."""
 
@@ -113,11 +134,15 @@ def latency_spikes(
     """Spike counter after each sample, and ``fired`` when spikes persisted."""
     spike = p99 > baseline_p95 * policy.spike_multiplier
     machine = spike_machine(policy.spike_samples)
-    flagged = samples.withColumn("_spike", F.coalesce(spike, F.lit(False)))
-    out = replay(flagged, machine, F.col("_spike"), keys, limit)
+    return counted_spikes(replay(samples, machine, spike, keys, limit, resets(samples)), policy, keys)
+
+
+def counted_spikes(replayed: DataFrame, policy: RecoveryPolicy = POLICY, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Spike rows of a replayed log."""
+    machine = spike_machine(policy.spike_samples)
     last = F.col("code_before") == machine.names.index(str(policy.spike_samples - 1))
-    fired = last & F.col("flag")
-    return out.select(*keys, "ts", "event_id", F.col("state_after").cast("int").alias("spike_count"), fired.alias("fired"))
+    count = F.col("state_after").cast("int").alias("spike_count")
+    return replayed.select(*keys, "ts", "event_id", count, (last & F.col("flag")).alias("fired"))
 
 
 def cooldown_machine(cooldown_sec: float) -> Machine:
@@ -140,15 +165,31 @@ def batch_reduction(
 ) -> DataFrame:
     """Out-of-memory events that are accepted (outside the cool-down) with old and new batch size.
 
-    Accepted events of a key are at least a cool-down apart, so they are few.
+    A reset among them brings the batch size back to where it began; the cool-down goes on.
+    """
+    machine = cooldown_machine(policy.batch_cooldown_sec)
+    return reduced(replay(overflows, machine, is_overflow(overflows), keys, limit), policy, keys)
+
+
+def is_overflow(overflows: DataFrame) -> Column:
+    """Every event but a reset."""
+    reset = resets(overflows)
+    return F.lit(True) if reset is None else ~reset
+
+
+def reduced(replayed: DataFrame, policy: RecoveryPolicy = POLICY, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Batch sizes of a replayed log.
+
+    Accepted events of a key are at least a cool-down apart, and resets are an operator's: they are few.
     """
-    out = replay(overflows, cooldown_machine(policy.batch_cooldown_sec), F.lit(True), keys, limit)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
+    ordered = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    events = replayed.where("accepted or not flag").withColumn("_resets", F.count_if(~F.col("flag")).over(ordered))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_resets").orderBy("ts", "event_id"))
     sizes = batch_sizes_after(policy)
     ladder = F.array(*[F.lit(s) for s in sizes])
     at = F.least(F.col("_nth"), F.lit(len(sizes) - 1))
     return (
-        out.where("accepted")
+        events.where("flag")
         .withColumn("_nth", nth)
         .select(
             *keys,

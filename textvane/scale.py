@@ -102,6 +102,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return joined.select(*[F.col(f"p.{c}") for c in left.columns], *added)
 
 
+def join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = ROWS_PER_SLICE) -> DataFrame:
+    """Left join with a table of one row per key; rows of hot keys meet a checked broadcast of just their keys."""
+    cold, hot = split_hot(left, keys, limit)
+    if hot is None:
+        return join_on(left, right, keys, "left")
+    names = hot.select(*keys).distinct()
+    few = lookup_side(join_on(right, names, keys, "left_semi"))
+    return join_on(cold, right, keys, "left").unionByName(join_on(hot, few, keys, "left"))
+
+
 def keys_as_text(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys as strings: in pandas a null integer would turn its column into floats that equal nothing."""
     return df.select(*[F.col(c).cast("string").alias(c) if c in keys else F.col(c) for c in df.columns])

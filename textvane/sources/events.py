@@ -54,6 +54,11 @@ def is_prediction() -> Column:
     return (F.col("kind") == "prediction") | (is_request() & (F.col("label") != DEFAULTS["label"]))
 
 
+def is_reset() -> Column:
+    """An operator's reset: what is known of the key is forgotten."""
+    return F.col("kind") == "reset"
+
+
 def load_events(spark: SparkSession, path: str, format: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read.format(format)
     return with_defaults((reader.schema(schema) if schema else reader).load(path))

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from textvane.sources.corpus import require_columns
 
 AUDIT_ID = ("key", "ts", "event_id", "action_type")
+ACTION = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("action_type", T.StringType()),
+    ]
+)
 
 
 def write_metrics_json(metrics: DataFrame, path: str) -> str:
@@ -84,13 +93,25 @@ def write_report(report: DataFrame, model: str, path: str) -> str:
     return path
 
 
-def append_actions(actions: DataFrame, path: str) -> str:
-    """Append recovery actions; replays of the same action carry the same id."""
-    ident = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in AUDIT_ID])), 256)  # a null is left out
-    actions.withColumn("action_id", ident).write.mode("append").parquet(path)
+def append_actions(actions: DataFrame, path: str, part: str | None = None) -> str:
+    """Append recovery actions; replays of the same action carry the same id.
+
+    Rows need the columns of ``ACTION``; event_id tells actions of one moment apart and may be missing.
+    A named ``part`` is written in full and replaces what an earlier attempt wrote under that name, so a
+    micro-batch that is run again adds nothing.
+    """
+    require_columns(actions, ACTION)
+    known = [F.col(c).cast("string").alias(c) for c in AUDIT_ID if c in actions.columns]
+    ident = F.sha2(F.to_json(F.struct(*known)), 256)  # a null is left out
+    rows = actions.withColumn("action_id", ident)
+    if part is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/part={part}")
     return path
 
 
 def read_actions(spark, path: str) -> DataFrame:
     """The audit log with replayed appends collapsed."""
-    return spark.read.parquet(path).dropDuplicates(["action_id"])
+    read = spark.read.parquet(path)
+    return read.dropDuplicates(["action_id"]).drop("part")

@@ -9,23 +9,27 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textvane.config import CONFIDENCE_THRESHOLD, MonitorPolicy, RecoveryPolicy
+from textvane.config import CONFIDENCE_THRESHOLD, ROWS_PER_SLICE, MonitorPolicy, RecoveryPolicy
 from textvane.operators.guardrails import apply_guardrails
-from textvane.operators.monitor import error_rate_expr, health_score, kl_terms
-from textvane.operators.recovery import breaker_machine
-from textvane.operators.replay import Machine
-from textvane.scale import keys_as_text, keys_as_were, lookup_side
+from textvane.operators.monitor import error_rate_expr, health_score, kl_terms, nearest_ranks
+from textvane.operators.recovery import (
+    breaker_machine, cooldown_machine, counted_spikes, forgetting, is_overflow, recovery_actions, reduced, resets, spike_machine,
+)
+from textvane.operators.rolling import error_spikes, quality_degradation
+from textvane.scale import join_on, keys_as_text, keys_as_were, lookup_side
 from textvane.session import scratch_path
-from textvane.sources.events import is_error, is_prediction, is_request
+from textvane.sources.events import is_error, is_prediction, is_request, is_reset
+from textvane.sources.sinks import append_actions, read_actions
+from textvane.streaming.folds import Folded, replayed_stream, windowed_counts, windowed_stream
 
 MONITOR = MonitorPolicy()
 RECOVERY = RecoveryPolicy()
 WATERMARK = "10 minutes"
+KEYS = ("key",)
 
 
 def run_to_table(
@@ -77,36 +81,24 @@ def guardrail_stream(predictions: DataFrame, threshold: float = CONFIDENCE_THRES
     return apply_guardrails(predictions, threshold, stamp=stamp)
 
 
-def metric_windows(
-    events: DataFrame,
-    baseline: dict[str, float],
-    width: str = "1 hour",
-    slide: str | None = None,
-    keys: Sequence[str] = ("key",),
-    watermark: str | None = WATERMARK,
-    policy: MonitorPolicy = MONITOR,
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """Per window and key: counts, error rate, throughput, percentiles, drift, health.
-
-    A window of a hot key may hold any number of requests, so its percentiles come from the
-    mergeable quantile summary, which is exact up to ``n / accuracy`` ranks.
-    """
-    span = F.window("ts", width, slide) if slide else F.window("ts", width)
+def _window_counts(baseline: dict[str, float]) -> list[Column]:
+    """Aggregates of a window that add up; the counts per class follow the baseline's order."""
     latency = F.when(is_request(), F.col("latency_ms"))
-    points = F.percentile_approx(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(accuracy))
-    predicted = {label: F.count_if(is_prediction() & (F.col("label") == label)) for label in baseline}
-    timed = events.withWatermark("ts", watermark) if watermark else events  # None: a finished log
-    grouped = timed.groupBy(span.alias("w"), *keys).agg(
+    predicted = [F.count_if(is_prediction() & (F.col("label") == label)) for label in baseline]
+    return [
         F.count_if(is_request()).alias("request_count"),
         F.count_if(is_error()).alias("error_count"),
         F.count_if(is_prediction()).alias("n_predictions"),
-        points.alias("_p"),
         F.min(latency).alias("latency_min"),
         F.max(latency).alias("latency_max"),
-        F.avg(latency).alias("latency_mean"),
-        *[n.alias(f"_n_{i}") for i, n in enumerate(predicted.values())],
-    )
+        F.sum(latency).alias("_sum"),
+        F.count(latency).alias("_n_timed"),
+        *[n.alias(f"_n_{i}") for i, n in enumerate(predicted)],
+    ]
+
+
+def _window_measures(grouped: DataFrame, baseline: dict[str, float], keys: Sequence[str], policy: MonitorPolicy) -> DataFrame:
+    """Rates, drift and health of windows with their counts, a window ``w`` and percentiles."""
     shares = {label: F.col(f"_n_{i}") / F.col("n_predictions") for i, label in enumerate(baseline)}
     enough = (F.col("n_predictions") >= policy.drift_min_samples) & F.lit(bool(baseline))
     kl = F.when(enough, kl_terms(shares, baseline, policy)).otherwise(F.lit(0.0))
@@ -119,12 +111,12 @@ def metric_windows(
         "error_count",
         error_rate_expr(F.col("error_count"), F.col("request_count")).alias("error_rate"),
         (F.col("request_count") / seconds).alias("throughput_req_sec"),
-        F.col("_p")[0].alias("p50"),
-        F.col("_p")[1].alias("p95"),
-        F.col("_p")[2].alias("p99"),
+        "p50",
+        "p95",
+        "p99",
         "latency_min",
         "latency_max",
-        "latency_mean",
+        F.try_divide("_sum", "_n_timed").alias("latency_mean"),
         kl.alias("kl"),
     )
     tail = F.coalesce("p99", F.lit(0.0))
@@ -135,6 +127,64 @@ def metric_windows(
     )
 
 
+def metric_windows(
+    events: DataFrame,
+    baseline: dict[str, float],
+    width: str = "1 hour",
+    slide: str | None = None,
+    keys: Sequence[str] = KEYS,
+    watermark: str | None = WATERMARK,
+    policy: MonitorPolicy = MONITOR,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """Per window and key: counts, error rate, throughput, percentiles, drift, health.
+
+    A window of a hot key may hold any number of requests, so its percentiles come from the
+    mergeable quantile summary, which is exact up to ``n / accuracy`` ranks; ``exact_metric_windows``
+    keeps the counted latencies instead.
+    """
+    span = F.window("ts", width, slide) if slide else F.window("ts", width)
+    latency = F.when(is_request(), F.col("latency_ms"))
+    points = F.percentile_approx(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(accuracy))
+    timed = events.withWatermark("ts", watermark) if watermark else events  # None: a finished log
+    grouped = timed.groupBy(span.alias("w"), *keys).agg(points.alias("_p"), *_window_counts(baseline))
+    named = grouped.select("*", *[F.col("_p")[i].alias(p) for i, p in enumerate(("p50", "p95", "p99"))])
+    return _window_measures(named, baseline, keys, policy)
+
+
+def exact_metric_windows(
+    events: DataFrame,
+    baseline: dict[str, float],
+    width: str = "1 hour",
+    slide: str | None = None,
+    keys: Sequence[str] = KEYS,
+    policy: MonitorPolicy = MONITOR,
+    path: str | None = None,
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """The same over everything a stream has available, with exact nearest-rank percentiles.
+
+    Every micro-batch writes its windows' counts and its distinct latencies with their counts; the
+    windows are closed by adding them up.  Open windows are there too, and no row is late.
+    """
+    span = F.window("ts", width, slide) if slide else F.window("ts", width)
+    groups = ["w", *keys]
+    timed = is_request() & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms")
+
+    def partial(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(span.alias("w"), *keys).agg(*_window_counts(baseline))
+
+    def values(rows: DataFrame) -> DataFrame:
+        return rows.where(timed).groupBy(span.alias("w"), *keys, "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+
+    parts, counted = windowed_counts(events, partial, values, path)
+    add = {"latency_min": F.min, "latency_max": F.max}
+    sums = [add.get(c, F.sum)(c).alias(c) for c in parts.columns if c not in groups]
+    merged = parts.groupBy(*groups).agg(*sums)
+    ranks = nearest_ranks(counted.groupBy(*groups, "latency_ms").agg(F.sum("n").alias("n")), "latency_ms", groups, limit=limit)
+    return _window_measures(join_on(merged, ranks, groups, "left"), baseline, keys, policy)
+
+
 def drift_windows(
     events: DataFrame, baseline: DataFrame, width: str = "1 hour", watermark: str | None = WATERMARK
 ) -> DataFrame:
@@ -173,81 +223,69 @@ def window_drift(counts: DataFrame, baseline: DataFrame, policy: MonitorPolicy =
     )
 
 
-def replay_stream(
-    events: DataFrame, machine: Machine, flag, key: str = "key", refused: str = "allowed"
-) -> DataFrame:
-    """The batch state machine over a stream: state per key is two numbers.
+def breaker_stream(
+    events: DataFrame, policy: RecoveryPolicy = RECOVERY, variant: str = "standard", strict: bool = False,
+    keys: Sequence[str] = KEYS, idle_sec: float | None = None, **options,
+) -> Folded:
+    """Circuit breaker over a stream; ``recovery.gated`` reads its rows.  ``options`` as in ``replayed_stream``."""
+    machine = forgetting(breaker_machine(policy, variant, strict), idle_sec)
+    return replayed_stream(events, machine, is_error(), keys, is_reset(), **options)
 
-    Rows of a key are ordered by (ts, event_id) within each micro-batch: a finished log is read as
-    one (see ``stream_files``), a live one arrives in order.
-    """
-    source = events.select(
-        key, "ts", "event_id", F.unix_micros("ts").alias("_us"), F.coalesce(flag, F.lit(False)).cast("int").alias("_flag")
-    )
-    out = T.StructType(
-        [
-            source.schema[key],
-            source.schema["ts"],
-            source.schema["event_id"],
-            T.StructField("state_before", T.StringType()),
-            T.StructField(refused, T.BooleanType()),
-            T.StructField("state_after", T.StringType()),
-        ]
-    )
-    state_type = T.StructType([T.StructField("code", T.IntegerType()), T.StructField("until", T.LongType())])
 
-    def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        code, until = state.get if state.exists else (0, 0)
-        batch = pd.concat(list(frames)).sort_values(["_us", "event_id"])
-        before, accepted, after = [], [], []
-        for ts, bad in zip(batch["_us"], batch["_flag"]):
-            before.append(machine.name(code))
-            ok, code, until = machine.advance(code, until, int(ts), int(bad))
-            accepted.append(ok)
-            after.append(machine.name(code))
-        state.update((code, until))
-        result = batch[[key, "ts", "event_id"]].copy()
-        result["state_before"], result[refused], result["state_after"] = before, accepted, after
-        yield result
-
-    return source.groupBy(key).applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.NoTimeout)
+def spike_stream(
+    samples: DataFrame, p99: Column, baseline_p95: Column, policy: RecoveryPolicy = RECOVERY, keys: Sequence[str] = KEYS,
+    idle_sec: float | None = None, **options,
+) -> Folded:
+    """Persistent latency spikes over a stream; ``recovery.counted_spikes`` reads its rows."""
+    machine = forgetting(spike_machine(policy.spike_samples), idle_sec)
+    return replayed_stream(samples, machine, p99 > baseline_p95 * policy.spike_multiplier, keys, resets(samples), **options)
 
 
-def breaker_stream(
-    events: DataFrame, policy: RecoveryPolicy = RECOVERY, variant: str = "standard", strict: bool = False, key: str = "key"
-) -> DataFrame:
-    return replay_stream(events, breaker_machine(policy, variant, strict), is_error(), key)
+def cooldown_stream(
+    overflows: DataFrame, policy: RecoveryPolicy = RECOVERY, keys: Sequence[str] = KEYS, **options
+) -> Folded:
+    """Accepted overflows over a stream; ``recovery.reduced`` reads its rows."""
+    return replayed_stream(overflows, cooldown_machine(policy.batch_cooldown_sec), is_overflow(overflows), keys, **options)
 
 
-def quality_stream(events: DataFrame, policy: RecoveryPolicy = RECOVERY, key: str = "key") -> DataFrame:
-    """Confidence-degradation alerts; state per key is the last few confidences."""
-    n, base, threshold = policy.quality_samples, policy.quality_baseline, policy.quality_threshold
-    source = events.where(is_prediction()).select(key, "ts", "event_id", "confidence")
-    out = T.StructType(
-        [
-            source.schema[key], source.schema["ts"], source.schema["event_id"],
-            T.StructField("recent_confidence", T.DoubleType()), T.StructField("degradation", T.DoubleType()),
-        ]
-    )
-    state_type = T.StructType([T.StructField("recent", T.ArrayType(T.DoubleType()))])
+def quality_stream(events: DataFrame, policy: RecoveryPolicy = RECOVERY, keys: Sequence[str] = KEYS, **options) -> Folded:
+    """Confidence-degradation alerts; the state is the last few predictions of each key.
 
-    def step(ident: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        joined = np.array([*recent, *batch["confidence"]], dtype="float64")
-        state.update(([float(x) for x in joined[-(n - 1):]],))
-        full = len(joined) - n + 1  # rows that end a complete window
-        if full <= 0:
-            return
-        total = np.zeros(full)
-        for k in range(n):  # oldest first, as the batch window adds them
-            total = total + joined[k : k + full]
-        result = batch[[key, "ts", "event_id"]].tail(full).copy()
-        result["recent_confidence"] = total / n
-        result["degradation"] = (base - total / n) / base
-        yield result[result["degradation"] > threshold]
-
-    return source.groupBy(key).applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.NoTimeout)
+    ``options`` as in ``windowed_stream``.
+    """
+    limit = options.get("limit", ROWS_PER_SLICE)
+    chosen = events.where(is_prediction()).select(*keys, "ts", "event_id", "kind", "label", "confidence")
+    alerts = lambda rows: quality_degradation(rows, keys, policy, limit)
+    return windowed_stream(chosen, alerts, policy.quality_samples - 1, keys, **options)
+
+
+def error_spike_stream(events: DataFrame, policy: RecoveryPolicy = RECOVERY, keys: Sequence[str] = KEYS, **options) -> Folded:
+    """Too many errors among the last N events; the state is those events."""
+    limit = options.get("limit", ROWS_PER_SLICE)
+    slim = events.select(*keys, "ts", "event_id", "kind", "error")
+    return windowed_stream(slim, lambda rows: error_spikes(rows, keys, policy, limit), policy.error_rate_samples - 1, keys, **options)
+
+
+def audit_stream(
+    events: DataFrame, baseline_p95: float, path: str, policy: RecoveryPolicy = RECOVERY, keys: Sequence[str] = KEYS,
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """All detectors' actions appended to the audit log ``path`` while the log streams by; the log read back.
+
+    Each detector writes a part per micro-batch, in full or again, so a repeated micro-batch adds nothing.
+    """
+    requests = events.where(is_request())
+    # (name, stream, actions of its rows)
+    quality = lambda rows: recovery_actions(quality=rows, policy=policy)
+    spikes = lambda rows: recovery_actions(spikes=counted_spikes(rows, policy, keys), policy=policy)
+    cuts = lambda rows: recovery_actions(reductions=reduced(rows, policy, keys), policy=policy)
+    sink = lambda name, actions: lambda rows, number: append_actions(actions(rows), path, f"{name}-{number}")
+    quality_stream(events, policy, keys, sink=sink("quality", quality), path=f"{path}-quality", limit=limit)
+    latency, usual = F.col("latency_ms"), F.lit(baseline_p95)
+    spike_stream(requests, latency, usual, policy, keys, sink=sink("spikes", spikes), path=f"{path}-spikes", limit=limit)
+    folded = cooldown_stream(events.where(is_error()), policy, keys, path=f"{path}-cooldown", limit=limit)
+    append_actions(cuts(folded.rows), path, "cooldown")  # a size follows from all cuts before it; they are few
+    return read_actions(events.sparkSession, path)
 
 
 def latency_stream(events: DataFrame, policy: MonitorPolicy = MONITOR, key: str = "key") -> DataFrame:
