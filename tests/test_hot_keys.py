@@ -2,7 +2,9 @@
 
 import random
 from datetime import datetime, timedelta, timezone
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,26 @@ def test_percentiles_of_many_distinct_values(log):
     assert rows(some, 6) == rows(sliced_up.select(*some.columns), 6)
     overall = monitor.linear_percentiles(log)
     assert rows(overall, 6) == rows(monitor.linear_percentiles(log, limit=LIMIT).select(*overall.columns), 6)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_wavelet_matrix(seed):
+    rng = np.random.default_rng(seed)
+    values = rng.choice([rng.normal(size=5), rng.normal(size=5) * 1e6][seed % 2], size=rng.integers(1, 300))
+    start = rng.integers(0, values.size, 200)
+    stop = rng.integers(start + 1, values.size + 1)
+    k = rng.integers(0, stop - start)
+    got = rolling.WaveletMatrix(values).kth(start, stop, k)
+    assert got.tolist() == [sorted(values[a:b])[i] for a, b, i in zip(start, stop, k)]
+    exact = [float(sum(map(Fraction, values[a:b])) / (b - a)) for a, b in zip(start.tolist(), stop.tolist())]
+    assert np.allclose(rolling.window_means(values, start, stop), exact, rtol=1e-13, atol=1e-13)
+
+
+def test_means_do_not_depend_on_what_stands_before():
+    """The same window after other values gives the same bits; huge values too."""
+    window = np.array([0.1, 0.2, 0.3, 1e9, 7e-9])
+    for before in ([], [1e12, 3.3], [5.5] * 100):
+        values = np.array([*before, *window])
+        mean = rolling.window_means(values, np.array([len(before)]), np.array([values.size]))[0]
+        assert mean == rolling.window_means(window, np.array([0]), np.array([5]))[0]
+    assert rolling.window_means(np.array([1e300, 1.0]), np.array([0, 1]), np.array([1, 2])).tolist() == [1e300, 1.0]

@@ -7,9 +7,10 @@ windows look back to, which are dropped afterwards.
 
 from __future__ import annotations
 
-import bisect
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -23,7 +24,7 @@ POLICY = MonitorPolicy()
 RECOVERY = RecoveryPolicy()
 ORDER = ("ts", "event_id")
 KEYS = ("key",)
-STEPS = 1 << 64  # of exact sums of floating-point numbers
+ROWS_AT_ONCE = 100_000  # of small slices, whose windows are answered together
 
 
 def _with_last_n(df: DataFrame, values: dict[str, Column], n: int, window: Window) -> DataFrame:
@@ -36,6 +37,59 @@ def _with_last_n(df: DataFrame, values: dict[str, Column], n: int, window: Windo
     )
 
 
+class WaveletMatrix:
+    """Order statistics of any stretch of an array, answered for many stretches at once.
+
+    Level by level, from the highest bit of a value's rank, the array is parted into those with a 0 and
+    those with a 1; running counts of the zeros say where a stretch goes (Claude, Navarro, Ordonez,
+    Information Systems 47, 2015).
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.values, now = np.unique(values, return_inverse=True)
+        self.bits = max(1, int(self.values.size - 1).bit_length())
+        self.zeros = []
+        for bit in reversed(range(self.bits)):
+            zero = (now >> bit & 1) == 0
+            self.zeros.append(np.concatenate([[0], np.cumsum(zero)]))
+            now = np.concatenate([now[zero], now[~zero]])
+
+    def kth(self, start: np.ndarray, stop: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The ``k``-th smallest (from 0) of each stretch [start, stop)."""
+        rank = np.zeros(k.size, np.int64)
+        for upto in self.zeros:
+            a, b = upto[start], upto[stop]
+            low = k < b - a
+            rank = rank * 2 + ~low
+            k = np.where(low, k, k - (b - a))
+            total = upto[-1]
+            start, stop = np.where(low, a, total + start - a), np.where(low, b, total + stop - b)
+        return self.values[rank]
+
+
+LIMB_BITS = 32
+
+
+def window_means(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Means of stretches from exact sums: a value is four numbers of 32 bits, whole steps of 2**-64.
+
+    Values of 2**62 and more are added up stretch by stretch.
+    """
+    n = stop - start
+    if not values.size or np.abs(values).max() >= 2.0**62:
+        return np.array([math.fsum(values[a:b]) / (b - a) for a, b in zip(start.tolist(), stop.tolist())])
+    rest, total = values.copy(), np.zeros(start.size)
+    sums = []
+    for step in (1, 0, -1, -2):
+        limb = np.trunc(rest * 2.0 ** (-LIMB_BITS * step))
+        rest = rest - limb * 2.0 ** (LIMB_BITS * step)
+        upto = np.concatenate([[0], np.cumsum(limb.astype(np.int64))])
+        sums.append((step, upto[stop] - upto[start]))
+    for step, found in reversed(sums):  # small parts first
+        total = total + found * 2.0 ** (LIMB_BITS * step)
+    return total / n
+
+
 def rolling_percentiles(
     events: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -44,11 +98,11 @@ def rolling_percentiles(
 ) -> DataFrame:
     """Nearest-rank p50/p95/p99, min, max, mean of the last N latencies after each request.
 
-    Requests without a latency have no row and no place in a window.  Means come from sums of
-    integers (steps of 2**-64), so they do not depend on where a slice starts.
+    Requests without a latency have no row and no place in a window.  Means come from exact sums, so
+    they do not depend on where a slice starts.
 
-    A sliding sort has no built-in form (a framed collect would re-sort N values per row), so
-    each slice streams through one ordered sample list per key.
+    A sliding sort has no built-in form (a framed collect would re-sort N values per row), so whole
+    slices, many small ones at once, are put into a wavelet matrix that answers all windows together.
     """
     n = policy.latency_samples
     timed = is_request() & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms")
@@ -58,34 +112,45 @@ def rolling_percentiles(
     fields = [f for f in keys_as_text(requests, keys).schema.fields if f.name != "latency_ms"]
     names = ("p50", "p95", "p99", "min", "max", "mean")
     out = T.StructType([*fields, *[T.StructField(m, T.DoubleType()) for m in names]])
-    passed = [*keys, *ORDER]
+    groups = [*keys, "_slice"]
+
+    def measured(rows: pd.DataFrame) -> pd.DataFrame:
+        """``rows`` holds whole slices, one after another."""
+        changed = np.zeros(len(rows), bool)
+        for name in groups:
+            column = rows[name]
+            before = column.shift()
+            changed |= ~((column == before) | (column.isna() & before.isna())).to_numpy()
+        changed[:1] = True
+        stop = np.arange(1, len(rows) + 1)
+        first = np.maximum.accumulate(np.where(changed, stop - 1, 0))
+        start = np.maximum(first, stop - n)
+        values = rows["latency_ms"].to_numpy()
+        matrix, m = WaveletMatrix(values), stop - start
+        result = rows[[*keys, *ORDER]].copy()
+        for name, p in (("p50", 50), ("p95", 95), ("p99", 99)):
+            result[name] = matrix.kth(start, stop, np.minimum((m * p / 100.0).astype(np.int64), m - 1))
+        result["min"], result["max"] = matrix.kth(start, stop, np.zeros_like(m)), matrix.kth(start, stop, m - 1)
+        result["mean"] = window_means(values, start, stop)
+        return result[~rows["_warmup"].to_numpy(bool)]
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, recent, ordered, total = None, [], [], 0
+        held, size = [], 0
         for frame in frames:
-            idents = list(zip(*[frame[k] for k in keys], frame["_slice"]))
-            rows = []
-            for ident, x in zip(idents, frame["latency_ms"]):
-                if ident != group:
-                    group, recent, ordered, head, total = ident, [], [], 0, 0
-                if len(ordered) == n:
-                    old = recent[head]
-                    del ordered[bisect.bisect_left(ordered, old)]
-                    recent[head] = x
-                    head = (head + 1) % n
-                    total += int(x * STEPS) - int(old * STEPS)
-                else:
-                    recent.append(x)
-                    head = len(recent) % n
-                    total += int(x * STEPS)
-                bisect.insort(ordered, x)
-                m = len(ordered)
-                at = [ordered[min(int(m * p / 100.0), m - 1)] for p in (50, 95, 99)]
-                rows.append((*at, ordered[0], ordered[-1], total / (m * STEPS)))
-            result = frame[passed].copy()
-            for i, name in enumerate(names):
-                result[name] = [r[i] for r in rows]
-            yield result[~frame["_warmup"].astype(bool)]
+            held.append(frame)
+            size += len(frame)
+            if size < ROWS_AT_ONCE:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = rows[groups].iloc[-1]
+            open_ = np.ones(len(rows), bool)  # the slice that may go on in the next frame
+            for name in groups:
+                open_ &= (rows[name].isna() if pd.isna(last[name]) else rows[name] == last[name]).to_numpy()
+            if not open_.all():
+                yield measured(rows[~open_].reset_index(drop=True))
+            held, size = [rows[open_]], int(open_.sum())
+        if size:
+            yield measured(pd.concat(held, ignore_index=True))
 
     walked = placed.select(*keys, *ORDER, "latency_ms", "_slice", "_warmup").mapInPandas(walk, out)
     return keys_as_were(walked, keys, requests)
