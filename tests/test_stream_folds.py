@@ -13,7 +13,7 @@ from textvane.config import MonitorPolicy, RecoveryPolicy
 from textvane.operators import recovery, rolling
 from textvane.operators.batching import batch_positions
 from textvane.sources import sinks
-from textvane.sources.events import EVENTS, stream_files
+from textvane.sources.events import EVENTS, stream_events, stream_files
 from textvane.streaming import folds, jobs
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -51,6 +51,8 @@ def streamed(spark, folder, pieces, schema=EVENTS):
         Path(f"{folder}/log").mkdir(exist_ok=True)
         shutil.copyfile(file, f"{folder}/log/{i}.parquet")
         time.sleep(0.02)  # the source takes files in order of their times
+    if schema is EVENTS:
+        return stream_events(spark, f"{folder}/log", schema, maxFilesPerTrigger="1")
     return stream_files(spark, f"{folder}/log", schema, maxFilesPerTrigger="1")
 
 

@@ -562,6 +562,26 @@ def stream_audit(spark, folder):
     return plain_ts(log).select("key", "event_id", "ts", "action_type")
 
 
+SLOW = MonitorPolicy(latency_alert_ms=20.0)
+
+
+@CATALOG.add(
+    f"""WITH {ev()} SELECT key, event_id, ts, 'latency_spike' AS alert_type, latency_ms AS value, true AS stamped FROM ev WHERE latency_ms > 20"""
+)
+def stream_alert_hook(spark, folder):
+    """What a hook that files every alert was handed."""
+    path = scratch_path(spark, "alerts")
+
+    def file_alerts(rows, number):
+        rows.write.mode("overwrite").parquet(f"{path}/part={number}")
+
+    found = jobs.alert_stream(event_stream(spark, folder), SLOW)
+    jobs.on_alerts(found, file_alerts).awaitTermination()
+    stamped = F.col("raised_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$")
+    rows = spark.read.schema(found.schema).parquet(f"{path}/part=*")
+    return plain_ts(rows).select("key", "event_id", "ts", "alert_type", "value", stamped.alias("stamped"))
+
+
 @CATALOG.add(
     """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents)
   SELECT doc_id, k // 32 AS batch_id, k % 32 AS position FROM r"""

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from textvane.catalog.tables import (
-    CLS, JUDGED, Catalog, classes, corpus, documents, events, ev, judged_labels, r6, redact_steps_sql, table,
+    JUDGED, Catalog, corpus, documents, events, ev, judged_labels, r6, redact_steps_sql, table,
 )
-from textvane.catalog.corpus_queries import arithmetic_key
+from textvane.catalog.corpus_queries import SPLIT_SQL, arithmetic_key
 from textvane.catalog.log_queries import PATIENT, breaker_sql
 from textvane.config import LABEL_IDS
 from textvane.functions.scores import argmax_index, top_score
 from textvane.operators import evaluation, features, models, recovery, scoring
 from textvane.operators.monitor import linear_percentiles
 from textvane.operators.sampling import train_test_split
+from textvane.plans.evaluation import evaluate_held_out
 from textvane.plans.serving import CIRCUIT_OPEN, as_events, refusals_as_events, score_requests
-from textvane.session import scratch_path
+from textvane.session import checkpointed, scratch_path
 from textvane.sources import sinks, training_log
 
 CATALOG = Catalog()
@@ -100,29 +103,34 @@ def report_lines(spark, folder):
 
 
 @CATALOG.add(
-    f"""WITH {JUDGED_MATRIX}, res AS (SELECT unnest(['accuracy', 'macro_f1', 'weighted_f1']) AS metric,
-  unnest([accuracy, macro_f1, weighted_f1]) AS value FROM ov) SELECT metric, round(value, 6) AS value FROM res"""
+    f"""WITH {JUDGED_MATRIX}, res AS (SELECT unnest([{', '.join(f"'{c}'" for c in (*OVERALL, 'support'))}]) AS metric, NULL AS class,
+    unnest([{', '.join(OVERALL)}, support]) AS value FROM ov
+    UNION ALL SELECT unnest(['precision', 'recall', 'f1', 'support']), label, unnest([precision, recall, f1, support]) FROM pc)
+  SELECT 'judged' AS model, metric, class, round(value, 6) AS value FROM res"""
 )
 def results_sink(spark, folder):
-    """Long result rows written as JSON and read back."""
+    """Long result rows, overall and per class, written as JSON and read back."""
     cells = matrix(spark, folder)
     rows = sinks.results_table("judged", evaluation.overall_metrics(cells), evaluation.per_class_metrics(cells))
     path = sinks.write_results(rows, scratch_path(spark, "results"))
     back = spark.read.schema("model string, metric string, class string, value double").json(path)
-    wanted = back.where("class IS NULL AND metric IN ('accuracy', 'macro_f1', 'weighted_f1')")
-    return wanted.select("metric", r6("value"))
+    return back.select("model", "metric", "class", r6("value"))
+
+
+ALWAYS = re.sub(r"\b(ls|cnt|cm|mg|pc|ov)\b", r"\g<1>2", MATRIX.format("always"))  # the same steps under other names
+SUMMARY_METRICS = ("accuracy", "macro_f1", "weighted_f1")
 
 
 @CATALOG.add(
-    f"""WITH {JUDGED}, m AS (SELECT 'judged' AS model, true_label, pred_label FROM judged
-    UNION ALL SELECT 'always_neutral', true_label, 'neutral' FROM judged)
-  SELECT model, round(avg(CASE WHEN true_label = pred_label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM m GROUP BY model"""
+    f"""WITH {JUDGED_MATRIX}, always AS (SELECT true_label, 'neutral' AS pred_label FROM judged), {ALWAYS},
+  two AS (SELECT 'judged' AS model, * FROM ov UNION ALL SELECT 'always_neutral', * FROM ov2)
+  SELECT model, {', '.join(f'round({c}, 6) AS {c}' for c in SUMMARY_METRICS)} FROM two"""
 )
 def model_summary(spark, folder):
     rows = judged_labels(spark, folder)
     constant = rows.withColumn("pred_label", F.lit("neutral"))
     results = models.evaluate_predictions("judged", rows).unionByName(models.evaluate_predictions("always_neutral", constant))
-    return sinks.model_summary(results, ["accuracy", "macro_f1"]).select("model", r6("accuracy"))
+    return sinks.model_summary(results, list(SUMMARY_METRICS)).select("model", *[r6(c) for c in SUMMARY_METRICS])
 
 
 LOGITS = """lg AS (SELECT vec_id, label AS true_label, embedding AS e FROM embeddings),
@@ -218,7 +226,9 @@ def token_sequences(spark, folder):
 def baseline(name: str):
     def run(spark, folder):
         split = train_test_split(corpus(spark, folder), key=arithmetic_key())
-        predictions = models.baseline_predictions(name, models.text_features(split))
+        features = models.text_features(split)
+        predictions = checkpointed(models.baseline_predictions(name, features))
+        features.unpersist()
         return models.evaluate_predictions(f"tfidf_{name}", predictions)
 
     run.__name__ = f"baseline_{name}"
@@ -227,11 +237,35 @@ def baseline(name: str):
 
 @CATALOG.add()
 def baseline_results(spark, folder):
-    """All baselines on one split: metrics of each, with the time each fit took."""
+    """All baselines on one split: metrics of each, training time, latency of single predictions."""
     split = train_test_split(corpus(spark, folder), key=arithmetic_key())
     return models.run_baselines(split)
 
 
+@CATALOG.add(
+    f"""WITH {SPLIT_SQL}, t AS (SELECT label, count(*) AS support FROM split WHERE split = 'test' GROUP BY label)
+  SELECT model, label, support, support AS n_predicted, true AS sums_agree FROM t, (SELECT unnest(['tfidf_logreg', 'tfidf_svm']) AS model)"""
+)
+def baseline_supports(spark, folder):
+    """Held-out rows per class of the linear baselines, and the row sums of their confusion matrices.
+
+    ``sums_agree``: precision and recall of the report follow from the matrix.
+    """
+    split = train_test_split(corpus(spark, folder), key=arithmetic_key())
+    features = models.text_features(split)
+    parts = []
+    for name in ("logreg", "svm"):
+        cells = evaluation.confusion_matrix(checkpointed(models.baseline_predictions(name, features)))
+        sums = cells.groupBy(F.col("true_label").alias("label")).agg(
+            F.sum("n").alias("n_predicted"), F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)).alias("hits")
+        )
+        report = evaluation.per_class_metrics(cells).where("support > 0").join(sums, "label")
+        agree = F.abs(F.col("recall") * F.col("support") - F.col("hits")) < 1e-6
+        parts.append(report.select(F.lit(f"tfidf_{name}").alias("model"), "label", "support", "n_predicted", agree.alias("sums_agree")))
+    features.unpersist()
+    return parts[0].unionByName(parts[1])
+
+
 for _name in models.BASELINES:
     CATALOG.add()(baseline(_name))
 
@@ -351,13 +385,30 @@ def gated_scoring(spark, folder):
     return every.groupBy("key").agg(*[F.count_if(F.col("what") == x).alias(f"n_{x}") for x in ("scored", "refused", "invalid")])
 
 
+HELD_OUT = f"""{SPLIT_SQL}, src AS (SELECT d.doc_id, d.text, s.label FROM documents d JOIN split s USING (doc_id) WHERE s.split = 'test'),
+  {scored_sql('src', 'text')},
+  ev2 AS (SELECT label AS true_label, CASE WHEN l > {TOO_LONG} THEN 'error' ELSE cls END AS pred_label FROM best), {MATRIX.format('ev2')}"""
+
+
+def held_out(spark, folder):
+    return evaluate_held_out(train_test_split(corpus(spark, folder), key=arithmetic_key()), load_length_scorer)
+
+
 @CATALOG.add(
-    f"""WITH {CLS}, src AS (SELECT d.doc_id, d.text, c.label FROM documents d JOIN cls c USING (doc_id)), {scored_sql('src', 'text')},
-  ev2 AS (SELECT label AS true_label, CASE WHEN l > {TOO_LONG} THEN 'error' ELSE cls END AS pred_label FROM best), {MATRIX.format('ev2')}
-  SELECT round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, support FROM ov"""
+    f"""WITH {HELD_OUT}, rep AS (SELECT label, precision, recall, f1, support FROM pc
+    UNION ALL SELECT 'accuracy', accuracy, accuracy, accuracy, support FROM ov
+    UNION ALL SELECT 'macro avg', macro_precision, macro_recall, macro_f1, support FROM ov
+    UNION ALL SELECT 'weighted avg', weighted_precision, weighted_recall, weighted_f1, support FROM ov)
+  SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM rep"""
 )
 def held_out_evaluation(spark, folder):
-    """Score a labelled table and evaluate it; a failed row is a class of its own."""
-    scored = scoring.verdicts(scoring.score_rows(corpus(spark, folder).withColumnRenamed("label", "true_label"), load_length_scorer))
-    pairs = scored.select("true_label", F.col("label").alias("pred_label"))
-    return evaluation.evaluate(pairs).select(r6("accuracy"), r6("macro_f1"), "support")
+    """The report on the test part of the corpus; a failed row is a class of its own."""
+    return held_out(spark, folder).report.select("label", r6("precision"), r6("recall"), r6("f1"), "support")
+
+
+@CATALOG.add(f"WITH {HELD_OUT} SELECT count(*) AS total_samples, true AS in_order FROM best")
+def held_out_latency(spark, folder):
+    """Samples of the test part, and whether their latency statistics are in order (the times themselves vary)."""
+    latency = held_out(spark, folder).latency
+    in_order = (F.col("mean") > 0) & (F.col("p50") > 0) & (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99"))
+    return latency.select("total_samples", in_order.alias("in_order"))

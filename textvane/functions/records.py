@@ -13,7 +13,3 @@ def utc_iso_now() -> Column:
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a timestamp with or without zone."""
     return F.unix_micros(ts.cast("timestamp"))
-
-
-def as_json(record: Column) -> Column:
-    return F.to_json(record)

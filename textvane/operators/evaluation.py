@@ -126,10 +126,3 @@ def metrics_from_logits(df: DataFrame, logits: str = "logits", label_id: str = "
         F.col("macro_precision").alias("precision_macro"),
         F.col("macro_recall").alias("recall_macro"),
     )
-
-
-def encoded_predictions(df: DataFrame, ids: dict[str, int]) -> DataFrame:
-    """Label strings to class ids; an unknown prediction becomes -1 and keeps its own row."""
-    return df.withColumn("true_id", encode_label(F.col("true_label"), ids)).withColumn(
-        "pred_id", encode_label(F.col("pred_label"), ids)
-    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import statistics
 import time
 from functools import reduce
 
@@ -12,18 +13,23 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from textvane.config import LABEL_IDS, MAX_VOCABULARY
+from textvane.config import LABEL_IDS, LATENCY_PROBE_ROWS, MAX_VOCABULARY
 from textvane.functions.scores import decode_label, encode_label
 from textvane.operators.evaluation import confusion_matrix, overall_metrics, per_class_metrics
 from textvane.operators.features import idf, vocabulary, with_terms
+from textvane.session import checkpointed
 from textvane.sources.sinks import results_table
 
 # fixed values: settings of the three baselines
 LOGREG_C, LOGREG_ITERATIONS = 1.0, 1000
 FOREST_TREES, FOREST_SEED, FOREST_DEPTH = 200, 42, 30
 SVM_C, SVM_ITERATIONS = 1.0, 2000
+SVM_AT_ONCE = 3  # one-against-rest fits that run side by side (speed only)
 TOLERANCE = 1e-4
 
+# speed only
+FOREST_MB = 1024  # statistics of the nodes split in one pass
+
 ROWS_PER_FIT_TASK = 2_000
 
 
@@ -60,10 +66,11 @@ def classifier(name: str, n_train: int):
     if name == "forest":
         return RandomForestClassifier(
             **common, numTrees=FOREST_TREES, seed=FOREST_SEED, maxDepth=FOREST_DEPTH, featureSubsetStrategy="sqrt",
+            maxMemoryInMB=FOREST_MB, cacheNodeIds=True,
         )
     if name == "svm":
         svm = LinearSVC(regParam=1.0 / (SVM_C * n_train), standardization=False, maxIter=SVM_ITERATIONS, tol=TOLERANCE)
-        return OneVsRest(classifier=svm, **common)
+        return OneVsRest(classifier=svm, parallelism=SVM_AT_ONCE, **common)
     raise ValueError(f"unknown baseline: {name}")
 
 
@@ -79,45 +86,80 @@ def embedding_features(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
 
 
-def fit_predict(name: str, train: DataFrame, test: DataFrame) -> DataFrame:
-    """(id columns, label_id, pred_id) of the test rows; both frames carry ``features``."""
+def text_features(split: DataFrame, text: str = "text") -> DataFrame:
+    """Features of a split corpus, fitted on its training part; kept for all models until ``unpersist``."""
+    corpus = with_label_ids(split).persist()
+    model = fit_tfidf(corpus.where("split = 'train'"), text)
+    features = model.transform(corpus).select("doc_id", "label", "label_id", "split", "features").persist()
+    features.count()
+    corpus.unpersist()
+    return features
+
+
+def fit(name: str, train: DataFrame):
+    """The fitted model of a baseline."""
     rows = max(train.count(), 1)
     # an iterative fit starts a job per pass, so a small training set goes into few tasks
     packed = train.coalesce(math.ceil(rows / ROWS_PER_FIT_TASK))
-    return classifier(name, rows).fit(packed).transform(test)
+    return classifier(name, rows).fit(packed)
 
 
-def text_features(split: DataFrame, text: str = "text") -> DataFrame:
-    """Features of a split corpus, fitted on its training part; kept for all models."""
-    corpus = with_label_ids(split).persist()
-    model = fit_tfidf(corpus.where("split = 'train'"), text)
-    return model.transform(corpus).select("doc_id", "label", "label_id", "split", "features").persist()
+def fit_predict(name: str, train: DataFrame, test: DataFrame) -> DataFrame:
+    """(id columns, label_id, pred_id) of the test rows; both frames carry ``features``."""
+    return fit(name, train).transform(test)
 
 
-def baseline_predictions(name: str, features: DataFrame, ids: dict[str, int] = LABEL_IDS) -> DataFrame:
+def predictions_of(model, features: DataFrame, ids: dict[str, int] = LABEL_IDS) -> DataFrame:
     """(doc_id, true_label, pred_label) of the held-out rows."""
-    scored = fit_predict(name, features.where("split = 'train'"), features.where("split = 'test'"))
-    return scored.select(
+    return model.transform(features.where("split = 'test'")).select(
         "doc_id", F.col("label").alias("true_label"), decode_label(F.col("pred_id").cast("int"), ids).alias("pred_label")
     )
 
 
+def baseline_predictions(name: str, features: DataFrame, ids: dict[str, int] = LABEL_IDS) -> DataFrame:
+    """(doc_id, true_label, pred_label) of the held-out rows."""
+    return predictions_of(fit(name, features.where("split = 'train'")), features, ids)
+
+
 def evaluate_predictions(model: str, predictions: DataFrame) -> DataFrame:
     """Long result rows (model, metric, class, value) of one model."""
     matrix = confusion_matrix(predictions)
     return results_table(model, overall_metrics(matrix), per_class_metrics(matrix))
 
 
+def single_latencies(model, features: DataFrame, rows: int = LATENCY_PROBE_ROWS) -> list[float]:
+    """Milliseconds of one prediction call for each of the first held-out rows, asked one by one."""
+    first = features.where("split = 'test'").orderBy("doc_id").limit(rows).select("features").collect()
+    ask = model.predict if hasattr(model, "predict") else lambda x: max(m.predictRaw(x)[1] for m in model.models)
+    spent = []
+    for row in first:
+        start = time.perf_counter()
+        ask(row.features)
+        spent.append((time.perf_counter() - start) * 1000)
+    return spent
+
+
+def latency_metrics(spent: list[float]) -> dict[str, float]:
+    """Mean, median, least, greatest and population deviation."""
+    if not spent:
+        return {}
+    return {
+        "latency_mean_ms": statistics.fmean(spent), "latency_median_ms": statistics.median(spent), "latency_min_ms": min(spent),
+        "latency_max_ms": max(spent), "latency_std_ms": statistics.pstdev(spent),
+    }
+
+
 def run_baselines(split: DataFrame, names: tuple[str, ...] = BASELINES) -> DataFrame:
-    """Fit, evaluate and time every baseline on one split."""
+    """Fit, evaluate and time every baseline on one split: training time, latency of single predictions."""
     features = text_features(split)
     parts = []
     for name in names:
         start = time.perf_counter()
-        predictions = baseline_predictions(name, features)
-        spent = time.perf_counter() - start
-        timing = predictions.sparkSession.createDataFrame(
-            [(f"tfidf_{name}", "training_time_seconds", None, spent)], "model string, metric string, class string, value double"
-        )
-        parts += [evaluate_predictions(f"tfidf_{name}", predictions), timing]
+        model = fit(name, features.where("split = 'train'"))
+        measured = {"training_time_seconds": time.perf_counter() - start, **latency_metrics(single_latencies(model, features))}
+        spark = features.sparkSession
+        rows = [(f"tfidf_{name}", metric, None, value) for metric, value in measured.items()]
+        timing = spark.createDataFrame(rows, "model string, metric string, class string, value double")
+        parts += [evaluate_predictions(f"tfidf_{name}", checkpointed(predictions_of(model, features))), timing]
+    features.unpersist()
     return reduce(lambda a, b: a.unionByName(b), parts)

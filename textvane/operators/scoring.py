@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -21,14 +22,18 @@ ERROR_PREFIX = "INFERENCE_ERROR: "
 Scorer = Callable[[list[str]], list[list[dict]]]
 
 
-def score_rows(df: DataFrame, load_scorer: Callable[[], Scorer], text: str = "text") -> DataFrame:
+def score_rows(df: DataFrame, load_scorer: Callable[[], Scorer], text: str = "text", timed: bool = False) -> DataFrame:
     """Add ``scores`` and ``score_error`` by running the model over Arrow batches.
 
+    With ``timed`` every row is a call of its own, and ``latency_ms`` says how long it took.
+
     ``load_scorer`` is called once per task and returns a function from texts to score lists.
     A batch that fails is halved until the rows that fail stand alone, so one bad row costs
     itself and some repeated halves.
     """
     added = [T.StructField("scores", SCORES), T.StructField("score_error", T.StringType())]
+    if timed:
+        added.append(T.StructField("latency_ms", T.DoubleType()))
     out = T.StructType([*df.schema.fields, *added])
 
     def attempt(scorer: Scorer, texts: list[str]) -> tuple[list, list[str | None]]:
@@ -44,8 +49,18 @@ def score_rows(df: DataFrame, load_scorer: Callable[[], Scorer], text: str = "te
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load_scorer()
         for frame in frames:
-            scores, errors = attempt(scorer, list(frame[text])) if len(frame) else ([], [])
             result = frame.copy()
+            if timed:
+                scores, errors, spent = [], [], []
+                for one in frame[text]:
+                    start = time.perf_counter()
+                    found, wrong = attempt(scorer, [one])
+                    spent.append((time.perf_counter() - start) * 1000)
+                    scores += found
+                    errors += wrong
+                result["latency_ms"] = spent
+            else:
+                scores, errors = attempt(scorer, list(frame[text])) if len(frame) else ([], [])
             result["scores"] = scores
             result["score_error"] = errors
             yield result

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textvane.config import CONFIDENCE_THRESHOLD, ROWS_PER_SLICE, MonitorPolicy, RecoveryPolicy
+from textvane.functions.records import utc_iso_now
 from textvane.operators.guardrails import apply_guardrails
 from textvane.operators.monitor import error_rate_expr, health_score, kl_terms, nearest_ranks
 from textvane.operators.recovery import (
@@ -335,8 +336,19 @@ def latency_stream(events: DataFrame, policy: MonitorPolicy = MONITOR, key: str
     return keys_as_were(stepped, [key], events)
 
 
+def alert_stream(events: DataFrame, policy: MonitorPolicy = MONITOR, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, ts, event_id, alert_type, value, raised_at) of requests slower than the alert allows."""
+    slow = events.where(is_request() & (F.col("latency_ms") > policy.latency_alert_ms))
+    return slow.select(
+        *keys, "ts", "event_id", F.lit("latency_spike").alias("alert_type"), F.col("latency_ms").alias("value"), utc_iso_now().alias("raised_at")
+    )
+
+
 def on_alerts(alerts: DataFrame, handler: Callable[[DataFrame, int], None], progress: str | None = None):
-    """Hand each micro-batch of alert rows to a user function (a hook)."""
+    """Hand each micro-batch of alert rows to a user function (a hook); a started query comes back.
+
+    A micro-batch that is run again reaches the handler again, with the same number.
+    """
     spark: SparkSession = alerts.sparkSession
     return (
         alerts.writeStream.foreachBatch(handler)
