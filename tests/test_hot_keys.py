@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textvane.config import MonitorPolicy, RecoveryPolicy
 from textvane.operators import monitor, recovery, rolling
-from textvane.scale import carry_sums, last_n, rank_cutoffs, running_sums, sliced, with_rank
+from textvane.scale import carry_sums, last_n, rank_cutoffs, running_sums, sliced, small_or_none, with_rank
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SMALL = MonitorPolicy(latency_samples=20, drift_samples=15, drift_min_samples=10, window_sec=200)
@@ -128,3 +128,10 @@ def test_means_do_not_depend_on_what_stands_before():
         mean = rolling.window_means(values, np.array([len(before)]), np.array([values.size]))[0]
         assert mean == rolling.window_means(window, np.array([0]), np.array([5]))[0]
     assert rolling.window_means(np.array([1e300, 1.0]), np.array([0, 1]), np.array([1, 2])).tolist() == [1e300, 1.0]
+
+
+def test_broadcasts_are_checked_by_rows_and_bytes(spark):
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("s"))
+    assert small_or_none(wide, 10, 20_000).count() == 10
+    assert small_or_none(wide, 10, 5_000) is None and small_or_none(wide, 9, 20_000) is None
+    assert small_or_none(spark.range(10), 10).count() == 10 and small_or_none(spark.range(10), 9) is None

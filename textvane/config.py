@@ -83,3 +83,4 @@ class RecoveryPolicy:
 
 ROWS_PER_SLICE = 1_000_000   # rows of one key that a single task may hold
 SMALL_TABLE_ROWS = 100_000   # largest summary that is sent to every executor
+SMALL_TABLE_BYTES = 64 << 20  # and its largest size

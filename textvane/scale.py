@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from textvane.config import ROWS_PER_SLICE, SMALL_TABLE_ROWS
+from textvane.config import ROWS_PER_SLICE, SMALL_TABLE_BYTES, SMALL_TABLE_ROWS
 from textvane.session import checkpointed
 
 POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row number below
@@ -32,8 +32,19 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if estimate < cores * SPLIT_BYTES else df
 
 
-def small_or_none(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame | None:
-    """The frame as a local table if it has at most ``max_rows`` rows, else None."""
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def small_or_none(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS, max_bytes: int = SMALL_TABLE_BYTES) -> DataFrame | None:
+    """The frame as a local table if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else None.
+
+    Where a column has values of any length, the size is added up before a row comes to the driver.
+    """
+    if not all(isinstance(f.dataType, FIXED_WIDTH) for f in df.schema.fields):
+        width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+        if size.n > max_rows or size.b > max_bytes:
+            return None
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return None
