@@ -54,9 +54,8 @@ def test_ledger_scans_only_what_is_new(spark):
     assert ledger.count() == 4  # two blobs, two rules
     new = old.union(spark.createDataFrame([(1, "AKIA" + "Z" * 16)], old.schema))  # another version of document 1
     marked = ledger.withColumn("spans", F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))))
-    versions, after = S.scan_new_blobs(new, marked, S.RULES[:3])
+    versions, fresh = S.scan_new_blobs(new, marked, S.RULES[:3])
     assert versions.count() == 4
-    fresh = after.where("size(spans) = 0 or get(spans, 0).start >= 0")
     blob = hashlib.sha256(("AKIA" + "Z" * 16).encode()).hexdigest()
     assert sorted((r.kind, r.blob == blob) for r in fresh.collect()) == [("access", True), ("assign", True), ("hex", False), ("hex", False), ("hex", True)]
 
@@ -82,3 +81,47 @@ def test_versions_under_one_id_are_redacted_apart(spark):
     safe = {texts[0]: "[SECRET] one", texts[1]: "two [SECRET] and [SECRET]", "clean": "clean", None: None}
     want = [(doc, safe[t], size if safe[t] == t else len(safe[t]), n) for doc, t, size, n in rows]
     assert sorted(map(tuple, out), key=lambda r: r[3]) == want
+
+
+def test_batches_use_the_ledger(spark, odd_docs, odd_rows, monkeypatch):
+    """The same spans in any number of batches; a blob of an earlier batch is not scanned again."""
+    scanned = []
+    plain = S.scan_new_blobs
+
+    def counted(docs, ledger=None, rules=S.RULES):
+        versions, fresh = plain(docs, ledger, rules)
+        scanned.append(fresh.count())
+        return versions, fresh
+
+    monkeypatch.setattr(S, "scan_new_blobs", counted)
+    whole = sorted(map(str, S.secret_spans(odd_docs).collect()))
+    distinct = len({r[1] or "" for r in odd_rows})
+    assert scanned == [distinct * len(S.RULES)]
+    for batches in (1, 2, 5):
+        scanned.clear()
+        assert sorted(map(str, S.spans_in_batches(odd_docs, batches).collect())) == whole
+        assert len(scanned) == batches and sum(scanned) == distinct * len(S.RULES)
+
+
+def test_a_wrong_ledger_shows(spark):
+    """What the ledger says is what is reported: seen pairs are not looked at again."""
+    docs = spark.createDataFrame([(i, "token=abcdef") for i in range(20)] + [(50, "x")], "doc_id long, text string")
+    blob = hashlib.sha256(b"token=abcdef").hexdigest()
+    ledger = spark.createDataFrame([(blob, r.kind, r.version, [(3, 4)] if r.kind == "hex" else []) for r in S.RULES], S.LEDGER)
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in S.secret_spans(docs, ledger=ledger).collect()}
+    assert found == {**{i: [("hex", 3, 4)] for i in range(20)}, 50: []}
+
+
+def test_query_columns_against_brute_force(spark, tmp_path, odd_docs):
+    from textvane.llm.catalog import op8_blob_ledger_secrets
+
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(TRICKY, 1000)), "doc_id long, text string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for doc, text in map(tuple, docs.collect()):
+        spans = base_spans(text)
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        counts = [sum(k == kind for k, _, _ in spans) for kind in S.BASE]
+        want.append((doc, *counts, hashlib.sha256(listed.encode()).hexdigest()))
+    found = op8_blob_ledger_secrets(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)

@@ -80,11 +80,15 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+SECRET_BATCHES = 2
+
+
 @CATALOG.add()
 def op8_blob_ledger_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """The second half of the documents is scanned against the ledger that the first half has left."""
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return secret_scan.secret_spans(table(spark, folder, "documents")).select(
+    return secret_scan.spans_in_batches(table(spark, folder, "documents"), SECRET_BATCHES).select(
         "doc_id",
         *[count(kind) for kind in secret_scan.BASE],
         F.sha2(secret_scan.span_text(spans, secret_scan.BASE).cast("binary"), 256).alias("base_sha256"),

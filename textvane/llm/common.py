@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,26 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{theirs}`").alias(own) for own, theirs in names.items()])
 
 
+def under_plain_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that gets its table with the columns c0, c1, ..., so names it adds cannot clash with any.
+
+    Arguments named ``*_col`` follow; the result has the names it came with.
+    """
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        given = inspect.signature(stage).bind(docs, *args, **kwargs)
+        given.apply_defaults()
+        place = {name.lower(): i for i, name in reversed(list(enumerate(docs.columns)))}
+        for argument, value in given.arguments.items():
+            if argument.endswith("_col") and value is not None and value.lower() in place:
+                given.arguments[argument] = f"c{place[value.lower()]}"
+        given.arguments["docs"] = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        return stage(*given.args, **given.kwargs).toDF(*docs.columns)
+
+    return run
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -98,8 +120,8 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str,
 HOT_KEYS = 1024
 
 
-def joined_spread(rows: DataFrame, groups: DataFrame, key: str, count: str, place: Column) -> DataFrame:
-    """``rows`` inner-joined with ``groups``, which has one row per ``key`` and in ``count`` how many rows have it.
+def joined_spread(rows: DataFrame, groups: DataFrame, key: str, count: str, place: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row per ``key`` and in ``count`` how many rows have it.
 
     A hot key's group row is repeated and its rows are dealt over the repeats by ``place``, a hash that
     tells rows of one key apart, so no task gets more than about one row in ``HOT_KEYS`` from one key.
@@ -112,7 +134,7 @@ def joined_spread(rows: DataFrame, groups: DataFrame, key: str, count: str, plac
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts")
     copies = F.when(F.col(count) * HOT_KEYS > F.lit(total), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
     repeated = groups.withColumn("_salt", F.explode(copies))
-    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 # --- sorted 64-bit arrays as bytes ---------------------------------------------

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textvane.llm.common import bits_needed, columns_as, digest_of, keep_rows, stored, text_of
+from textvane.llm.common import bits_needed, columns_as, digest_of, keep_rows, stored, text_of, under_plain_names
 
 BUCKET_KEYS = 4096
 
@@ -136,6 +136,7 @@ def exact_groups(
     )
 
 
+@under_plain_names
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the dropped rows: of equal texts one row stays.
 

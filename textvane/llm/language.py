@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textvane.llm.common import columns_as
+from textvane.llm.common import columns_as, under_plain_names
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -236,6 +236,7 @@ def has_letters(text_col: str) -> Column:
     return found(F.col(f"`{text_col}`"))
 
 
+@under_plain_names
 def keep_known_language(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_COSINE, keep_unsure: bool = True
 ) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textvane.llm.common import columns_as, marked, stored, text_of
+from textvane.llm.common import columns_as, joined_spread, marked, stored, text_of, under_plain_names
 
 
 @dataclass(frozen=True)
@@ -91,39 +91,61 @@ def _scanner(rules: tuple[Rule, ...]):
     return scan
 
 
+def _known_pairs(ledger: DataFrame) -> DataFrame:
+    """(blob, known): the kind:version pairs every blob was scanned for."""
+    return ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("known"))
+
+
 def scan_new_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES):
-    """(versions, ledger): (id, blob) of every row, and the ledger with the unseen pairs added.
+    """(versions, fresh): (id, blob) of every row, and the ledger rows of the pairs that were not yet in it.
 
-    ``ledger`` has the columns of ``LEDGER``.  One row of each blob that lacks a rule carries
-    its text to the scan; all others stay behind.  Pairs already in the ledger are not rescanned.
+    ``ledger`` has the columns of ``LEDGER``.  One row of each blob carries its text to the rules the
+    blob lacks.  Which rows those are is settled on narrow tables; of the texts only the minority is
+    moved, the rows that are scanned or those that are not, and the others are scanned, or left, where
+    they are read.
     """
     own = docs.select("id", text_of("text").alias("text"))
     blob = F.sha2(F.col("text").cast("binary"), 256)
     versions = stored(own.select("id", blob.alias("blob")), "blob-versions")
-    carriers = versions.groupBy("blob").agg(F.min("id").alias("carrier"))
+    blobs = versions.groupBy("blob").agg(F.min("id").alias("carrier"), F.count(F.lit(1)).alias("n"))
+    wanted = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+    nothing = F.array().cast("array<string>")
+    if ledger is None:
+        noted = blobs.where("n > 1").withColumn("known", nothing)
+    else:
+        noted = blobs.join(_known_pairs(ledger), "blob", "left").where("n > 1 or known is not null")
+        noted = noted.withColumn("known", F.coalesce("known", nothing))
+    noted = stored(noted, "blob-noted")  # blobs with more than one row, or with something in the ledger
+    possible = marked(versions, F.xxhash64("blob"), noted.select(F.xxhash64("blob").alias("h"))).where("_maybe").drop("_maybe")
+    lacks = F.size(F.array_except(wanted, F.col("known"))) > 0
+    met = joined_spread(possible, noted, "blob", "n", F.xxhash64("id"))
+    judged = met.select("id", "blob", "known", (F.col("id").eqNullSafe(F.col("carrier")) & lacks).alias("scan"))
+    judged = stored(judged.distinct(), "blob-judged")
+    rest = judged.where("not scan or size(known) > 0").count()  # of all other rows the texts go to all rules
     named = own.withColumn("blob", blob)
     mark = F.xxhash64("id", "blob")
-    if ledger is None:  # nearly every row carries its blob: only the possible others are moved
-        others = versions.join(carriers, "blob").where(~F.col("id").eqNullSafe(F.col("carrier"))).select("id", "blob").distinct()
-        others = stored(others.select(F.col("id").alias("_id"), F.col("blob").alias("_blob")), "blob-copies")
-        known = marked(named, mark, others.select(F.xxhash64("_id", "_blob").alias("h")))
-        copy = known["id"].eqNullSafe(others["_id"]) & (known["blob"] == others["_blob"])
-        texts = known.where("not _maybe").unionByName(known.where("_maybe").join(others, copy, "left_anti"))
-        texts = texts.select("text", F.array().cast("array<string>").alias("known"))
-    else:  # few rows carry a blob that lacks a rule
-        wanted = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-        scanned = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("known"))
-        lacking = carriers.join(scanned, "blob", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
-        lacking = lacking.where(F.size(F.array_except(wanted, F.col("known"))) > 0)
-        lacking = stored(lacking.select(F.col("carrier").alias("_id"), F.col("blob").alias("_blob"), "known"), "blob-unseen")
-        possible = marked(named, mark, lacking.select(F.xxhash64("_id", "_blob").alias("h"))).where("_maybe")
-        meets = possible["id"].eqNullSafe(lacking["_id"]) & (possible["blob"] == lacking["_blob"])
-        texts = possible.join(lacking, meets).select("text", "known")
+    if rest * 2 <= versions.count():
+        known = marked(named, mark, judged.where("not scan or size(known) > 0").select(F.xxhash64("id", "blob").alias("h")))
+        moved = known.where("_maybe").drop("_maybe")
+        told = _same_row(moved, judged, "left").where("scan is null or scan")
+        texts = told.select("text", F.coalesce("known", nothing).alias("known"))
+        texts = known.where("not _maybe").select("text", nothing.alias("known")).unionByName(texts)
+    else:
+        alone = versions.join(noted, "blob", "left_anti").select("id", "blob", nothing.alias("known"))
+        chosen = stored(judged.where("scan").select("id", "blob", "known").unionByName(alone), "blob-unseen")
+        moved = marked(named, mark, chosen.select(F.xxhash64("id", "blob").alias("h"))).where("_maybe").drop("_maybe")
+        texts = _same_row(moved, chosen, "inner").select("text", "known")
     fresh = texts.mapInArrow(_scanner(rules), LEDGER)
     if not versions.groupBy("id", "blob").count().where("count > 1").isEmpty():
         fresh = fresh.dropDuplicates(["blob", "kind", "version"])  # a carrier row that stands twice
-    fresh = stored(fresh, "blob-ledger")
-    return versions, fresh if ledger is None else ledger.unionByName(fresh)
+    return versions, stored(fresh, "blob-ledger")
+
+
+def _same_row(moved: DataFrame, told: DataFrame, how: str) -> DataFrame:
+    """Rows of (id, text, blob) with what ``told`` says of their id and blob; null ids are equal."""
+    told = told.withColumnsRenamed({"id": "_id", "blob": "_blob"})
+    same = moved["id"].eqNullSafe(told["_id"]) & (moved["blob"] == told["_blob"])
+    return moved.join(told, same, how)
 
 
 def secret_spans(
@@ -134,8 +156,29 @@ def secret_spans(
     rules: tuple[Rule, ...] = RULES,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, blob, spans (array of kind, start, end by start)."""
+    versions, fresh = scan_new_blobs(columns_as(docs, id=id_col, text=text_col), ledger, rules)
+    return joined_back(versions, fresh if ledger is None else ledger.unionByName(fresh), rules)
+
+
+def spans_in_batches(
+    docs: DataFrame, batches: int, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES
+) -> DataFrame:
+    """The same, taking the documents in by ``batches`` (by a hash of their ids) against one growing ledger.
+
+    A batch scans only what the batches before it have not left in the ledger; findings go back to the
+    rows of all batches.
+    """
     own = columns_as(docs, id=id_col, text=text_col)
-    versions, known = scan_new_blobs(own, ledger, rules)
+    number = F.pmod(F.xxhash64("id"), F.lit(batches))
+    versions, ledger = scan_new_blobs(own.where(number == 0), None, rules)
+    for batch in range(1, batches):
+        more, fresh = scan_new_blobs(own.where(number == batch), ledger, rules)
+        versions, ledger = versions.unionByName(more), ledger.unionByName(fresh)
+    return joined_back(versions, ledger, rules)
+
+
+def joined_back(versions: DataFrame, known: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's findings joined back to every version: doc_id, blob, spans."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     current = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     hits = known.where(F.size("spans") > 0).where(F.array_contains(current, F.concat_ws(":", "kind", "version")))
@@ -147,11 +190,16 @@ def secret_spans(
         .select("blob", F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
     )
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return versions.join(grouped, "blob", "left").select(
-        F.col("id").alias("doc_id"), "blob", F.coalesce("spans", none).alias("spans")
-    )
+    grouped = stored(grouped, "blob-findings")
+    clean = marked(versions, F.xxhash64("blob"), grouped.select(F.xxhash64("blob").alias("h")))
+    possible = stored(clean.where("_maybe").drop("_maybe"), "blob-carriers-of-findings")
+    counted = grouped.join(possible.groupBy("blob").agg(F.count(F.lit(1)).alias("n")), "blob")
+    told = joined_spread(possible, stored(counted, "blob-findings-counted"), "blob", "n", F.xxhash64("id"), "left")
+    rows = clean.where("not _maybe").select("id", "blob", none.alias("spans")).unionByName(told.select("id", "blob", "spans"))
+    return rows.select(F.col("id").alias("doc_id"), "blob", F.coalesce("spans", none).alias("spans"))
 
 
+@under_plain_names
 def redact_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars"
 ) -> DataFrame:

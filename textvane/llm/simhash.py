@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textvane.llm.common import columns_as, digest_of, keep_rows, stored, tasks_for, text_of
+from textvane.llm.common import columns_as, digest_of, joined_spread, keep_rows, stored, tasks_for, text_of, under_plain_names
 from textvane.llm.components import components
 
 BITS = 64
@@ -306,11 +306,12 @@ def near_groups(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     rows = stored(fingerprints(columns_as(docs, id=id_col, text=text_col), words), "simhash-rows")
-    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    rooted = _rooted(distinct, distance, parts)
+    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    rooted = _rooted(distinct.select("fp", "least"), distance, parts)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select(
+    found = stored(found.join(distinct.select("fp", "n"), "fp"), "simhash-components")
+    return joined_spread(rows, found, "fp", "n", F.xxhash64("id")).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -322,6 +323,7 @@ def _rooted(distinct: DataFrame, distance: int, parts: list[Part] | None = None)
     return rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
+@under_plain_names
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: of the smallest id there, its least (text digest, fingerprint).
 
