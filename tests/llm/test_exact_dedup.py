@@ -33,14 +33,14 @@ def test_empty(no_docs):
 
 def test_no_bucket_overflows(spark):
     keys = spark.range(3000).selectExpr("xxhash64(id) as key")
-    placed = exact_dedup.split_buckets(keys, 100)
+    placed = exact_dedup.build_directory(keys, 100).locate(keys)
     sizes = placed.groupBy("depth", "bucket").count().collect()
     assert max(r["count"] for r in sizes) <= 100 and sum(r["count"] for r in sizes) == 3000
 
 
 def test_lopsided_keys_split(spark):
     keys = spark.range(1000).selectExpr("id as key").union(spark.range(3).selectExpr("id - 9000000000000000000 as key"))
-    placed = exact_dedup.split_buckets(keys, 50)
+    placed = exact_dedup.build_directory(keys, 50).locate(keys)
     sizes = placed.groupBy("depth", "bucket").count().collect()
     assert max(r["count"] for r in sizes) <= 50 and max(r["depth"] for r in sizes) > 50
 
@@ -60,3 +60,19 @@ def test_stage_keeps_different_texts_under_one_id(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == want
     alone = exact_dedup.drop_exact_copies(docs.where("doc_id is null")).collect()
     assert sorted((r.doc_id, r.text) for r in alone) == [(None, "A"), (None, "BB"), (None, "D")]
+
+
+def test_rows_are_found_through_the_directory(odd_docs, odd_rows, monkeypatch):
+    """If a directory sent rows to other buckets than their texts, they would not be found."""
+    rows, index, directory = exact_dedup.build_index(exact_dedup.columns_as(odd_docs, id="doc_id", text="text"), bucket_keys=2)
+    assert directory.splits or directory.depth
+    wrong = exact_dedup.Directory(max(0, directory.depth - 1) if directory.depth else 1)
+    monkeypatch.setattr(exact_dedup, "build_index", lambda *a: (rows, index, wrong))
+    assert exact_dedup.exact_groups(odd_docs, bucket_keys=2).count() < len(odd_rows)
+
+
+def test_a_text_for_a_third(spark):
+    rows = [(i, "the same text" if i % 3 == 0 else f"text {i % 500}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = sorted(map(tuple, exact_dedup.exact_groups(docs, bucket_keys=16).collect()), key=repr)
+    assert found == brute(rows)

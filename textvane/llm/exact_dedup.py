@@ -1,13 +1,15 @@
 """Exact deduplication by an extendible-hash index, in DataFrame operations only.
 
 Texts are equal when they are identical without white space.  Every distinct text gets a 64-bit
-key.  The index is a set of buckets, each the keys that share a prefix of its own depth; a bucket
-with more than ``bucket_keys`` keys is split by one more bit (its directory slot doubles) until
-it fits or has only one key.  Different texts under one key form a chain, ordered by their bytes;
-grouping compares the bytes themselves, so a collision never merges two texts.
+key.  The directory says for any key which bucket it lies in: the keys that share the bucket's
+prefix.  It starts with buckets half full on average; a bucket with more than ``bucket_keys`` keys is
+split by one more bit (its slot of the directory doubles) until it fits or has only one key.  Texts
+are dealt to the owner of their bucket, which chains those under one key and compares their bytes,
+so a collision never merges two texts; every row then looks its text up in its bucket.
 
 Copies are combined before each shuffle, so a text that a third of all rows repeat sends one row
-per task.  What is shuffled is one copy of each distinct text per task, needed to compare bytes.
+per task, and rows of a hot key are spread when they look it up.  What is shuffled is one copy of
+each distinct text per task, needed to compare bytes.
 
 Nulls and empty texts are one group (the text without characters).  Rows that repeat an id count
 one by one in ``group_size``.  A null id sorts after all others.  Empty tables give no rows.
@@ -15,9 +17,11 @@ one by one in ``group_size``.  A null id sorts after all others.  Empty tables g
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textvane.llm.common import bits_needed, columns_as, digest_of, keep_rows, stored, text_of, under_plain_names
+from textvane.llm.common import bits_needed, columns_as, digest_of, joined_spread, keep_rows, stored, text_of, under_plain_names
 
 BUCKET_KEYS = 4096
 
@@ -42,50 +46,62 @@ def _prefix(depth: Column | int) -> Column:
     return F.when(depth >= 64, F.col("key")).otherwise(F.col("key").bitwiseAND(F.bitwise_not(low)))
 
 
-def split_buckets(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """(key) -> (key, depth, bucket): directory doubling until every bucket fits.
+@dataclass
+class Directory:
+    """Which bucket a key lies in: ``depth`` bits, and one more for every split bucket it falls into.
+
+    ``splits`` holds per level the prefixes of the buckets that were split there, as written tables.
+    """
+
+    depth: int
+    splits: list[DataFrame] = field(default_factory=list)
+
+    def locate(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with ``key``) with ``depth`` and ``bucket`` added."""
+        placed = rows.withColumn("depth", F.lit(self.depth)).withColumn("bucket", _prefix(F.col("depth")))
+        for level, split in enumerate(self.splits):
+            marks = split.select("bucket", F.lit(self.depth + level).alias("depth"), F.lit(1).alias("_more"))
+            more = F.coalesce("_more", F.lit(0))
+            placed = placed.join(marks, ["bucket", "depth"], "left").withColumn("depth", F.col("depth") + more)
+            placed = placed.drop("_more").withColumn("bucket", _prefix(F.col("depth")))
+        return placed
+
+
+def build_directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> Directory:
+    """Double the directory under overfull buckets until every bucket fits; ``keys`` are distinct.
 
-    ``keys`` are distinct.  Starting depth: buckets half full on average, so that the usual
-    number of further splits is none; each round splits only the overfull buckets.
+    Each round looks only at the keys of the buckets split in the round before.
     """
-    depth = bits_needed(max(1, 2 * keys.count() // bucket_keys))
-    placed = keys.withColumn("depth", F.lit(depth)).withColumn("bucket", _prefix(depth))
+    directory = Directory(bits_needed(max(1, 2 * keys.count() // bucket_keys)))
+    crowded = directory.locate(keys)
     while True:
-        full = placed.groupBy("depth", "bucket").agg(F.count(F.lit(1)).alias("n"))
-        full = full.where((F.col("n") > bucket_keys) & (F.col("depth") < 64)).drop("n")
+        full = crowded.groupBy("depth", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        full = stored(full.where((F.col("n") > bucket_keys) & (F.col("depth") < 64)).select("bucket"), "exact-splits")
         if full.isEmpty():
-            return placed
-        split = full.select("depth", "bucket", F.lit(1).alias("more"))
-        placed = stored(
-            placed.join(split, ["depth", "bucket"], "left")
-            .select("key", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-            .withColumn("bucket", _prefix(F.col("depth"))),
-            "exact-directory",
-        )
+            return directory
+        deeper = F.lit(directory.depth + len(directory.splits) + 1)
+        directory.splits.append(full)
+        inside = crowded.join(full, "bucket", "left_semi").select("key", deeper.alias("depth"))
+        crowded = stored(inside.withColumn("bucket", _prefix(F.col("depth"))), "exact-crowded")
 
 
-def build_index(docs: DataFrame, hash_bits: int = 64, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame]:
-    """(rows, index), both written to the shared folder.
+def build_index(docs: DataFrame, hash_bits: int = 64, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame, Directory]:
+    """(rows, index, directory); the tables are written to the shared folder.
 
-    rows: (id, key).  index: one row per distinct text (bucket, depth, key, chain, keep_id,
-    group_size, text_sha256), in the key ranges of its owners.
+    rows: (id, key).  index: one row per distinct text: bucket, key, keep_id, group_size, text_sha256.
     """
     rows = stored(docs.select("id", _norm()).select("id", _key(hash_bits).alias("key")), "exact-rows")
-    texts = _texts(docs, hash_bits).groupBy("key", "norm").agg(
+    directory = build_directory(stored(rows.select("key").distinct(), "exact-keys"), bucket_keys)
+    return rows, stored(_heads(directory.locate(_texts(docs, hash_bits))).drop("norm"), "exact-index"), directory
+
+
+def _heads(texts: DataFrame) -> DataFrame:
+    """One row per distinct text, its bytes compared within its bucket and key."""
+    met = texts.groupBy("bucket", "key", "norm").agg(
         F.max(F.struct("n", F.bitwise_not("id").alias("inverse"))).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    heads = stored(
-        texts.select(
-            "key",
-            F.bitwise_not("best.inverse").alias("keep_id"),
-            "group_size",
-            F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-        ),
-        "exact-texts",
-    )
-    placed = split_buckets(heads.select("key").distinct(), bucket_keys)
-    index = heads.join(placed, "key").repartitionByRange("bucket", "key", "text_sha256")
-    return rows, stored(index.sortWithinPartitions("bucket", "key", "text_sha256"), "exact-index")
+    digest = F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
+    return met.select("bucket", "key", "norm", F.bitwise_not("best.inverse").alias("keep_id"), "group_size", digest)
 
 
 def _norm() -> Column:
@@ -109,24 +125,22 @@ def exact_groups(
     Of equal texts the row with most code points stays, then the smallest id.
     """
     own = columns_as(docs, id=id_col, text=text_col)
-    rows, index = build_index(own, hash_bits, bucket_keys)
-    chained = index.groupBy("key").agg(F.count(F.lit(1)).alias("chain")).where("chain > 1").select("key")
+    rows, index, directory = build_index(own, hash_bits, bucket_keys)
     found = ["keep_id", "group_size", "text_sha256"]
+    place = F.xxhash64("id")
+    chained = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "exact-chained")
+    asked = directory.locate(rows).select("id", "key", _slot())
     if chained.isEmpty():
-        joined = rows.join(index.select("key", *found), "key").select("id", *found)
-    else:  # rows under a chained key meet the chain's texts by their bytes
-        chained = stored(chained, "exact-chained")
-        texts = _texts(own, hash_bits).join(chained, "key", "left_semi")
-        chain = texts.groupBy("key", "norm").agg(
-            F.max(F.struct("n", F.bitwise_not("id").alias("inverse"))).alias("best"), F.count(F.lit(1)).alias("group_size")
-        )
-        chain = chain.select(
-            "key", "norm", F.bitwise_not("best.inverse").alias("keep_id"), "group_size",
-            F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-        )
-        plain = rows.join(chained, "key", "left_anti")
-        joined = plain.join(index.select("key", *found), "key").select("id", *found)
-        joined = joined.unionByName(texts.join(chain, ["key", "norm"]).select("id", *found))
+        return _answers(joined_spread(asked, index.select(_slot(), *found), "slot", "group_size", place))
+    alone = index.join(chained, "key", "left_anti").select(_slot(), *found)
+    joined = joined_spread(asked, alone, "slot", "group_size", place).select("id", *found)
+    # rows under a chained key meet the chain's texts by their bytes
+    texts = directory.locate(_texts(own, hash_bits).join(chained, "key", "left_semi"))
+    chain = _heads(texts).select("bucket", "key", "norm", *found)
+    return _answers(joined.unionByName(texts.join(chain, ["bucket", "key", "norm"]).select("id", *found)))
+
+
+def _answers(joined: DataFrame) -> DataFrame:
     return joined.select(
         F.col("id").alias("doc_id"),
         "keep_id",
@@ -136,6 +150,11 @@ def exact_groups(
     )
 
 
+def _slot() -> Column:
+    """Bucket and key as one column to join on."""
+    return F.struct("bucket", "key").alias("slot")
+
+
 @under_plain_names
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the dropped rows: of equal texts one row stays.
