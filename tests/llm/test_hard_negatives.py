@@ -38,7 +38,6 @@ def found(df):
 def test_against_brute_force(spark, monkeypatch, width, wide):
     monkeypatch.setattr(hn, "BLOCK", 97)
     monkeypatch.setattr(hn, "CHUNK", 7)
-    monkeypatch.setattr(hn, "TILE", 31)
     random = np.random.default_rng(width)
     rows = [(i, int(random.integers(4)), [float(x) for x in np.float32(random.normal(size=width) * wide)]) for i in range(600)]
     for i in range(0, 600, 3):  # a third are copies of one vector
@@ -79,7 +78,8 @@ def test_labels_must_be_integers(spark):
 
 
 @pytest.mark.parametrize("planes,dims", [(1, 8), (10, 24), (33, 16), (64, 8)])
-def test_scores_are_inner_products(planes, dims):
+def test_scores_are_inner_products(monkeypatch, planes, dims):
+    monkeypatch.setattr(hn, "TILE", 17)
     random = np.random.default_rng(planes)
     half = 1 << (planes - 1)
     rows = random.integers(-half, half, (50, dims), endpoint=False, dtype=np.int64)

@@ -39,10 +39,13 @@ def test_recall_and_scores(spark, monkeypatch):
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [3.0, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (20, [5.0, 5.0]), (9, [])]
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [3.0, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (20, [5.0, 5.0]), (9, []), (20, [6.0, 0.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = sorted(map(tuple, neighbours.nearest(vectors, F.col("id") % 20 == 0).collect()))
-    assert found == [(0, 1, 20, 15.0), (0, 2, 1, 5.0), (0, 3, 1, 5.0), (0, 4, 7, 5.0), (20, 1, 7, 20.0), (20, 2, 0, 15.0), (20, 3, 1, 15.0), (20, 4, 1, 15.0)]
+    assert found == [
+        (0, 1, 20, 15.0), (0, 2, 20, 6.0), (0, 3, 1, 5.0), (0, 4, 1, 5.0), (0, 5, 7, 5.0), (0, 6, 8, 1.0),
+        (20, 1, 7, 20.0), (20, 2, 0, 15.0), (20, 3, 1, 15.0), (20, 4, 1, 15.0), (20, 5, 8, 5.0),
+    ]
     assert neighbours.nearest(vectors.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
@@ -65,3 +68,30 @@ def test_agreement_is_footrule(seed):
     far = [sum(abs(i - place(o).get(p, 5)) for p, i in mine.items()) for o in orders]
     agreement = files.agreement(query)
     assert np.array_equal(agreement + np.array(far), np.full(40, sum(5 - i for i in range(5))))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_equal_vectors_get_equal_scores(seed):
+    """Whatever stands beside them and wherever they stand, for any width."""
+    random = np.random.default_rng(seed)
+    for width in (1, 2, 3, 7, 64, 100):
+        one, query = random.normal(size=(2, width))
+        rows = random.normal(size=(int(random.integers(5, 2000)), width))
+        same = random.random(len(rows)) < 0.3
+        same[:2] = True
+        rows[same] = one
+        scores = neighbours.inner_products(rows, query)
+        assert len(set(scores[same].tolist())) == 1
+        assert np.allclose(scores, rows @ query)
+
+
+def test_recall_of_the_query_on_the_given_vectors(spark, folder):
+    """Ids divisible by 50 against all rows, held against brute force."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    ids = [r.vec_id for r in rows]
+    matrix = np.array([r.embedding for r in rows], float)
+    asked = [i for i in ids if i % 50 == 0]
+    found = neighbours.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("id") % 50 == 0).collect()
+    want = brute(ids, matrix, asked, 20)
+    hits = sum(len({r.vec_id for r in found if r.query_id == q} & {i for i, _ in top}) for q, top in want.items())
+    assert hits >= 0.9 * 20 * len(asked)

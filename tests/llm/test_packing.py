@@ -75,13 +75,47 @@ def test_crossover_and_mutation_lose_nothing():
         assert all(sum(lengths[p] for p in b) + left == 100 for b, left in zip(child.bins, child.left))
 
 
-def test_genes_improve_on_greedy():
-    """Sizes that best fit alone packs badly: pairs of three fill a bin exactly."""
-    random = np.random.default_rng(0)
-    lengths = [x for s in random.integers(0, 9, 30).tolist() for x in (26 + s, 35 - s, 39)]
-    greedy = packing.Packing(lengths, 100).best_fit(list(range(len(lengths))))
-    evolved = packing.evolve(lengths, 100, (3,), [], population=8, generations=400)
-    assert int(evolved.max()) + 1 <= len(greedy.bins)
+def hard_mixes(bins):
+    """Lengths that fill ``bins`` sequences exactly by threes, and lengths of a quarter to a half of one."""
+    random = np.random.default_rng(5)
+    triples = []
+    for _ in range(bins):
+        a = int(random.integers(400, 1024))
+        b = int(random.integers(256, (2048 - a) * 2 // 3))
+        triples += [a, b, 2048 - a - b]
+    return {"triples": triples, "quarters": random.integers(500, 1024, 3 * bins).tolist()}
+
+
+@pytest.mark.parametrize("name", ["triples", "quarters"])
+def test_genes_improve_on_greedy(name):
+    """With production parameters, on a whole shard: well below best fit, and each epoch starts from the elite."""
+    lengths = hard_mixes(2700)[name]
+    fewest = -(-sum(lengths) // 2048)
+    greedy = len(packing.Packing(lengths, 2048).best_fit(list(range(len(lengths)))).bins)
+    place = packing.evolve(lengths, 2048, (0, 0, 0), [])
+    first = int(place.max()) + 1
+    second = int(packing.evolve(lengths, 2048, (0, 0, 1), [place]).max()) + 1
+    assert np.bincount(place, lengths).max() <= 2048
+    assert second <= first <= greedy - (greedy - fewest) // 3
+
+
+def test_fill_bins_takes_the_best_pair():
+    sizes = np.array([1, 2, 5, 9, 20])
+    assert packing.best_addition(sizes, 14) == [2, 3]  # 5 + 9
+    assert packing.best_addition(sizes, 9) == [3]
+    assert packing.best_addition(sizes, 4) == [0, 1]
+    whole = packing.Packing([60, 30, 10, 55, 45, 99], 100).fill_bins(list(range(6)))
+    assert sorted(whole.left) == [0, 0, 1]
+
+
+def test_poor_sequences_of_all_shards_meet(spark):
+    """Shards of one piece and a bit leave sequences half empty; together they take no more than needed."""
+    rows = [(i, 0, 0, 700, i) for i in range(100)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack_pieces(pieces, shard_pieces=4).collect()
+    assert sorted(tuple(r)[:5] for r in out) == rows
+    alone = packing.pack_pieces(pieces).collect()
+    assert check_places(out) <= 60 and check_places(alone) == 50
 
 
 def test_small_shards_and_hot_document(spark):

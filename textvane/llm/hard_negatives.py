@@ -140,8 +140,8 @@ def first_by_score(scores: np.ndarray, k: int) -> np.ndarray:
     return places[np.argsort(-scores[places], kind="stable")[:k]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], planes: int, groups: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(ids, labels, bits) of up to ``BLOCK`` candidates, by label and then id."""
+def _blocks(batches: Iterator[pa.RecordBatch], planes: int, groups: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, labels, bits) of up to ``most`` candidates, by label and then id."""
     held, rows = [], 0
 
     def block():
@@ -153,29 +153,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], planes: int, groups: int) -> Iter
         return ids[order], labels[order], bits[order]
 
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            held.append(batch.slice(at, BLOCK))
+        for at in range(0, batch.num_rows, most):
+            held.append(batch.slice(at, most))
             rows += held[-1].num_rows
-            if rows >= BLOCK:
+            if rows >= most:
                 yield block()
                 held, rows = [], 0
     if rows:
         yield block()
 
 
-def _chunks(folder: str) -> Iterator[pa.RecordBatch]:
+def _chunks(folder: str, most: int) -> Iterator[pa.RecordBatch]:
     system, path = file_system(folder)
-    for batch in pyarrow.dataset.dataset(path, filesystem=system, format="parquet").to_batches(batch_size=CHUNK):
+    for batch in pyarrow.dataset.dataset(path, filesystem=system, format="parquet").to_batches(batch_size=most):
         if batch.num_rows:
             yield batch
 
 
 def own_label_best(candidates: DataFrame, anchors: str, groups: int, planes: int, k: int) -> DataFrame:
     """(anchor, score, id): of every block the ``k`` best rows of an anchor's label."""
+    block, chunk_rows = BLOCK, CHUNK
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, labels, bits in _blocks(batches, planes, groups):
-            for chunk in _chunks(anchors):
+        for ids, labels, bits in _blocks(batches, planes, groups, block):
+            for chunk in _chunks(anchors, chunk_rows):
                 keys, names, wanted = (chunk.column(c).to_numpy() for c in ("anchor", "id", "label"))
                 matrix = _matrix(chunk.column("vector"), groups * 8)
                 found = []
@@ -201,12 +202,13 @@ def other_label_best(
 ) -> DataFrame:
     """(anchor, bar, score, id): of every block the ``k`` best rows of other labels at or below each bar."""
     times, over = band
+    block, chunk_rows = BLOCK, CHUNK
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, labels, bits in _blocks(batches, planes, groups):
+        for ids, labels, bits in _blocks(batches, planes, groups, block):
             by_id = np.argsort(ids, kind="stable")
             ids, labels, bits = ids[by_id], labels[by_id], bits[by_id]
-            for chunk in _chunks(anchors):
+            for chunk in _chunks(anchors, chunk_rows):
                 keys, names, wanted = (chunk.column(c).to_numpy() for c in ("anchor", "id", "label"))
                 matrix = _matrix(chunk.column("vector"), groups * 8)
                 tables = subset_sums(matrix, _narrowest(matrix, planes))

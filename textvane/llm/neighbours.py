@@ -11,27 +11,37 @@ to unit length; all other figures cover all rows.  Pivot orders tell directions
 product also grows with length: among vectors of different lengths the agreement, plus a quarter
 of the largest, is weighed by the length.  Equal lengths leave the footrule's order as it is.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
-another length than the most frequent one.  Rows that repeat an id are found each; a query never
-finds rows of its own id.  Ties go to the smaller id.  Empty tables give no rows.
+The vectors are cut into blocks where they are read and never moved; a block's inverted file is
+built once.  The queries are a written table in the shared folder, of which every task reads chunk
+after chunk for each of its blocks: all queries meet all blocks, so work grows with their product.
+
+Products are added up in one fixed order, so equal vectors get equal scores, and ties go to the
+smaller id.  Vectors that are null, zero, or hold null or non-finite components take no part.  Shorter
+vectors count as if they ended in zeros.  Rows that repeat an id are found each; a query never finds
+rows of its own id, and of several vectors under a query's id the least is asked for.  Empty tables
+give no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.dataset
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textvane.llm.common import columns_as, stored
+from textvane.llm.files import file_system
+from textvane.session import scratch_path
 
 PIVOTS = 256
 PIVOT_ROWS = 2048
 PREFIX = 32
 SHARE = 0.3
 BLOCK = 16_384
-CHUNK = 8_192
+CHUNK = 1_024
 LEAST_CANDIDATES = 1024
 
 
@@ -41,19 +51,33 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     own = own.select("id", F.col("vector").cast("array<double>").alias("vector"))
     own = own.where(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
-    length = own.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return own.where(F.size("vector") == (length.n if length else 0))
+    return own
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in column.chunks] or [np.empty(0)])
-    return flat.reshape(len(column), -1)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows, ended with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), width))
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def inner_products(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Products with every row, halves added to halves: the same additions whatever rows stand beside."""
+    terms = rows * vector
+    while terms.shape[1] > 1:
+        half = terms.shape[1] // 2
+        summed = terms[:, :half] + terms[:, half : 2 * half]
+        terms = np.concatenate([summed, terms[:, 2 * half :]], axis=1) if terms.shape[1] % 2 else summed
+    return terms[:, 0] if terms.shape[1] else np.zeros(len(rows))
 
 
 def choose_pivots(vectors: DataFrame, most: int = PIVOTS) -> np.ndarray:
     """Distinct vectors of least id hash."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select("vector").collect()
-    distinct = list(dict.fromkeys(tuple(r.vector) for r in rows))[:most]
+    rows = vectors.orderBy(F.xxhash64("id"), "id", "vector").limit(PIVOT_ROWS).select("vector").collect()
+    width = max((len(r.vector) for r in rows), default=0)
+    ended = (tuple(r.vector) + (0.0,) * (width - len(r.vector)) for r in rows)
+    distinct = list(dict.fromkeys(ended))[:most]
     points = np.array(distinct)
     return points / np.linalg.norm(points, axis=1, keepdims=True) if distinct else points
 
@@ -83,68 +107,83 @@ class InvertedFiles:
         return total
 
 
-def search_block(
-    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray,
-    k: int, share: float, prefix: int,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the ``k`` best of a block for each query."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    files = InvertedFiles(prefixes(vectors, pivots, prefix), len(pivots))
-    lengths = np.linalg.norm(vectors, axis=1)
-    best = prefix * (prefix + 1) / 2  # agreement of equal orders
-    unit = (1 << 30) / (1.25 * best * max(lengths.max(initial=0.0), 1e-300))
-    tried = min(ids.size, max(LEAST_CANDIDATES, math.ceil(share * ids.size)))
-    found: list[tuple] = []
-    orders = prefixes(queries, pivots, prefix)
-    rank = np.arange(ids.size)
-    for query, vector, nearest in zip(query_ids.tolist(), queries, orders):
-        worth = (files.agreement(nearest) + best / 4) * lengths * unit
-        worth = worth.astype(np.int64) * ids.size - rank  # distinct; ties to the smaller id
-        chosen = np.sort(np.argpartition(-worth, tried - 1)[:tried])
-        chosen = chosen[ids[chosen] != query]
-        scores = vectors[chosen] @ vector
-        if chosen.size > k:
-            bar = np.partition(scores, chosen.size - k)[chosen.size - k]
-            keep = scores >= bar
-            chosen, scores = chosen[keep], scores[keep]
-        top = np.argsort(-scores, kind="stable")[:k]
-        found.append((np.full(top.size, query), ids[chosen[top]], scores[top]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(x) for x in zip(*found))
+class Block:
+    """The permutation index of a block of vectors."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, share: float, prefix: int, least: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors, self.pivots, self.prefix = ids[order], vectors[order], pivots, prefix
+        self.files = InvertedFiles(prefixes(self.vectors, pivots, prefix), len(pivots))
+        self.lengths = np.linalg.norm(self.vectors, axis=1)
+        self.tried = min(ids.size, max(least, math.ceil(share * ids.size)))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_id, vec_id, score) of the ``k`` best found for each query."""
+        best = self.prefix * (self.prefix + 1) / 2  # agreement of equal orders
+        unit = (1 << 30) / (1.25 * best * max(self.lengths.max(initial=0.0), 1e-300))
+        found: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        rank = np.arange(self.ids.size)
+        for query, vector, nearest in zip(query_ids.tolist(), queries, prefixes(queries, self.pivots, self.prefix)):
+            worth = (self.files.agreement(nearest) + best / 4) * self.lengths * unit
+            worth = worth.astype(np.int64) * self.ids.size - rank  # distinct; ties to the smaller id
+            chosen = np.sort(np.argpartition(-worth, self.tried - 1)[: self.tried])
+            chosen = chosen[self.ids[chosen] != query]
+            scores = inner_products(self.vectors[chosen], vector)
+            if chosen.size > k:
+                bar = np.partition(scores, chosen.size - k)[chosen.size - k]
+                keep = scores >= bar
+                chosen, scores = chosen[keep], scores[keep]
+            top = np.argsort(-scores, kind="stable")[:k]
+            found.append((np.full(top.size, query), self.ids[chosen[top]], scores[top]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of up to ``most`` rows."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table.column("id").to_numpy(), np.concatenate([_matrix(x, width) for x in table.column("vector").chunks])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            held.append(batch.slice(at, most))
+            rows += held[-1].num_rows
+            if rows >= most:
+                yield block()
+                held, rows = [], 0
+    if rows:
+        yield block()
 
 
 def nearest(
-    vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
     share: float = SHARE, prefix: int = PREFIX, pivots: int = PIVOTS,
-) -> DataFrame:
+) -> DataFrame:
     """The ``k`` nearest rows found for every row where ``is_query`` (a column over ``id``) holds.
 
-    query_id, rank, vec_id, score.  Blocks of rows meet chunks of queries; both have a bounded
-    size, and what leaves a meeting is ``k`` rows per query.  ``share=1.0`` is exact.
+    query_id, rank, vec_id, score.  What leaves a block is ``k`` rows per query.  ``share=1.0`` is exact.
     """
     own = stored(usable_vectors(vectors, id_col, vector_col), "vectors")
-    asked = own.where(is_query)
+    width = own.agg(F.max(F.size("vector"))).first()[0] or 0
     points = choose_pivots(own, pivots)
-    blocks = max(1, -(-own.count() // BLOCK))
-    chunks = max(1, -(-asked.count() // CHUNK))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
-    left = own.select("*", deal(blocks).alias("block"), numbers(chunks).alias("chunk"))
-    right = asked.dropDuplicates(["id"]).select("*", deal(chunks).alias("chunk"), numbers(blocks).alias("block"))
-
-    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        arrays = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        if mine.num_rows and theirs.num_rows:
-            arrays = search_block(
-                mine.column("id").to_numpy(), _matrix(mine.column("vector")), theirs.column("id").to_numpy(),
-                _matrix(theirs.column("vector")), points, k, share, min(prefix, len(points)),
-            )
-        return pa.Table.from_arrays([pa.array(x) for x in arrays], ["query_id", "vec_id", "score"])
-
-    meetings = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-    found = meetings.applyInArrow(meet, "query_id long, vec_id long, score double")
+    points = np.pad(points, ((0, 0), (0, width - points.shape[1]))) if len(points) else points
+    asked = scratch_path(own.sparkSession, "queries")
+    own.where(is_query).groupBy("id").agg(F.min("vector").alias("vector")).write.parquet(asked)
+
+    block, at_once, least = BLOCK, CHUNK, LEAST_CANDIDATES
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = file_system(asked)
+        for ids, rows in _blocks(batches, width, block):
+            searched = Block(ids, rows, points, share, min(prefix, len(points)), least)
+            for chunk in pyarrow.dataset.dataset(path, filesystem=system, format="parquet").to_batches(batch_size=at_once):
+                found = searched.search(chunk.column("id").to_numpy(), _matrix(chunk.column("vector"), width), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+    found = own.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(meet, "query_id long, vec_id long, score double")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

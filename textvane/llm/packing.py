@@ -5,9 +5,14 @@ are sequences by themselves; the others are dealt to shards of about ``SHARD_PIE
 Every shard is packed by ``ISLANDS`` islands.  An individual is a set of bins.  Crossover injects
 the well-filled bins of one parent whole, drops the other parent's bins that hold any of the same
 pieces, and best-fits the displaced pieces; mutation empties some of the worst-filled bins and
-best-fits their pieces.  Between epochs the elite of each island migrates to the next one of its
-shard.  The best individual of a shard is its packing.  All random choices follow the shard and
-island numbers, so that a task that is run again gives the same packing.
+best-fits their pieces.  Displaced pieces are fitted longest first, either into the fullest bin that
+has room, or by filling one bin after another with the best single piece or pair; an island's
+population begins with one individual of each kind.  An island goes on until no packing could have
+fewer bins, or ``PATIENCE`` generations in a row have brought no better one.  Between epochs the
+elite of each island migrates to the next one of its shard.  The best individual of a shard is its
+packing.  Bins of all shards that are at most half full are then packed once more, as they are, by
+the same algorithm.  All random choices follow the shard and island numbers, so that a task that is
+run again gives the same packing.
 
 Null and empty texts are the end id alone.  Very long texts are cut, not dropped.  Rows that
 repeat an id are packed each; null ids are kept.  Empty tables give no rows.
@@ -33,7 +38,7 @@ END_ID = 0
 SHARD_PIECES = 8192
 ISLANDS = 2
 POPULATION = 4
-GENERATIONS = 4
+PATIENCE = 12
 EPOCHS = 2
 CACHED_WORDS = 300_000
 
@@ -165,6 +170,30 @@ class Packing:
                 bisect.insort(open_bins, (left - length, number))
         return self
 
+    def fill_bins(self, pieces: list[int]) -> Packing:
+        """Open a bin for the longest piece and add the single piece or pair that fills it best, until none fits.
+
+        What cannot start a bin that gets more than three quarters full goes by ``best_fit``.
+        """
+        order = sorted(pieces, key=lambda p: (self.lengths[p], p))
+        sizes = np.array([self.lengths[p] for p in order], np.int64)
+        loose: list[int] = []
+        while order:
+            members, left = [order.pop()], self.capacity - int(sizes[-1])
+            sizes = sizes[:-1]
+            while sizes.size and sizes[0] <= left:
+                chosen = best_addition(sizes, left)
+                for at in sorted(chosen, reverse=True):
+                    left -= int(sizes[at])
+                    members.append(order.pop(at))
+                sizes = np.delete(sizes, chosen)
+            if left * 4 <= self.capacity:
+                self.bins.append(members)
+                self.left.append(left)
+            else:
+                loose += members
+        return self.best_fit(loose)
+
     def fitness(self) -> tuple[int, float]:
         """Fewer bins first; then fuller bins, which leave room in few places."""
         return -len(self.bins), sum(((self.capacity - x) / self.capacity) ** 2 for x in self.left)
@@ -184,6 +213,22 @@ class Packing:
         return place
 
 
+def best_addition(sizes: np.ndarray, room: int) -> list[int]:
+    """Places of the single size or pair of sizes, in ascending order, that fill ``room`` best."""
+    one = int(np.searchsorted(sizes, room, "right")) - 1
+    best, places = int(sizes[one]), [one]
+    if best < room and sizes.size > 1:
+        first = np.arange(one + 1)
+        second = np.searchsorted(sizes, room - sizes[: one + 1], "right") - 1
+        fits = np.flatnonzero(second > first)
+        if fits.size:
+            sums = sizes[first[fits]] + sizes[second[fits]]
+            at = fits[int(np.argmax(sums))]
+            if int(sizes[at] + sizes[second[at]]) > best:
+                places = [int(at), int(second[at])]
+    return places
+
+
 def from_assignment(lengths: list[int], capacity: int, place: np.ndarray) -> Packing:
     packing = Packing(lengths, capacity)
     packing.bins = [[] for _ in range(int(place.max(initial=-1)) + 1)]
@@ -193,10 +238,16 @@ def from_assignment(lengths: list[int], capacity: int, place: np.ndarray) -> Pac
     return packing
 
 
+def refitted(packing: Packing, pieces: list[int], random: np.random.Generator) -> Packing:
+    """Displaced pieces back in, by one of the two ways."""
+    return packing.fill_bins(pieces) if random.random() < 0.5 else packing.best_fit(pieces)
+
+
 def crossover(giver: Packing, taker: Packing, random: np.random.Generator) -> Packing:
     """Inject well-filled bins of ``giver`` into ``taker``, drop the bins they clash with, refit the rest."""
     filled = [n for n, left in enumerate(giver.left) if left <= giver.capacity // 256]
-    chosen = random.permutation(filled)[: max(1, len(filled) // 8)].tolist() if filled else []
+    share = int(random.integers(2, 9))  # of the filled bins one in two to eight
+    chosen = random.permutation(filled)[: max(1, len(filled) // share)].tolist() if filled else []
     injected = {p for n in chosen for p in giver.bins[n]}
     child = taker.copy()
     clash = {n for n, pieces in enumerate(child.bins) if not injected.isdisjoint(pieces)}
@@ -204,7 +255,7 @@ def crossover(giver: Packing, taker: Packing, random: np.random.Generator) -> Pa
     for n in chosen:
         child.bins.append(list(giver.bins[n]))
         child.left.append(giver.left[n])
-    return child.best_fit(displaced)
+    return refitted(child, displaced, random)
 
 
 def mutate(packing: Packing, random: np.random.Generator) -> Packing:
@@ -213,30 +264,33 @@ def mutate(packing: Packing, random: np.random.Generator) -> Packing:
         return packing
     child = packing.copy()
     order = sorted(range(len(child.bins)), key=lambda n: -child.left[n])
-    few = max(1, len(order) // 64)
+    few = max(1, len(order) // int(random.integers(8, 65)))
     gone = set(order[:few]) | set(random.choice(len(order), few).tolist())
-    return child.best_fit(child.without(gone))
+    return refitted(child, child.without(gone), random)
 
 
 def evolve(
     lengths: list[int], capacity: int, seed: tuple[int, ...], immigrants: list[np.ndarray],
-    population: int = POPULATION, generations: int = GENERATIONS,
+    population: int = POPULATION, patience: int = PATIENCE,
 ) -> np.ndarray:
     """One epoch of one island; returns its elite as an assignment of pieces to bins."""
     random = np.random.default_rng(seed)
     fewest = -(-sum(lengths) // capacity)
     alive = [from_assignment(lengths, capacity, place) for place in immigrants]
+    every = list(range(len(lengths)))
     if not alive:
-        alive.append(Packing(lengths, capacity).best_fit(list(range(len(lengths)))))
-    while len(alive) < population and len(alive[0].bins) > fewest:
-        alive.append(mutate(alive[0], random))
+        alive.append(Packing(lengths, capacity).best_fit(every))
+        if len(alive[0].bins) > fewest:
+            alive.append(Packing(lengths, capacity).fill_bins(every))
     best = max(alive, key=Packing.fitness)
-    for _ in range(generations):
-        if len(best.bins) <= fewest:
-            break  # no packing has fewer
+    while len(alive) < population and len(best.bins) > fewest:
+        alive.append(mutate(alive[random.integers(len(alive))], random))
+    best, idle = max(alive, key=Packing.fitness), 0
+    while len(best.bins) > fewest and idle < patience:  # no packing has fewer than ``fewest``
         first, second = (alive[i] for i in random.choice(len(alive), 2, replace=len(alive) < 2))
         child = mutate(crossover(first, second, random), random)
         alive[min(range(len(alive)), key=lambda i: alive[i].fitness())] = child
+        idle = 0 if child.fitness() > best.fitness() else idle + 1
         best = max([best, child], key=Packing.fitness)
     return best.assignment()
 
@@ -251,7 +305,10 @@ def _read(value: bytes | None, dtype) -> np.ndarray:
 def pack_pieces(
     pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS
 ) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32) plus sequence_id and offset."""
+    """``pieces`` (doc_id, piece, start, length, ids_crc32) plus sequence_id and offset.
+
+    ``capacity`` bounds a sequence, no piece is longer.
+    """
     numbered = pieces.withColumn("_row", F.monotonically_increasing_id())
     numbered = stored(numbered, "pieces")  # the numbers must not change when a task is run again
     full = numbered.where(F.col("length") >= capacity)
@@ -298,8 +355,11 @@ def pack_pieces(
         offset = np.empty(by_bin.size, np.int64)
         offset[by_bin] = begins - base
         sequence = best.astype(np.int64) * shards + key[0].as_py()
+        poor = np.bincount(best, lengths)[best] * 2 <= capacity
         rows = rows.drop_columns(["_row", "_shard"])
-        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("_poor", poor)):
+            rows = rows.append_column(name, pa.array(values))
+        return rows
 
     state = short.groupBy("_shard").applyInArrow(settle, gene)
     state = state.select("shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "lengths", "elite")
@@ -311,12 +371,29 @@ def pack_pieces(
             state = state.select("shard", F.explode(homes).alias("island"), "lengths", "elite")
     state = stored(state.select(F.col("shard").alias("_shard"), "elite"), "packing-elites")
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _poor boolean"
     packed = short.groupBy("_shard").cogroup(state.groupBy("_shard")).applyInArrow(place, schema)
     alone = full.select(
         "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    return packed.unionByName(alone)
+    if shards == 1:
+        return packed.drop("_poor").unionByName(alone)
+    packed = stored(packed, "packed")
+    return packed.where("not _poor").drop("_poor").unionByName(_together(packed.where("_poor").drop("_poor"), capacity)).unionByName(alone)
+
+
+def _together(rows: DataFrame, capacity: int) -> DataFrame:
+    """Sequences that are at most half full, each kept as it is, packed into fewer."""
+    loads = rows.groupBy("sequence_id").agg(F.sum("length").alias("length"))
+    zero = F.lit(0).cast("long")
+    as_pieces = loads.select(F.col("sequence_id").alias("doc_id"), F.lit(0).alias("piece"), zero.alias("start"), "length", zero.alias("ids_crc32"))
+    moved = stored(pack_pieces(as_pieces, capacity), "poor-sequences")
+    names = moved.groupBy(F.col("sequence_id").alias("_new")).agg(F.min("doc_id").alias("_name"))  # their old names are free
+    placed = moved.join(names, F.col("sequence_id") == F.col("_new"))
+    places = placed.select(F.col("doc_id").alias("_old"), "_name", F.col("offset").alias("_base"))
+    joined = rows.join(places, F.col("sequence_id") == F.col("_old"))
+    own = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    return joined.select(*own, F.col("_name").alias("sequence_id"), (F.col("offset") + F.col("_base")).alias("offset"))
 
 
 def pack_documents(
