@@ -80,3 +80,17 @@ def test_rows(odd_docs, odd_rows, no_docs, reference):
     want = [(r[0], reference.encode_ordinary(r[1] or ""), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in odd_rows]
     assert got == sorted(want, key=repr)
     assert bpe.encoded(no_docs, BYTE_RANKS, PATTERN).count() == 0
+
+
+def test_query_columns(spark, tmp_path, odd_docs, odd_rows, reference):
+    from textvane.llm.catalog import op10_prefix_table_byte_bpe
+
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for row in odd_rows:
+        text = row[1] or ""
+        found = reference.encode_ordinary(text)
+        want.append((row[0], len(found), sha(b"".join(i.to_bytes(4, "little") for i in found)), sha(text.encode())))
+    got = op10_prefix_table_byte_bpe(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -1,3 +1,5 @@
+import random
+import re
 import zlib
 
 import numpy as np
@@ -71,3 +73,50 @@ def test_stage_never_decides_by_the_sign_of_noise(spark):
 def test_stage_can_reject_what_is_not_above_noise(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat " * 20, "en"), *((i, "".join(chr(0x4E00 + 7 * i + j) for j in range(60)), None) for i in range(2, 30))], "doc_id long, text string, lang string")
     assert [r.doc_id for r in language.keep_known_language(docs, keep_unsure=False).collect()] == [1]
+
+
+def slow_profile(texts):
+    """Sum of bound letter vectors over all letter trigrams of the texts, each text by itself."""
+    total = np.zeros(language.DIMENSIONS)
+    for text in texts:
+        shown = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        shown = re.sub(" +", " ", shown)
+        for i in range(len(shown) - 2):
+            a, b, c = (language.letter_vector(ord(x), language.DIMENSIONS).astype(int) for x in shown[i : i + 3])
+            total += a * np.roll(b, 1) * np.roll(c, 2)
+    return total
+
+
+def test_query_against_a_slow_version(spark, tmp_path):
+    """Learning folds, centring, choice and score, document by document."""
+    from textvane.llm.catalog import op9_hyperdimensional_language
+
+    rnd = random.Random(8)
+    words = {"en": "the thing with hand lish ond".split(), "fr": "avec échment oupa le".split(), "de": "von keit und große".split()}
+    rows = [(i, " ".join(rnd.choices(words[lang], k=rnd.randint(0, 9))), lang if i % 5 else None) for i in range(70) for lang in [rnd.choice(list(words))]]
+    rows += [(100, None, "en"), (101, "12 34 !!", "fr"), (102, "世界世界", None), (None, "the thing", "en"), (103, "\U0010ffff von", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 4
+    learnt = {lang: slow_profile([t for i, t, x in rows if x == lang and fold(i) != 2]) for lang in sorted(words)}
+    unit = np.array([v / np.linalg.norm(v) for v in learnt.values()])
+    own = unit - unit.mean(axis=0)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    want = []
+    for i, text, _ in rows:
+        mine = slow_profile([text])
+        if not any(c.isalpha() for c in text or ""):
+            want.append((i, fold(i) == 2, "und", 0.0))
+            continue
+        mine /= np.linalg.norm(mine)
+        best = int(np.argmax(own @ (mine - unit.mean(axis=0))))
+        want.append((i, fold(i) == 2, list(learnt)[best], round(min(1.0, max(0.0, float(unit[best] @ mine))), 6)))
+    found = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in op9_hyperdimensional_language(spark, str(tmp_path)).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert len({w[2] for w in want}) == 4 and any(w[1] for w in want)
+
+
+def test_prototypes_do_not_depend_on_the_layout(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    one, many = language.learn(docs.coalesce(1)), language.learn(docs.repartition(7))
+    assert one.keys() == many.keys() and all(np.array_equal(one[x], many[x]) for x in one)

@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_packing import check_places, reference_pieces
 from test_secret_scan import base_spans
 from test_simhash import brute_components, slow_fingerprint
@@ -54,3 +55,22 @@ def test_stages_keep_the_columns(spark, odd_docs, no_docs, tables):
 def test_clean_documents_stay(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert language.keep_known_language(docs).count() == docs.where("text rlike '[A-Za-z]'").count()
+
+
+CLASHING = ["lang_pred", "lang_score", "_id", "_blob", "_spans", "_maybe", "_digest", "_row", "_gone", "_rank", "c0", "c1", "blob", "spans", "digest", "kept", "_place", "_own_blob"]
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES) - 1))
+def test_stages_take_clashing_columns(spark, odd_docs, tables, number):
+    """Columns named like those the stages add come back untouched."""
+    name, stage = corpus_pipeline.STAGES[number]
+    mine = odd_docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("mark", F.monotonically_increasing_id())
+    mine = mine.persist()
+    plain = sorted(map(tuple, stage(spark, mine, tables).collect()), key=repr)
+    extra = mine.select("*", *[F.concat(F.lit(c), F.col("mark").cast("string")).alias(c) for c in CLASHING])
+    found = stage(spark, extra, tables)
+    assert found.columns == extra.columns, name
+    rows = found.collect()
+    assert all(r[c] == f"{c}{r.mark}" for r in rows for c in CLASHING)
+    drop = lambda r: tuple(r)[:5]  # noqa: E731  of repeated rows any may stay
+    assert sorted(map(drop, rows), key=repr) == sorted(map(drop, plain), key=repr)

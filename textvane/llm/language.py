@@ -33,14 +33,17 @@ CACHED_GRAMS = 30_000
 BLOCK = 1024
 JOINED_CHARS = 1 << 19
 POINT_BITS = 21
+BREAK = "\ud800"  # between texts that are counted together; no text holds a surrogate
+BROKEN = 1
 #: Four standard deviations of the cosine of unrelated texts; below it nothing is known of the language.
 LEAST_COSINE = 4 / DIMENSIONS**0.5
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Code point -> itself if it is a letter, else the space."""
+    """Code point -> itself if it is a letter, else the space; the break stays apart."""
     table = np.full(sys.maxunicode + 1, 32, np.uint64)
+    table[ord(BREAK)] = BROKEN
     for point in range(sys.maxunicode + 1):
         if chr(point).isalpha():
             table[point] = point
@@ -49,7 +52,7 @@ def _letters() -> np.ndarray:
 
 def grams(text: str, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Distinct letter n-grams (packed code points) and their counts."""
-    points = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32)]
+    points = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
     blank = points == 32
     points = points[~(blank & np.append(False, blank[:-1]))]
     if points.size < n:
@@ -57,6 +60,10 @@ def grams(text: str, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     packed = np.zeros(points.size - n + 1, np.uint64)
     for place in range(n):
         packed = (packed << np.uint64(POINT_BITS)) | points[place : points.size - n + 1 + place]
+    breaks = np.flatnonzero(points == BROKEN)
+    if breaks.size:
+        across = (breaks[:, None] - np.arange(n)).ravel()
+        packed = np.delete(packed, across[(across >= 0) & (across < packed.size)])
     return np.unique(packed, return_counts=True)
 
 
@@ -144,7 +151,7 @@ class GramCounts:
 
     def flush(self) -> np.ndarray:
         if self.texts:
-            self.total += self.vectors.bundle(*grams(" ".join(self.texts), self.vectors.n))
+            self.total += self.vectors.bundle(*grams(f" {BREAK} ".join(self.texts), self.vectors.n))
             self.texts, self.size = [], 0
         return self.total
 
