@@ -44,12 +44,12 @@ def random_rows(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed, block_bytes, hot_blocks", [(1, 1 << 22, 64), (2, 600, 64), (3, 600, 2), (4, 200, 0)])
-def test_random_texts(spark, seed, block_bytes, hot_blocks):
+@pytest.mark.parametrize("seed, block_bytes, hot_segments", [(1, 1 << 22, 64), (2, 600, 64), (3, 600, 2), (4, 200, 0), (5, 1 << 22, 5)])
+def test_random_texts(spark, seed, block_bytes, hot_segments):
     """One block or many; frequent anchors sent as segments or as single strings."""
     rows = random_rows(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = S.drop_repeated_passages(docs, block_bytes=block_bytes, hot_blocks=hot_blocks)
+    found = S.drop_repeated_passages(docs, block_bytes=block_bytes, hot_segments=hot_segments)
     got = sorted(map(tuple, found.collect()), key=repr)
     want = brute(rows)
     assert sum(r[2] for r in want) > 1000
@@ -99,3 +99,33 @@ def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
     monkeypatch.setattr(S, "string_hashes", lambda data, length: np.zeros(max(0, data.size - length + 1), np.uint64))
     data = np.frombuffer(b"aaaabbbbaaaa", np.uint8)
     assert S.least_holders(data, np.array([0, 4, 8]), np.array([5, 1, 3]), 4).tolist() == [3, 1, 3]
+
+
+def test_distinct_segments():
+    data = np.frombuffer(b"abcdefgh-abcdefgh+abcdefgx", np.uint8)
+    starts, counts = np.array([0, 9, 18, 1, 10]), np.array([3, 3, 3, 2, 1])
+    found = S.distinct_segments(data, starts, counts, np.array([0, 0, 0, 1, 1]), 6)
+    assert found.tolist() == [2, 2]
+    assert S.distinct_segments(data, starts[:0], counts[:0], starts[:0], 6).tolist() == []
+
+
+def test_edges_of_a_common_passage_are_split(spark, monkeypatch):
+    """A passage in every document: what one owner gets for an anchor is bounded, and the result stays."""
+    passage = "the passage that each of these documents has somewhere in it, longer than fifty bytes by far"
+    rnd = random.Random(4)
+    prose = lambda n: "".join(rnd.choices("abcdefgh ijklm", k=n))
+    rows = [(i, f"{prose(60)}{passage}{prose(60)}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    blocks, _ = S.make_blocks(S.columns_as(docs, id="doc_id", text="text"))
+    hot = [np.unpackbits(np.frombuffer(m.hot, np.uint8)).sum() for m in S._marks(blocks, 8, 50, 24, 40).collect()]
+    assert sum(hot) > 0
+    assert sorted(map(tuple, S.drop_repeated_passages(docs, hot_segments=40).collect()), key=repr) == brute(rows)
+
+
+def test_marks_come_from_the_merge_scans(spark, monkeypatch):
+    """Levels that never look at each other would miss what two batches share."""
+    family, keys = S.LevelFamily(), np.arange(10, dtype=np.uint64)
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: np.full(np.size(v), np.size(a)))
+    for block in range(2):
+        family.add(S.Level(keys, np.full(10, block, np.int32), np.zeros(10, bool)))
+    assert not family.whole().twice.any()

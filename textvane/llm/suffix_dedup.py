@@ -15,9 +15,10 @@ one suffix in fourteen is kept.
    ``LENGTH`` bytes by their bytes and return for each the least id.
 3. Each block removes what a smaller id has.
 
-A passage that very many documents share is sent once per block.  Anchors in more than
-``HOT_BLOCKS`` blocks are sent as single strings, dealt by their content, so that no owner gathers
-all surroundings of a frequent passage.
+A passage that very many documents share is sent once per block, but the anchors at its edges have
+other surroundings in every document.  Each block says how many distinct segments it has for an
+anchor; where they add up to more than ``HOT_SEGMENTS``, all strings with that anchor are sent
+singly, dealt by their content, so that no owner gathers all surroundings of a frequent passage.
 
 Null and empty texts have 0 bytes.  Rows that repeat an id are not earlier than each other; a null
 id counts as the largest.  Matches never cross documents.  Empty tables give no rows.
@@ -41,7 +42,7 @@ from textvane.session import scratch_path
 LENGTH = 50
 ANCHOR = 24
 BLOCK_BYTES = 4 << 20
-HOT_BLOCKS = 2048
+HOT_SEGMENTS = 4096
 BATCH_KEYS = 1 << 17
 STRIP = 1 << 16
 LAST_ID = np.iinfo(np.int64).max
@@ -165,10 +166,11 @@ def shard_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Level:
-    """Sorted anchor keys with the block of each, and whether another document has the key."""
+    """Sorted anchor keys with the block of each, whether another document has the key, and its segments there."""
 
-    def __init__(self, keys: np.ndarray, blocks: np.ndarray, twice: np.ndarray):
+    def __init__(self, keys: np.ndarray, blocks: np.ndarray, twice: np.ndarray, segments: np.ndarray | None = None):
         self.keys, self.blocks, self.twice = keys, blocks, twice
+        self.segments = np.ones(keys.size, np.int64) if segments is None else segments
 
     @staticmethod
     def merged(levels: list[Level]) -> Level:
@@ -178,7 +180,7 @@ class Level:
         keys = keys[order]
         blocks = np.concatenate([x.blocks for x in levels])[order]
         twice = np.concatenate([x.twice for x in levels])[order]
-        return Level(keys, blocks, twice)
+        return Level(keys, blocks, twice, np.concatenate([x.segments for x in levels])[order])
 
     def groups(self) -> np.ndarray:
         return np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1])) if self.keys.size else np.empty(0, np.int64)
@@ -213,8 +215,37 @@ class LevelFamily:
         return Level.merged(self.levels)
 
 
-def _marks(blocks: DataFrame, tasks: int, length: int, anchor: int, hot_blocks: int) -> DataFrame:
-    """(block, keys, hot): for each block its anchors that two documents have, from every shard."""
+def _row_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``length`` bytes at each start."""
+    powers = np.array([pow(_STEP, i, 1 << 64) for i in range(length)], U64)
+    out = np.empty(starts.size, U64)
+    for at in range(0, starts.size, STRIP // 4):
+        rows = data[starts[at : at + STRIP // 4, None] + np.arange(length)]
+        out[at : at + len(rows)] = (_BYTE[rows] * powers).sum(axis=1, dtype=U64)
+    return mixed(out)
+
+
+def distinct_segments(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
+    """How many different segments each group has; group numbers ascend, every one from 0 is there."""
+    total = np.ones(int(groups.max(initial=-1)) + 1, np.int64)
+    several = np.flatnonzero(np.bincount(groups, minlength=total.size)[groups] > 1)
+    if several.size:
+        starts, counts, groups = starts[several], counts[several], groups[several]
+        # a segment has fewer strings than a string has bytes, so its first and last string cover it
+        content = _row_hashes(data, starts, length) + U64(3) * _row_hashes(data, starts + counts - 1, length) + counts.astype(U64)
+        order = np.lexsort((content, groups))
+        groups, content = groups[order], content[order]
+        new = np.append(True, (groups[1:] != groups[:-1]) | (content[1:] != content[:-1]))
+        found = np.bincount(groups[new], minlength=total.size)
+        total = np.maximum(found, 1)
+    return total
+
+
+def _marks(blocks: DataFrame, tasks: int, length: int, anchor: int, hot_segments: int) -> DataFrame:
+    """(block, keys, hot): for each block its anchors that two documents have, from every shard.
+
+    What two documents have is told by the family's merge-scans.
+    """
     bits = max(1, (4 * tasks - 1).bit_length())
 
     def suffix_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +258,8 @@ def _marks(blocks: DataFrame, tasks: int, length: int, anchor: int, hot_blocks:
                 starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.empty(0, np.int64)
                 last = np.append(starts[1:], keys.size) - 1
                 several = doc[starts] != doc[last] if keys.size else np.empty(0, bool)
+                group = np.repeat(np.arange(starts.size), np.diff(np.append(starts, keys.size)))
+                segments = distinct_segments(data, runs.start[order], runs.count[order], group, length)
                 keys = keys[starts]
                 cuts = shard_cuts(keys, bits).tolist()
                 parts = [(s, a, b) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
@@ -236,17 +269,19 @@ def _marks(blocks: DataFrame, tasks: int, length: int, anchor: int, hot_blocks:
                         "block": pa.array([row["block"]] * len(parts), pa.int64()),
                         "keys": pa.array([pack_sorted(keys[a:b]) for _, a, b in parts], pa.binary()),
                         "several": pa.array([np.packbits(several[a:b]).tobytes() for _, a, b in parts], pa.binary()),
+                        "segments": pa.array([pack(segments[a:b]) if (segments[a:b] > 1).any() else b"" for _, a, b in parts], pa.binary()),
                     }
                 )
 
     def own(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["block", "keys", "several"]).to_pylist(), key=lambda r: r["block"])
+        rows = sorted(table.select(["block", "keys", "several", "segments"]).to_pylist(), key=lambda r: r["block"])
         numbers = [r["block"] for r in rows]
         family, waiting, held = LevelFamily(), [], 0
         for place, row in enumerate(rows):
             keys = unpack_sorted(row["keys"])
             several = np.unpackbits(np.frombuffer(row["several"], np.uint8))[: keys.size].astype(bool)
-            waiting.append(Level(keys, np.full(keys.size, place, np.int32), several))
+            segments = unpack(row["segments"], np.int64) if row["segments"] else None
+            waiting.append(Level(keys, np.full(keys.size, place, np.int32), several, segments))
             held += keys.size
             if held >= BATCH_KEYS:
                 family.add(Level.merged(waiting))
@@ -258,8 +293,8 @@ def _marks(blocks: DataFrame, tasks: int, length: int, anchor: int, hot_blocks:
             level = family.whole()
             starts = level.groups()
             sizes = np.diff(np.append(starts, level.keys.size))
-            twice = np.repeat(np.logical_or.reduceat(level.twice, starts) | (sizes > 1), sizes)
-            hot = np.repeat(sizes > hot_blocks, sizes)[twice]
+            twice = np.repeat(np.logical_or.reduceat(level.twice, starts), sizes)
+            hot = np.repeat(np.add.reduceat(level.segments, starts) > hot_segments, sizes)[twice]
             keys, blocks = level.keys[twice], level.blocks[twice]
             order = np.argsort(blocks, kind="stable")  # keys stay sorted within a block
             keys, blocks, hot = keys[order], blocks[order], hot[order]
@@ -271,7 +306,7 @@ def _marks(blocks: DataFrame, tasks: int, length: int, anchor: int, hot_blocks:
                     out["hot"].append(np.packbits(hot[a:b]).tobytes())
         return pa.table({"block": pa.array(out["block"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "hot": pa.array(out["hot"], pa.binary())})
 
-    arrays = blocks.mapInArrow(suffix_arrays, "shard int, block long, keys binary, several binary")
+    arrays = blocks.mapInArrow(suffix_arrays, "shard int, block long, keys binary, several binary, segments binary")
     return arrays.groupBy("shard").applyInArrow(own, "block long, keys binary, hot binary")
 
 
@@ -492,14 +527,14 @@ def _removal(length: int, anchor: int, keep_bytes: bool):
 
 def drop_repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR,
-    block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS, keep_bytes: bool = False,
+    block_bytes: int = BLOCK_BYTES, hot_segments: int = HOT_SEGMENTS, keep_bytes: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left)."""
     own = columns_as(docs, id=id_col, text=text_col)
     tasks = tasks_for(own)
     bits = max(1, (4 * tasks - 1).bit_length())
     blocks, name = make_blocks(own, block_bytes)
-    marks = stored(_marks(blocks, tasks, length, anchor, hot_blocks), "suffix-marks")
+    marks = stored(_marks(blocks, tasks, length, anchor, hot_segments), "suffix-marks")
     by_block = blocks.groupBy("block")
     sent = by_block.cogroup(marks.groupBy("block")).applyInArrow(
         _cogrouped(length, anchor, bits),
