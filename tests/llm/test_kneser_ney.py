@@ -101,3 +101,17 @@ def test_frequent_words_are_dealt_by_pair():
     second = np.arange(1000, dtype=np.uint64)
     assert len(set(shards.of_pair(np.full(1000, 77, np.uint64), second).tolist())) == 16
     assert len(set(shards.of_pair(np.full(1000, 78, np.uint64), second).tolist())) == 1
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    """Neither messages nor files wrap."""
+    small, large = np.array([1, 2, 7]), np.array([1, (1 << 32) + 5, (1 << 40) + 1])
+    for values in (small, large, np.empty(0, np.int64)):
+        assert K.unpack_counts(K.pack_counts(values)).tolist() == values.tolist()
+    K.write_counts(str(tmp_path), "counts-0", small)
+    K.write_counts(str(tmp_path), "counts-1", large)
+    model = K.Model(str(tmp_path), 2, [], 0, 0, 0, (0, 0, 0), (0, 0, 0), 0.0)
+    mapped = K.Mapped(model)
+    assert mapped._array("counts", 0).dtype == np.uint32 and mapped._array("counts", 0).tolist() == small.tolist()
+    assert mapped._array("counts", 1).tolist() == large.tolist()
+    assert mapped._array("counts", 2).size == 0

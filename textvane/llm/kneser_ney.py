@@ -159,6 +159,30 @@ def write_array(folder: str, name: str, values: np.ndarray) -> None:
         out.write(values.tobytes())
 
 
+WIDE = 1 << 32  # counts from here on take 64 bits
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Counts in 32 bits each, or in 64 where one needs them; the first byte says which."""
+    kind = np.uint64 if values.max(initial=0) >= WIDE else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + pack(np.ascontiguousarray(values, kind))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack(data[1:], np.uint64 if data[0] == 8 else np.uint32).astype(np.int64)
+
+
+def write_counts(folder: str, name: str, values: np.ndarray) -> None:
+    """A table of counts, under a name of its own if it is wide."""
+    wide = values.max(initial=0) >= WIDE
+    write_array(folder, f"{name}-wide" if wide else name, values.astype(np.uint64 if wide else np.uint32))
+
+
+def map_counts(folder: str, name: str) -> np.ndarray:
+    narrow = map_array(folder, name, np.uint32)
+    return narrow if narrow.size else map_array(folder, f"{name}-wide", np.uint64)
+
+
 def map_array(folder: str, name: str, dtype) -> np.ndarray:
     """The array mapped into memory; an empty or missing file is an empty array."""
     local = _local(folder)
@@ -293,7 +317,7 @@ def train(docs: DataFrame) -> Model:
                             "firsts": pack_sorted(f[begins]),
                             "runs": pack(np.diff(np.append(begins, f.size)).astype(np.uint32)),
                             "seconds": _packed_words(second[mine]),
-                            "counts": pack(counts[mine].astype(np.uint32)),
+                            "counts": pack_counts(counts[mine]),
                         }
                     )
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("firsts", "runs", "seconds", "counts"))]))
@@ -306,7 +330,7 @@ def train(docs: DataFrame) -> Model:
         rows = table.to_pylist()
         first = np.concatenate([np.repeat(unpack_sorted(r["firsts"]), unpack(r["runs"], np.uint32)) for r in rows])
         second = np.concatenate([_unpacked_words(r["seconds"]) for r in rows])
-        counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+        counts = np.concatenate([unpack_counts(r["counts"]) for r in rows])
         hashes = pair_hash(first, second)
         order = np.argsort(hashes)
         hashes, first, second, counts = hashes[order], first[order], second[order], counts[order]
@@ -314,11 +338,11 @@ def train(docs: DataFrame) -> Model:
         counts = np.add.reduceat(counts, begins)
         hashes, first, second = hashes[begins], first[begins], second[begins]
         write_array(folder, f"pairs-{number}", hashes)
-        write_array(folder, f"counts-{number}", counts.astype(np.uint32))
+        write_counts(folder, f"counts-{number}", counts)
         words, place = np.unique(np.concatenate([first, second]), return_inverse=True)
         before, after = place[: first.size], place[first.size :]
         values = np.zeros((5, words.size), np.int64)  # count, predecessors, followed once, twice, more
-        values[0] = np.bincount(after, counts, words.size).astype(np.int64)
+        np.add.at(values[0], after, counts)  # whole numbers, however large
         values[1] = np.bincount(after, minlength=words.size)
         for row, some in enumerate((counts == 1, counts == 2, counts > 2), 2):
             values[row] = np.bincount(before[some], minlength=words.size)
@@ -326,17 +350,17 @@ def train(docs: DataFrame) -> Model:
         out = [{"shard": 0, "figures": [0, counts.size, *[int((counts == k).sum()) for k in (1, 2, 3, 4)]]}]
         for target in np.unique(shard).tolist():
             mine = np.flatnonzero(shard == target)
-            out.append({"shard": target, "words": pack_sorted(words[mine]), "values": pack(values[:, mine].astype(np.uint32).ravel())})
+            out.append({"shard": target, "words": pack_sorted(words[mine]), "values": pack_counts(values[:, mine].ravel())})
         return pa.Table.from_pylist(out, per_word)
 
     def own_words(table: pa.Table) -> pa.Table:
         number = table.column("shard")[0].as_py()
         rows = table.to_pylist()
         out = [{"shard": number, "figures": r["figures"]} for r in rows if r["words"] is None]
-        some = [(unpack_sorted(r["words"]), unpack(r["values"], np.uint32).reshape(5, -1)) for r in rows if r["words"] is not None]
+        some = [(unpack_sorted(r["words"]), unpack_counts(r["values"]).reshape(5, -1)) for r in rows if r["words"] is not None]
         if some:
             words = np.concatenate([w for w, _ in some])
-            values = np.concatenate([v for _, v in some], axis=1).astype(np.int64)
+            values = np.concatenate([v for _, v in some], axis=1)
             order = np.argsort(words)
             words, values = words[order], values[:, order]
             begins = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
@@ -345,7 +369,7 @@ def train(docs: DataFrame) -> Model:
             write_array(folder, f"words-{number}", words)
             write_array(folder, f"seen-{number}", values[0])
             for name, row in zip(("before", "once", "twice", "more"), values[1:]):
-                write_array(folder, f"{name}-{number}", row.astype(np.uint32))
+                write_counts(folder, f"{name}-{number}", row)
             before = values[1]
             figures = [1, int(values[0].sum()), int((values[0] > 0).sum()), int(before.sum())]
             figures += [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 2).sum())]
@@ -373,10 +397,12 @@ class Mapped:
         self.model, self.shards = model, Shards(model.bits, model.frequent)
         self.arrays: dict[str, np.ndarray] = {}
 
-    def _array(self, name: str, number: int, dtype) -> np.ndarray:
+    def _array(self, name: str, number: int, dtype=None) -> np.ndarray:
+        """Without a dtype a table of counts, in 32 or 64 bits."""
         key = f"{name}-{number}"
         if key not in self.arrays:
-            self.arrays[key] = map_array(self.model.folder, key, dtype)
+            folder = self.model.folder
+            self.arrays[key] = map_counts(folder, key) if dtype is None else map_array(folder, key, dtype)
         return self.arrays[key]
 
     def _look_up(self, shard: np.ndarray, keys: np.ndarray, by: str, wanted: dict) -> dict[str, np.ndarray]:
@@ -398,11 +424,11 @@ class Mapped:
         model = self.model
         keys, sizes = tokens(texts)
         words, a, b = numbered(keys)
-        names = {"seen": np.int64, "before": np.uint32, "once": np.uint32, "twice": np.uint32, "more": np.uint32}
+        names = {"seen": np.int64, "before": None, "once": None, "twice": None, "more": None}
         word = self._look_up(self.shards.of_word(words), words, "words", names)
         pairs, which = np.unique((a.astype(U64) << U64(32)) | b.astype(U64), return_inverse=True)
         f, s = words[(pairs >> U64(32)).astype(np.int64)], words[(pairs & U64(0xFFFFFFFF)).astype(np.int64)]
-        count = self._look_up(self.shards.of_pair(f, s), pair_hash(f, s), "pairs", {"counts": np.uint32})["counts"]
+        count = self._look_up(self.shards.of_pair(f, s), pair_hash(f, s), "pairs", {"counts": None})["counts"]
         d, low = np.array([0.0, *model.discounts]), np.array([0.0, *model.lower_discounts])
         even = 1.0 / (model.words + 1)
         before = word["before"]
