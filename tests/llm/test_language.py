@@ -75,6 +75,19 @@ def test_stage_can_reject_what_is_not_above_noise(spark):
     assert [r.doc_id for r in language.keep_known_language(docs, keep_unsure=False).collect()] == [1]
 
 
+def test_stage_rejects_long_texts_in_no_language(spark):
+    """Random letters of a learnt script go if there are many; few, or of another script, they stay."""
+    rnd = random.Random(12)
+    noise = lambda n, first, size: "".join(chr(first + rnd.randrange(size)) for _ in range(n))
+    prose = "the thing of the hand with that stering onder and that hand"
+    rows = [(i, " ".join(rnd.choices(prose.split(), k=80)), "en") for i in range(30)]
+    rows += [(100, noise(3000, 97, 26), None), (101, noise(300, 97, 26), None), (102, noise(3000, 0x430, 32), None), (103, noise(3000, 97, 26) + "1 2" * 900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id for r in language.keep_known_language(docs).collect()}
+    assert kept == {*range(30), 101, 102}
+    assert language.learnt_scripts(docs) == [0]
+
+
 def slow_profile(texts):
     """Sum of bound letter vectors over all letter trigrams of the texts, each text by itself."""
     total = np.zeros(language.DIMENSIONS)

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textvane.llm.common import columns_as, under_plain_names
 
@@ -233,29 +233,67 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def has_letters(text_col: str) -> Column:
-    """Whether the text has a letter, by the same rule as its n-grams."""
+#: Letters are told apart by code blocks of this many bits; a block with fewer of the labelled letters
+#: than one in ``RARE`` belongs to no learnt script.
+SCRIPT_BITS = 7
+RARE = 1000
+LONG = 400
+IN_SCRIPT = 0.9
 
-    @F.pandas_udf("boolean")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(grams(x or "")[0].size) for x in texts], dtype=bool)
 
-    return found(F.col(f"`{text_col}`"))
+def letter_blocks(text: str) -> np.ndarray:
+    """Letters of a text per code block."""
+    points = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return np.bincount((points[points > 32] >> np.uint64(SCRIPT_BITS)).astype(np.int64), minlength=1)
+
+
+def learnt_scripts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[int]:
+    """Code blocks that hold the letters of the labelled texts; at most ``RARE`` of them."""
+    own = columns_as(docs, lang=lang_col, text=text_col).where("lang is not null and text is not null").select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = letter_blocks(" ".join(batch.column(0).to_pylist()))
+            block = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(total[block])], ["block", "n"])
+
+    sums = own.mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    sums = sums.withColumn("total", F.sum("n").over(Window.partitionBy()))  # a row per code block
+    return sorted(r.block for r in sums.where(F.col("n") * RARE >= F.col("total")).collect())
 
 
 @under_plain_names
 def keep_known_language(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_COSINE, keep_unsure: bool = True
-) -> DataFrame:
-    """``docs`` without the rows that have no letter.
-
-    A cosine below ``least`` cannot be told from that of a script or language which no labelled row
-    has, nor from that of a very short text.  Such rows stay, or all go if not ``keep_unsure``; the
-    sign of the cosine never decides.  Where nothing was learnt every row with a letter stays.
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_COSINE, keep_unsure: bool = True,
+    long: int = LONG, in_script: float = IN_SCRIPT,
+) -> DataFrame:
+    """``docs`` without the rows that have no letter, and without long ones in no language that was learnt.
+
+    A cosine below ``least`` cannot be told from that of unrelated text.  In a text of at least ``long``
+    letters, ``in_script`` of them of the scripts that labelled texts use, that means it is no text of a
+    language, and the row goes.  A shorter text, and one in a script which no labelled row has, says
+    too little and stays (or all go if not ``keep_unsure``); the sign of a cosine never decides.  Where
+    nothing was learnt every row with a letter stays.
     """
     prototypes = learn(docs, lang_col, text_col)
-    if not any(v.any() for v in prototypes.values()):
-        return docs.where(has_letters(text_col))
-    found = predicted(docs, prototypes, text_col).where(F.col("lang_pred") != "und")
-    kept = found if keep_unsure else found.where(F.col("lang_score") >= least)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    learnt = any(v.any() for v in prototypes.values())
+    scripts = learnt_scripts(docs, lang_col, text_col) if learnt else []
+
+    @F.pandas_udf("boolean")
+    def stays(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        profiles = Profiles(prototypes)
+
+        def judged(text: str | None) -> bool:
+            if not learnt:
+                return bool(grams(text or "")[0].size)
+            lang, score = profiles.predict(text)
+            if lang == "und" or score >= least or not keep_unsure:
+                return lang != "und" and score >= least
+            blocks = letter_blocks(text)
+            known = int(blocks[[b for b in scripts if b < blocks.size]].sum())
+            return blocks.sum() < long or known < in_script * blocks.sum()
+
+        for some in texts:
+            yield pd.Series([judged(x) for x in some], dtype=bool)
+
+    return docs.where(stays(F.col(f"`{text_col}`")))
