@@ -16,7 +16,7 @@ from textvane.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; those in no language that was learnt stay too."""
+    """Documents with a letter, but for long ones of a learnt script in no language that was learnt."""
     return language.keep_known_language(docs)
 
 
