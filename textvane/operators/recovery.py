@@ -201,14 +201,22 @@ def reduced(replayed: DataFrame, policy: RecoveryPolicy = POLICY, keys: Sequence
     )
 
 
-def _action(rows: DataFrame, kind: str, reason: str, details: dict[str, Column]) -> DataFrame:
+# fixed values: kinds of actions and why they are taken
+REASONS = {
+    "model_reload_quality": "Prediction quality degradation detected",
+    "quantized_model_switch": "Persistent latency spikes detected",
+    "batch_size_reduction": "Out-of-memory detected",
+}
+
+
+def _action(rows: DataFrame, kind: str, details: dict[str, Column]) -> DataFrame:
     pairs = [x for name, value in details.items() for x in (F.lit(name), value.cast("string"))]
     return rows.select(
         F.col("key").cast("string").alias("key"),
         "ts",
         "event_id",
         F.lit(kind).alias("action_type"),
-        F.lit(reason).alias("reason"),
+        F.lit(REASONS[kind]).alias("reason"),
         F.lit(True).alias("success"),
         F.create_map(*pairs).alias("details"),
     )
@@ -227,7 +235,6 @@ def recovery_actions(
             _action(
                 quality,
                 "model_reload_quality",
-                "Prediction quality degradation detected",
                 {
                     "baseline_confidence": F.lit(policy.quality_baseline),
                     "recent_confidence": F.round("recent_confidence", 3),
@@ -240,7 +247,6 @@ def recovery_actions(
             _action(
                 spikes.where("fired"),
                 "quantized_model_switch",
-                "Persistent latency spikes detected",
                 {"spike_count": F.lit(policy.spike_samples)},
             )
         )
@@ -249,7 +255,6 @@ def recovery_actions(
             _action(
                 reductions,
                 "batch_size_reduction",
-                "Out-of-memory detected",
                 {
                     "old_batch_size": F.col("old_batch_size"),
                     "new_batch_size": F.col("new_batch_size"),

@@ -55,14 +55,14 @@ def model_summary(results: DataFrame, metrics: list[str] | None = None) -> DataF
     return pivoted.agg(F.first("value"))
 
 
+# fixed values: the lines of a class in the report
+REPORT_LINES = {"precision": "  Precision: %.4f", "recall": "  Recall:    %.4f", "f1": "  F1-Score:  %.4f"}
+SUPPORT_LINE = "  Support:   %d"
+
+
 def _row(title: Column, with_support: Column) -> Column:
-    lines = [
-        title,
-        F.format_string("  Precision: %.4f", F.col("precision")),
-        F.format_string("  Recall:    %.4f", F.col("recall")),
-        F.format_string("  F1-Score:  %.4f", F.col("f1")),
-    ]
-    support = F.when(with_support, F.format_string("  Support:   %d", F.col("support")))
+    lines = [title, *[F.format_string(shape, F.col(c)) for c, shape in REPORT_LINES.items()]]
+    support = F.when(with_support, F.format_string(SUPPORT_LINE, F.col("support")))
     return F.array_compact(F.array(*lines, support))
 
 
