@@ -11,9 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textvane.config import MAX_DOCUMENT_SHARE, MAX_SEQUENCE_LENGTH, MAX_VOCABULARY, MIN_DOCUMENT_FREQUENCY, SMALL_TABLE_ROWS
-from textvane.scale import spread_out, with_rank
+from textvane.scale import small_or_none, spread_out, with_rank
+from textvane.session import checkpointed
 
 TERM = r"(?U)\w\w+"  # a run of at least two word characters
+SUMMARY_TERMS = 1 << 18  # counters of a task; performance only
+CANDIDATES = 4  # terms counted exactly for each one wanted; performance only
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
@@ -59,6 +62,64 @@ def term_counts(df: DataFrame, text: str = "text", bigrams: bool = True) -> Data
     return marked.groupBy("term").agg(F.sum("d").alias("df"), F.sum(F.lit(1).cast("long") - F.col("d")).alias("cf"))
 
 
+def term_summary(df: DataFrame, text: str = "text", size: int = SUMMARY_TERMS) -> DataFrame:
+    """(term, n): counts of frequent terms that are too small by at most the n of the row without a term.
+
+    Every task keeps ``size`` counters: when it has more, the next largest count is taken from all and
+    what is left of none is dropped (Misra and Gries; such summaries add up, Agarwal and others, PODS
+    2012).  So at most ``size`` + 1 rows of a task are shuffled, however many rare terms it met.
+    """
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+
+    def compact(tables: list[pa.Table], most: int) -> tuple[pa.Table, int]:
+        summed = pa.concat_tables(tables).group_by("term").aggregate([("n", "sum")]).rename_columns(["term", "n"]).select(["term", "n"])
+        if summed.num_rows <= most:
+            return summed, 0
+        counts = summed.column("n").to_numpy()
+        less = int(np.partition(counts, counts.size - most - 1)[counts.size - most - 1])
+        left = np.flatnonzero(counts > less)
+        return pa.table([summed.column("term").take(pa.array(left)), pa.array(counts[left] - less)], schema), less
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, missing = [schema.empty_table()], 0, 0
+        for batch in batches:
+            found = pc.value_counts(batch.column(0).flatten())
+            held.append(pa.table([found.field("values"), found.field("counts")], schema))
+            rows += len(found)
+            if rows > 2 * size:
+                table, less = compact(held, size)
+                held, rows, missing = [table], table.num_rows, missing + less
+        table, less = compact(held, size)
+        yield from table.to_batches(10_000)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([missing + less])], ["term", "n"])
+
+    found = with_terms(df.select(text), text).select("terms").mapInArrow(summarise, "term string, n long")
+    return found.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def counts_of(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """(term, df, cf) of the given terms; every task sends one row for each it met."""
+    known = pa.array(terms, pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, all_ = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        for batch in batches:
+            row, place = _row_terms(batch.column(0), known)
+            all_ += np.bincount(place, minlength=len(known))
+            cells = np.unique(row * len(known) + place)
+            docs += np.bincount(cells % len(known), minlength=len(known))
+        met = np.flatnonzero(all_)
+        yield pa.RecordBatch.from_arrays([known.take(pa.array(met)), pa.array(docs[met]), pa.array(all_[met])], ["term", "df", "cf"])
+
+    found = with_terms(df.select(text), text).select("terms").mapInArrow(count, "term string, df long, cf long")
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def _usable(counts: DataFrame, n_documents: Column, max_terms: int, min_df: int, max_share: float) -> DataFrame:
+    usable = counts.where((F.col("df") >= min_df) & (F.col("df") <= n_documents * max_share))
+    return usable.orderBy(F.col("cf").desc(), "term").limit(max_terms)
+
+
 def vocabulary(
     df: DataFrame,
     n_documents: Column,
@@ -66,10 +127,29 @@ def vocabulary(
     min_df: int = MIN_DOCUMENT_FREQUENCY,
     max_share: float = MAX_DOCUMENT_SHARE,
     text: str = "text",
+    size: int = SUMMARY_TERMS,
 ) -> DataFrame:
-    """The most frequent terms (term, df, cf), rare and near-universal ones left out."""
-    usable = term_counts(df, text).where((F.col("df") >= min_df) & (F.col("df") <= n_documents * max_share))
-    return usable.orderBy(F.col("cf").desc(), "term").limit(max_terms)
+    """The most frequent terms (term, df, cf), rare and near-universal ones left out.
+
+    Mergeable summaries name the candidates, which are then counted exactly.  If a term that is no
+    candidate could still belong to the result, every term is counted instead.
+    """
+    wanted = CANDIDATES * max_terms
+    summary = checkpointed(term_summary(df, text, size))
+    missing = summary.where("term is null").agg(F.sum("n")).first()[0] or 0
+    # one more than the candidates: what no candidate has is at most this often counted
+    top = small_or_none(summary.where("term is not null").orderBy(F.col("n").desc(), "term").limit(wanted + 1), wanted + 1)
+    if top is None:
+        return _usable(term_counts(df, text), n_documents, max_terms, min_df, max_share)
+    rows = sorted(top.collect(), key=lambda r: (-r.n, r.term))
+    others = missing + (rows[wanted].n if len(rows) > wanted else 0)
+    if not rows:
+        return _usable(term_counts(df, text), n_documents, max_terms, min_df, max_share)
+    found = checkpointed(_usable(counts_of(df, [r.term for r in rows[:wanted]], text), n_documents, max_terms, min_df, max_share))
+    last = found.agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("cf")).first()
+    if others and (last.n < max_terms or last.cf <= others):
+        return _usable(term_counts(df, text), n_documents, max_terms, min_df, max_share)
+    return found
 
 
 def idf(df: Column, n: Column) -> Column:
