@@ -236,16 +236,30 @@ def normalise(archives: DataFrame, source: str, target: str, repeats: DataFrame)
     none = F.lit(None).cast(kind).alias("target")
     rows = archives.select("archive", F.lit(-1).alias("number"), none).unionByName(repeats)
 
-    def rewrite(table: pa.Table) -> pa.Table:
-        name = table.column("archive")[0].as_py()
-        numbers, targets = table.column("number").to_pylist(), table.column("target").to_pylist()
-        found = {n: t for n, t in zip(numbers, targets) if n >= 0}
-        made = normalise_archive(f"{source}/{name}", target, name, found)
-        return pa.table([pa.array([x]) for x in made], ["archive", "sidecar", "records", "bytes"])
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of an archive stand together."""
+        held: str | None = None
+        found: dict[int, object] = {}
+
+        def made() -> pa.RecordBatch:
+            row = normalise_archive(f"{source}/{held}", target, held, found)
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["archive", "sidecar", "records", "bytes"])
+
+        for batch in batches:
+            for name, number, to in zip(*(batch.column(c).to_pylist() for c in ("archive", "number", "target"))):
+                if name != held:
+                    if held is not None:
+                        yield made()
+                    held, found = name, {}
+                if number >= 0:
+                    found[number] = to
+        if held is not None:
+            yield made()
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "archive")  # a few bytes a row, but much work: not for adaptive coalescing
-    made = dealt.groupBy("archive").applyInArrow(rewrite, "archive string, sidecar string, records long, bytes long")
+    # a few bytes a row, but much work: a stated number of partitions is not coalesced
+    dealt = rows.repartition(tasks, "archive").sortWithinPartitions("archive")
+    made = dealt.mapInArrow(rewrite, "archive string, sidecar string, records long, bytes long")
     return stored(made, "archives")
 
 
