@@ -15,7 +15,7 @@ rows are learnt as often as they stand and predicted each; empty tables give no
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -237,14 +237,31 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
 #: than one in ``RARE`` belongs to no learnt script.
 SCRIPT_BITS = 7
 RARE = 1000
+STRETCH = 1 << 18  # characters counted at once
 LONG = 400
 IN_SCRIPT = 0.9
 
 
-def letter_blocks(text: str) -> np.ndarray:
-    """Letters of a text per code block."""
-    points = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    return np.bincount((points[points > 32] >> np.uint64(SCRIPT_BITS)).astype(np.int64), minlength=1)
+def letter_blocks(texts: Iterable[str]) -> np.ndarray:
+    """Letters of the texts per code block, counted in stretches of bounded size."""
+    total = np.zeros((sys.maxunicode >> SCRIPT_BITS) + 1, np.int64)
+
+    def add(stretch: str) -> None:
+        points = _letters()[np.frombuffer(stretch.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        found = np.bincount((points[points > 32] >> np.uint64(SCRIPT_BITS)).astype(np.int64))
+        total[: found.size] += found
+
+    held, size = [], 0
+    for text in texts:
+        for at in range(0, len(text), STRETCH):
+            held.append(text[at : at + STRETCH])
+            size += len(held[-1])
+            if size >= STRETCH:
+                add(" ".join(held).lower())
+                held, size = [], 0
+    if held:
+        add(" ".join(held).lower())
+    return total
 
 
 def learnt_scripts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[int]:
@@ -253,7 +270,7 @@ def learnt_scripts(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = letter_blocks(" ".join(batch.column(0).to_pylist()))
+            total = letter_blocks(x.as_py() for x in batch.column(0))
             block = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(total[block])], ["block", "n"])
 
@@ -289,8 +306,8 @@ def keep_known_language(
             lang, score = profiles.predict(text)
             if lang == "und" or score >= least or not keep_unsure:
                 return lang != "und" and score >= least
-            blocks = letter_blocks(text)
-            known = int(blocks[[b for b in scripts if b < blocks.size]].sum())
+            blocks = letter_blocks([text])
+            known = int(blocks[scripts].sum())
             return blocks.sum() < long or known < in_script * blocks.sum()
 
         for some in texts:
