@@ -97,16 +97,20 @@ class Runs:
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int, anchor: int):
         ends = np.cumsum(sizes)
-        doc = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)[: max(0, data.size - length + 1)]
-        inside = np.flatnonzero(np.arange(doc.size) + length <= ends[doc])
-        least, doc = least_anchors(data, length, anchor)[inside], doc[inside]
-        new = np.ones(inside.size, bool)
-        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        self.start = inside[first]
-        self.count = np.diff(np.append(first, inside.size))
-        self.doc = doc[first]
-        self.key = mixed(least[first])
+        least = least_anchors(data, length, anchor)
+        # no string begins in the last bytes of a document, so strings of two documents never stand side by side
+        step = np.zeros(data.size + 1, np.int8)
+        np.add.at(step, np.maximum(ends - sizes, ends - length + 1), 1)
+        np.add.at(step, ends, -1)
+        valid = np.cumsum(step[: least.size], dtype=np.int8) == 0
+        new = valid.copy()
+        new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+        last = valid.copy()
+        last[:-1] &= ~valid[1:] | new[1:]
+        self.start = np.flatnonzero(new)
+        self.count = np.flatnonzero(last) - self.start + 1
+        self.doc = np.searchsorted(ends, self.start, "right").astype(np.int32)
+        self.key = mixed(least[self.start])
 
 
 # --- blocks ------------------------------------------------------------------------
@@ -225,6 +229,27 @@ def _row_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
     return mixed(out)
 
 
+def _rows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` bytes at each start, one after another."""
+    out = np.empty((starts.size, length), np.uint8)
+    for at in range(0, starts.size, STRIP // 4):
+        out[at : at + STRIP // 4] = data[starts[at : at + STRIP // 4, None] + np.arange(length)]
+    return out.ravel()
+
+
+def distinct_strings(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(one start of each different string, number of each string), compared by bytes."""
+    _, first, number = np.unique(_row_hashes(data, starts, length), return_index=True, return_inverse=True)
+    heads = starts[first]
+    for at in range(0, starts.size, STRIP // 4):
+        mine, theirs = starts[at : at + STRIP // 4], heads[number[at : at + STRIP // 4]]
+        if not np.array_equal(_rows(data, mine, length), _rows(data, theirs, length)):  # two strings under one hash
+            packed = _rows(data, starts, length).view(np.dtype((np.void, length)))
+            _, first, number = np.unique(packed, return_index=True, return_inverse=True)
+            return starts[first], number
+    return heads, number
+
+
 def distinct_segments(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
     """How many different segments each group has; group numbers ascend, every one from 0 is there."""
     total = np.ones(int(groups.max(initial=-1)) + 1, np.int64)
@@ -322,10 +347,12 @@ class Segments:
     def __init__(self, row: dict, marks: list[dict], length: int, anchor: int):
         self.ids, self.sizes, self.data = open_block(row)
         self.parts: list[bytes] = []
-        self.hot: list[bool] = []
         self.least: list[int] = []
         self.most: list[int] = []
         self.place: list[tuple[int, int, int, int]] = []
+        #: Documents, places and segment numbers of strings that are sent singly; their segments come last.
+        self.hot_doc = self.hot_begin = self.hot_number = np.empty(0, np.int64)
+        self.hot_from: int | None = None
         if not marks:
             return
         parts = [unpack_sorted(m["keys"]) for m in marks]
@@ -339,25 +366,40 @@ class Segments:
         marked = np.flatnonzero(keys[at] == runs.key)
         raw, ids = self.data.tobytes(), self.ids.tolist()
         numbers: dict[bytes, int] = {}
-        columns = (runs.doc[marked], runs.start[marked], runs.count[marked], hot[at[marked]])
-        for doc, start, count, is_hot in zip(*(x.tolist() for x in columns)):
-            spans = [(start + i, 1) for i in range(count)] if is_hot else [(start, count)]
+        is_hot = hot[at[marked]]
+        columns = (runs.doc[marked], runs.start[marked], runs.count[marked])
+        for doc, begin, strings in zip(*(x[~is_hot].tolist() for x in columns)):
             own = ids[doc]
-            for begin, strings in spans:
-                part = raw[begin : begin + strings - 1 + length]
-                number = numbers.get(part)
-                if number is None:
-                    number = numbers[part] = len(self.parts)
-                    self.parts.append(part)
-                    self.hot.append(is_hot)
-                    self.least.append(own)
-                    self.most.append(own)
-                else:
-                    if is_hot:
-                        self.hot[number] = True
-                    self.least[number] = min(self.least[number], own)
-                    self.most[number] = max(self.most[number], own)
-                self.place.append((doc, begin, strings, number))
+            part = raw[begin : begin + strings - 1 + length]
+            number = numbers.get(part)
+            if number is None:
+                number = numbers[part] = len(self.parts)
+                self.parts.append(part)
+                self.least.append(own)
+                self.most.append(own)
+            else:
+                self.least[number] = min(self.least[number], own)
+                self.most[number] = max(self.most[number], own)
+            self.place.append((doc, begin, strings, number))
+        self._take_singly(raw, *(x[is_hot] for x in columns), length)
+
+    def _take_singly(self, raw: bytes, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> None:
+        """The strings around hot anchors, each distinct one once; no other segment equals one of them."""
+        if not starts.size:
+            return
+        first = np.cumsum(counts) - counts
+        self.hot_begin = np.repeat(starts - first, counts) + np.arange(int(counts.sum()))
+        self.hot_doc = np.repeat(docs, counts)
+        heads, number = distinct_strings(self.data, self.hot_begin, length)
+        own = self.ids[self.hot_doc]
+        least, most = np.full(heads.size, LAST_ID), np.full(heads.size, np.iinfo(np.int64).min)
+        np.minimum.at(least, number, own)
+        np.maximum.at(most, number, own)
+        self.hot_from = len(self.parts)
+        self.hot_number = number + self.hot_from
+        self.parts += [raw[at : at + length] for at in heads.tolist()]
+        self.least += least.tolist()
+        self.most += most.tolist()
 
     def shards(self, length: int, anchor: int, bits: int) -> np.ndarray:
         """Owner of each segment: by its anchor, so that equal strings meet; by its content if hot."""
@@ -365,11 +407,10 @@ class Segments:
             return np.empty(0, np.int64)
         sizes = np.array([len(x) for x in self.parts])
         data = np.frombuffer(b"".join(self.parts), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        first = np.concatenate([data[s : s + length] for s in starts.tolist()])
+        first = _rows(data, np.cumsum(sizes) - sizes, length)
         anchors = mixed(least_anchors(first, length, anchor)[::length])
         contents = mixed(string_hashes(first, length)[::length])
-        hot = np.array(self.hot)
+        hot = np.arange(sizes.size) >= (sizes.size if self.hot_from is None else self.hot_from)
         return (np.where(hot, contents, anchors) >> U64(64 - bits)).astype(np.int64)
 
 
@@ -472,20 +513,25 @@ def covered(found: Segments, answers: list[dict], length: int) -> np.ndarray:
     edges = np.zeros(found.data.size + 1, np.int32)
     if answers:
         least: dict[int, np.ndarray] = {}
+        hot_from = len(found.parts) if found.hot_from is None else found.hot_from
+        single = np.full(len(found.parts) - hot_from, LAST_ID)
         for row in answers:
-            numbers = unpack(row["number"], np.int32).tolist()
+            numbers = unpack(row["number"], np.int32)
             values = unpack(row["least"], np.int64)
+            hot = numbers >= hot_from  # they come last and have one string each
+            cut = values.size - int(hot.sum())
+            single[numbers[hot] - hot_from] = values[cut:]
             at = 0
-            for number in numbers:
+            for number in numbers[~hot].tolist():
                 strings = len(found.parts[number]) - length + 1
                 least[number] = values[at : at + strings]
                 at += strings
-        gone = []
+        gone = [found.hot_begin[single[found.hot_number - hot_from] < found.ids[found.hot_doc]]]
         for doc, begin, _, number in found.place:
             holders = least.get(number)
             if holders is not None:
                 gone.append(begin + np.flatnonzero(holders < found.ids[doc]))
-        starts = np.concatenate(gone) if gone else np.empty(0, np.int64)
+        starts = np.concatenate(gone)
         np.add.at(edges, starts, 1)
         np.add.at(edges, starts + length, -1)
     return np.cumsum(edges[:-1]) > 0
