@@ -38,7 +38,7 @@ from textvane.session import scratch_path
 
 PIVOTS = 256
 PIVOT_ROWS = 2048
-PREFIX = 128
+PREFIX = 64
 SHARE = 0.3
 BLOCK = 16_384
 CHUNK = 1_024
