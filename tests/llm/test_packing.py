@@ -124,3 +124,15 @@ def test_small_shards_and_hot_document(spark):
     out = packing.pack_pieces(pieces, shard_pieces=50).collect()
     assert sorted(tuple(r)[:5] for r in out) == sorted(rows)
     check_places(out)
+
+
+def test_plain_words_need_no_pattern(monkeypatch):
+    """A word of ASCII letters, with or without a mark behind it, is looked up without being split by patterns."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORD_VOCABULARY)
+    monkeypatch.setattr(packing, "_PLAIN", None)
+    monkeypatch.setattr(packing, "_SPLIT", None)
+    text = "The thing, of words. Over; " + " ".join(f"Wxyz{mark}" for mark in packing._MARKS.decode())
+    expected = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.WordTokens(WORD_VOCABULARY).encode(text) == expected
