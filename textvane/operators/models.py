@@ -28,7 +28,7 @@ SVM_AT_ONCE = 3  # one-against-rest fits that run side by side (speed only)
 TOLERANCE = 1e-4
 
 # speed only
-FOREST_MB = 1024  # statistics of the nodes split in one pass
+FOREST_MB = 128  # statistics of the nodes a task splits in one pass; each core of an executor holds as much
 
 ROWS_PER_FIT_TASK = 2_000
 
