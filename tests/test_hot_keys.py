@@ -135,3 +135,26 @@ def test_broadcasts_are_checked_by_rows_and_bytes(spark):
     assert small_or_none(wide, 10, 20_000).count() == 10
     assert small_or_none(wide, 10, 5_000) is None and small_or_none(wide, 9, 20_000) is None
     assert small_or_none(spark.range(10), 10).count() == 10 and small_or_none(spark.range(10), 9) is None
+
+
+def test_percentiles_hold_no_whole_slice(spark, monkeypatch):
+    """A slice longer than what is answered at once is walked in stretches; the windows stay the same."""
+    rng = random.Random(12)
+    sent = [(i, START + timedelta(seconds=i), rng.choice(["a", "b", "b", "b", None]), "request", rng.random() * 100) for i in range(1500)]
+    many = spark.createDataFrame(sent, "event_id long, ts timestamp, key string, kind string, latency_ms double")
+    whole = rolling.rolling_percentiles(many, policy=SMALL).collect()
+    plain, most = rolling.WaveletMatrix, 50 + 20 + SMALL.latency_samples
+
+    def bounded(values):
+        assert values.size <= most
+        return plain(values)
+
+    monkeypatch.setattr(rolling, "WaveletMatrix", bounded)
+    monkeypatch.setattr(rolling, "ROWS_AT_ONCE", 50)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        found = rolling.rolling_percentiles(many, policy=SMALL).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(repr, found)) == sorted(map(repr, whole))

@@ -24,7 +24,7 @@ POLICY = MonitorPolicy()
 RECOVERY = RecoveryPolicy()
 ORDER = ("ts", "event_id")
 KEYS = ("key",)
-ROWS_AT_ONCE = 100_000  # of small slices, whose windows are answered together
+ROWS_AT_ONCE = 100_000  # whose windows are answered together; performance only
 
 
 def _with_last_n(df: DataFrame, values: dict[str, Column], n: int, window: Window) -> DataFrame:
@@ -101,8 +101,8 @@ def rolling_percentiles(
     Requests without a latency have no row and no place in a window.  Means come from exact sums, so
     they do not depend on where a slice starts.
 
-    A sliding sort has no built-in form (a framed collect would re-sort N values per row), so whole
-    slices, many small ones at once, are put into a wavelet matrix that answers all windows together.
+    A sliding sort has no built-in form (a framed collect would re-sort N values per row), so stretches of
+    ``ROWS_AT_ONCE`` rows are put into a wavelet matrix that answers all their windows together.
     """
     n = policy.latency_samples
     timed = is_request() & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms")
@@ -115,7 +115,7 @@ def rolling_percentiles(
     groups = [*keys, "_slice"]
 
     def measured(rows: pd.DataFrame) -> pd.DataFrame:
-        """``rows`` holds whole slices, one after another."""
+        """``rows`` holds slices one after another, each from its start or with the rows its windows look back to."""
         changed = np.zeros(len(rows), bool)
         for name in groups:
             column = rows[name]
@@ -135,6 +135,7 @@ def rolling_percentiles(
         return result[~rows["_warmup"].to_numpy(bool)]
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of the slice that goes on in later frames only the rows its next windows look back to are held."""
         held, size = [], 0
         for frame in frames:
             held.append(frame)
@@ -142,13 +143,13 @@ def rolling_percentiles(
             if size < ROWS_AT_ONCE:
                 continue
             rows = pd.concat(held, ignore_index=True)
+            yield measured(rows)
             last = rows[groups].iloc[-1]
-            open_ = np.ones(len(rows), bool)  # the slice that may go on in the next frame
+            rows = rows.tail(n - 1)
+            open_ = np.ones(len(rows), bool)
             for name in groups:
                 open_ &= (rows[name].isna() if pd.isna(last[name]) else rows[name] == last[name]).to_numpy()
-            if not open_.all():
-                yield measured(rows[~open_].reset_index(drop=True))
-            held, size = [rows[open_]], int(open_.sum())
+            held, size = [rows[open_].assign(_warmup=True)], 0
         if size:
             yield measured(pd.concat(held, ignore_index=True))
 
