@@ -1,5 +1,6 @@
 """The vocabulary from summaries equals the one from counting every term."""
 
+import math
 import random
 from collections import Counter
 
@@ -57,3 +58,43 @@ def test_candidates_suffice_where_terms_are_frequent(texts, monkeypatch):
 def test_no_texts(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert features.vocabulary(none, F.lit(0)).collect() == []
+
+
+def long_documents(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(n))) for i, n in enumerate([0, 1, 2, 900, 31, 32, 33, 63, 64, 65, 2000, 5])]
+    return spark.createDataFrame([*rows, (100, None)], "doc_id long, text string").coalesce(1)
+
+
+def test_a_row_for_python_holds_few_terms(spark):
+    """What a worker gets at once does not follow from the length of the documents."""
+    worded = features.with_terms(long_documents(spark).select("doc_id", "text"))
+    whole = {r.doc_id: r.terms for r in worded.collect()}
+    rows = features.term_rows(worded.select("doc_id", "terms")).collect()
+    assert max(len(r.terms or []) for r in rows) == features.TERMS_PER_ROW
+    back = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r["_at"])):
+        back.setdefault(r.doc_id, []).extend(r.terms or [])
+    assert back == {i: terms or [] for i, terms in whole.items()}
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 10_000])
+def test_documents_that_go_on_in_the_next_batch(spark, at_once):
+    texts = long_documents(spark)
+    expected = {}
+    n, known = texts.count(), {t: df for t, df, _ in slow(texts, 40)}
+    for r in texts.collect():
+        words = (r.text or "").split()
+        tf = Counter(t for t in words + [f"{a} {b}" for a, b in zip(words, words[1:])] if t in known)
+        weights = {t: c * (math.log((n + 1) / (known[t] + 1)) + 1) for t, c in tf.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        expected |= {(r.doc_id, t): w / norm for t, w in weights.items()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(at_once))
+    try:
+        found = features.tfidf_weights(texts, max_terms=40).collect()
+        counted = features.vocabulary(texts, F.lit(n), 40).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.doc_id, r.term): r.weight for r in found} == pytest.approx(expected)
+    assert sorted(map(tuple, counted), key=lambda x: (-x[2], x[0])) == slow(texts, 40)

@@ -17,6 +17,7 @@ from textvane.session import checkpointed
 TERM = r"(?U)\w\w+"  # a run of at least two word characters
 SUMMARY_TERMS = 1 << 18  # counters of a task; performance only
 CANDIDATES = 4  # terms counted exactly for each one wanted; performance only
+TERMS_PER_ROW = 64  # terms of a document that go to Python in one row; performance only
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
@@ -38,6 +39,17 @@ def with_terms(df: DataFrame, text: str = "text", bigrams: bool = True, name: st
     return worded.withColumn(name, terms).drop("_w")
 
 
+def term_rows(df: DataFrame, size: int = TERMS_PER_ROW) -> DataFrame:
+    """Rows (kept columns, _at, terms) of at most ``size`` terms, in order, numbered from 0 within a document.
+
+    Arrow batches are limited in rows, so what a Python worker holds does not follow from the documents' lengths.
+    """
+    kept = [c for c in df.columns if c != "terms"]
+    last = F.greatest(F.ceil(F.size("_all") / size).cast("int") - 1, F.lit(0))
+    numbered = df.withColumnRenamed("terms", "_all").select(*kept, "_all", F.explode_outer(F.sequence(F.lit(0), last)).alias("_at"))
+    return numbered.select(*kept, "_at", F.slice("_all", F.col("_at") * size + 1, size).alias("terms"))
+
+
 def document_terms(df: DataFrame, order: str = "doc_id", text: str = "text", bigrams: bool = True) -> DataFrame:
     """(id, term) for every occurrence of a term."""
     return with_terms(df.select(order, text), text, bigrams).select(order, F.explode("terms").alias("term"))
@@ -93,7 +105,8 @@ def term_summary(df: DataFrame, text: str = "text", size: int = SUMMARY_TERMS) -
         yield from table.to_batches(10_000)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([missing + less])], ["term", "n"])
 
-    found = with_terms(df.select(text), text).select("terms").mapInArrow(summarise, "term string, n long")
+    rows = term_rows(with_terms(df.select(text), text).select("terms")).select("terms")
+    found = rows.mapInArrow(summarise, "term string, n long")
     return found.groupBy("term").agg(F.sum("n").alias("n"))
 
 
@@ -103,15 +116,15 @@ def counts_of(df: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, all_ = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
-        for batch in batches:
-            row, place = _row_terms(batch.column(0), known)
+        for _, doc, place in _whole_documents(batches, known):
             all_ += np.bincount(place, minlength=len(known))
-            cells = np.unique(row * len(known) + place)
+            cells = np.unique(doc * len(known) + place)
             docs += np.bincount(cells % len(known), minlength=len(known))
         met = np.flatnonzero(all_)
         yield pa.RecordBatch.from_arrays([known.take(pa.array(met)), pa.array(docs[met]), pa.array(all_[met])], ["term", "df", "cf"])
 
-    found = with_terms(df.select(text), text).select("terms").mapInArrow(count, "term string, df long, cf long")
+    rows = term_rows(with_terms(df.select(text), text).select("terms")).select(F.lit(None).cast("int").alias("id"), "_at", "terms")
+    found = rows.mapInArrow(count, "term string, df long, cf long")
     return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
@@ -166,6 +179,29 @@ def _row_terms(lists: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.nda
     return rows[hit], place[hit].astype(np.int64)
 
 
+def _whole_documents(batches: Iterator[pa.RecordBatch], known: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids of documents, document number and place in ``known`` of every known term), never a part of a document.
+
+    The batches have rows (id, _at, terms) as ``term_rows`` makes them; a row with _at 0 begins a document.  Of the one
+    that may go on in the next batch only the places are held.
+    """
+    ids, held = None, np.empty(0, np.int64)
+    for batch in batches:
+        begins = batch.column(1).to_numpy(zero_copy_only=False) == 0
+        row, place = _row_terms(batch.column(2), known)
+        new = batch.column(0).filter(pa.array(begins))
+        ids = new if ids is None else pa.concat_arrays([ids, new])
+        doc = np.concatenate([np.zeros(held.size, np.int64), (np.cumsum(begins) + len(ids) - len(new) - 1)[row]])
+        place = np.concatenate([held, place])
+        if len(ids) > 1:
+            done = doc < len(ids) - 1
+            yield ids.slice(0, len(ids) - 1), doc[done], place[done]
+            ids, place = ids.slice(len(ids) - 1), place[~done]
+        held = place
+    if ids is not None and len(ids):
+        yield ids, np.zeros(held.size, np.int64), held
+
+
 def tfidf_weights(df: DataFrame, order: str = "doc_id", text: str = "text", max_terms: int = MAX_VOCABULARY) -> DataFrame:
     """(id, term, weight) with unit length per document.
 
@@ -179,16 +215,16 @@ def tfidf_weights(df: DataFrame, order: str = "doc_id", text: str = "text", max_
     schema = T.StructType([df.schema[order], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, place = _row_terms(batch.column(1), known)
-            cells, tf = np.unique(row * max(1, len(known)) + place, return_counts=True)
-            row, place = np.divmod(cells, max(1, len(known)))
+        for ids, doc, place in _whole_documents(batches, known):
+            cells, tf = np.unique(doc * max(1, len(known)) + place, return_counts=True)
+            doc, place = np.divmod(cells, max(1, len(known)))
             weight = tf * rarity[place]
-            norm = np.sqrt(np.bincount(row, weight * weight, batch.num_rows))
-            columns = [batch.column(0).take(pa.array(row)), known.take(pa.array(place)), pa.array(weight / norm[row])]
+            norm = np.sqrt(np.bincount(doc, weight * weight, len(ids)))
+            columns = [ids.take(pa.array(doc)), known.take(pa.array(place)), pa.array(weight / norm[doc])]
             yield pa.RecordBatch.from_arrays(columns, [order, "term", "weight"])
 
-    return with_terms(df.select(order, text), text).select(order, "terms").mapInArrow(weigh, schema)
+    rows = term_rows(with_terms(df.select(order, text), text).select(order, "terms"))
+    return rows.select(order, "_at", "terms").mapInArrow(weigh, schema)
 
 
 def word_ids(df: DataFrame, text: str = "text", max_terms: int | None = None) -> DataFrame:
