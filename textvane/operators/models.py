@@ -17,6 +17,7 @@ from textvane.config import LABEL_IDS, LATENCY_PROBE_ROWS, MAX_VOCABULARY
 from textvane.functions.scores import decode_label, encode_label
 from textvane.operators.evaluation import confusion_matrix, overall_metrics, per_class_metrics
 from textvane.operators.features import idf, vocabulary, with_terms
+from textvane.operators.forest import fit_forest
 from textvane.session import checkpointed
 from textvane.sources.sinks import results_table
 
@@ -101,6 +102,8 @@ def fit(name: str, train: DataFrame):
     rows = max(train.count(), 1)
     # an iterative fit starts a job per pass, so a small training set goes into few tasks
     packed = train.coalesce(math.ceil(rows / ROWS_PER_FIT_TASK))
+    if name == "forest":
+        return fit_forest(classifier(name, rows), packed, rows)
     return classifier(name, rows).fit(packed)
 
 
