@@ -88,7 +88,7 @@ def test_trees_do_not_depend_on_steps_or_tasks(spark, monkeypatch):
     monkeypatch.setattr(forest, "STEP_NODES", 3)
     monkeypatch.setattr(forest, "TREES_PER_TASK", 50)
     parts = models.fit("forest", train).trees
-    assert all(np.array_equal(a, b) for a, b in zip(forest.astuple(whole), forest.astuple(parts)))
+    assert all(np.array_equal(a, b) for a, b in zip(vars(whole).values(), vars(parts).values()))
 
 
 def test_rows_that_do_not_fit_a_task_go_to_the_library(spark):

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from textvane.session import checkpointed
 FOREST_BYTES = 128 << 20  # of binned rows that go to every task; the library's estimator takes what is larger
 TREES_PER_TASK = 4
 FEATURE_BLOCKS = 48
-STEP_ELEMENTS, STEP_NODES = 1 << 20, 64  # that a task deals with at once
+STEP_ELEMENTS, STEP_NODES = 1 << 18, 24  # that a task deals with at once
 
 SPLIT_SAMPLE = 10_000  # fixed value: rows from which the library takes its thresholds
 ROUNDING = 1e-12  # a gain below it is none
@@ -57,7 +57,8 @@ def fit_forest(estimator: RandomForestClassifier, train: DataFrame, rows: int, l
     tasks = spark.range(0, trees, 1, math.ceil(trees / TREES_PER_TASK))
     grown = tasks.mapInArrow(_grown(held, thresholds, n_classes, bins, get("seed"), get("maxDepth")), TREE)
     found = sorted(grown.collect(), key=lambda r: r.tree)
-    held.unpersist()
+    held.destroy()
+    del held, data, chunks
     kinds = (("feature", "<i4"), ("threshold", "<f8"), ("after", "<i4"))
     feature, threshold, after = ([np.frombuffer(r[c], kind) for r in found] for c, kind in kinds)
     votes = np.concatenate([np.frombuffer(r.votes, "<f8").reshape(-1, n_classes) for r in found])
@@ -294,27 +295,27 @@ class _Rows:
             return none
         number = np.zeros(nodes * wanted, np.int64)
         number[met] = np.arange(met.size)
-        cell = (number[pair] * self.bins + bin_) * self.n_classes + self.label[owner]
-        hist = np.bincount(cell, weight[owner], met.size * self.bins * self.n_classes).reshape(met.size, self.bins, self.n_classes)
+        cell = (self.label[owner].astype(np.int64) * met.size + number[pair]) * self.bins + bin_
+        hist = np.bincount(cell, weight[owner], self.n_classes * met.size * self.bins).reshape(self.n_classes, met.size, self.bins)
         node, feature = met // wanted, drawn.ravel()[met]
-        hist[np.arange(met.size), self.zero_bin[feature]] += held[node] - hist.sum(1)
-        left = np.cumsum(hist, axis=1)[:, :-1]
-        whole = held[node][:, None, :]
-        n = held.sum(1)[node][:, None]
-        n_left = left.sum(2)
+        whole = held[node].T
+        hist[:, np.arange(met.size), self.zero_bin[feature]] += whole - hist.sum(2)
+        left = np.cumsum(hist, axis=2)[:, :, :-1]
+        n = whole.sum(0)[:, None]
+        n_left = left.sum(0)
         n_right = n - n_left
-        right = whole - left
+        right = whole[:, :, None] - left
         with np.errstate(divide="ignore", invalid="ignore"):
-            within = (left * left).sum(2) / n_left + (right * right).sum(2) / n_right
-        gain = np.where((n_left > 0) & (n_right > 0), (within - (whole * whole).sum(2) / n) / n, -1.0)
+            within = np.einsum("cpb,cpb->pb", left, left) / n_left + np.einsum("cpb,cpb->pb", right, right) / n_right
+        gain = np.where((n_left > 0) & (n_right > 0), (within - (whole * whole).sum(0)[:, None] / n) / n, -1.0)
         cut = gain.argmax(1)
         best = gain[np.arange(met.size), cut]
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         most = np.maximum.reduceat(best, starts)
         chosen = np.flatnonzero(best == np.repeat(most, np.diff(np.r_[starts, met.size])))
         chosen = chosen[np.r_[True, node[chosen][1:] != node[chosen][:-1]]]
-        for whole, part in zip(none, (best[chosen], feature[chosen], cut[chosen], left[chosen, cut[chosen]])):
-            whole[node[chosen]] = part
+        for out, part in zip(none, (best[chosen], feature[chosen], cut[chosen], left[:, chosen, cut[chosen]].T)):
+            out[node[chosen]] = part
         return none
 
     def _moved(self, slot, split, feature, cut, place) -> np.ndarray:
@@ -418,7 +419,7 @@ class ForestModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self._held is None:
-            self._held = df.sparkSession.sparkContext.broadcast(astuple(self.trees))
+            self._held = df.sparkSession.sparkContext.broadcast(tuple(vars(self.trees).values()))
         held, (features, raw, probability, prediction) = self._held, self.names
 
         @F.arrow_udf("array<double>")

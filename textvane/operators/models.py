@@ -18,7 +18,7 @@ from textvane.functions.scores import decode_label, encode_label
 from textvane.operators.evaluation import confusion_matrix, overall_metrics, per_class_metrics
 from textvane.operators.features import idf, vocabulary, with_terms
 from textvane.operators.forest import fit_forest
-from textvane.session import checkpointed
+from textvane.session import checkpointed, released
 from textvane.sources.sinks import results_table
 
 # fixed values: settings of the three baselines
@@ -31,7 +31,7 @@ TOLERANCE = 1e-4
 # speed only
 FOREST_MB = 128  # statistics of the nodes a task splits in one pass; each core of an executor holds as much
 
-ROWS_PER_FIT_TASK = 2_000
+ROWS_PER_FIT_TASK = 20_000  # a pass over so many takes less time than to start its job; up to five tasks add up without a shuffle
 
 
 class TfIdfModel:
@@ -100,10 +100,10 @@ def text_features(split: DataFrame, text: str = "text") -> DataFrame:
 def fit(name: str, train: DataFrame):
     """The fitted model of a baseline."""
     rows = max(train.count(), 1)
+    if name == "forest":
+        return fit_forest(classifier(name, rows), train, rows)
     # an iterative fit starts a job per pass, so a small training set goes into few tasks
     packed = train.coalesce(math.ceil(rows / ROWS_PER_FIT_TASK))
-    if name == "forest":
-        return fit_forest(classifier(name, rows), packed, rows)
     return classifier(name, rows).fit(packed)
 
 
@@ -126,7 +126,7 @@ def baseline_predictions(name: str, features: DataFrame, ids: dict[str, int] = L
 
 def evaluate_predictions(model: str, predictions: DataFrame) -> DataFrame:
     """Long result rows (model, metric, class, value) of one model."""
-    matrix = confusion_matrix(predictions)
+    matrix = checkpointed(confusion_matrix(predictions))  # a few rows, read again and again
     return results_table(model, overall_metrics(matrix), per_class_metrics(matrix))
 
 
@@ -155,14 +155,16 @@ def latency_metrics(spent: list[float]) -> dict[str, float]:
 def run_baselines(split: DataFrame, names: tuple[str, ...] = BASELINES) -> DataFrame:
     """Fit, evaluate and time every baseline on one split: training time, latency of single predictions."""
     features = text_features(split)
-    parts = []
-    for name in names:
+    parts = {}
+    for name in sorted(names, key=lambda x: x == "forest"):  # last, as the driver holds its trees; the others start many jobs
         start = time.perf_counter()
         model = fit(name, features.where("split = 'train'"))
         measured = {"training_time_seconds": time.perf_counter() - start, **latency_metrics(single_latencies(model, features))}
         spark = features.sparkSession
         rows = [(f"tfidf_{name}", metric, None, value) for metric, value in measured.items()]
         timing = spark.createDataFrame(rows, "model string, metric string, class string, value double")
-        parts += [evaluate_predictions(f"tfidf_{name}", checkpointed(predictions_of(model, features))), timing]
+        parts[name] = [evaluate_predictions(f"tfidf_{name}", checkpointed(predictions_of(model, features))), timing]
+        del model  # with what the driver keeps of it and of its many jobs, before the next fit
+        released(spark)
     features.unpersist()
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return reduce(lambda a, b: a.unionByName(b), [x for name in names for x in parts[name]])
