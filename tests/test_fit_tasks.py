@@ -7,7 +7,8 @@ from textvane.operators import models
 
 def test_forest_is_fitted_last_and_garbage_goes(spark, monkeypatch):
     """The driver holds the forest's trees, so the models that start many jobs come before it."""
-    rows = [(i, f"alpha {w} beta {w} gamma", "negative positive".split()[i % 2]) for i in range(40) for w in [f"w{i % 2}"]]
+    names = ("negative", "neutral", "positive")
+    rows = [(i, f"alpha {names[i % 3]} beta {i % 7} gamma", names[i % 3]) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label string")
     split = df.withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
     begun, real = [], models.fit
